@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from math import exp
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +24,13 @@ from pagemill.llm.common import held_out, mapped, prepare, table
 
 #: Fit bounds: labelled documents of each label, and characters of a document.
 SAMPLE, LONGEST = 2000, 12_000
-BITS, PREFIXES = 18, (4, 6)
-EPOCHS, RATE, DECAY = 120, 0.25, 2e-6
+BITS, PREFIXES = 18, (4, 5, 6)
+#: Training: steps, step size, penalty on the weights' size, and documents that a feature must be seen in.
+EPOCHS, RATE, PENALTY, LEAST = 150, 0.1, 1e-4, 4
 DECISION = 0.7
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
-#: Tells apart the sentences that have a letter at all; other ones are no instances.
 _MASK = (1 << BITS) - 1
 
 
@@ -79,7 +80,7 @@ class Model:
         clean, parts = 1.0, []
         for start, end, words in sentences(text):
             z = self.bias + sum(map(self.word, words))
-            p = 1 / (1 + np.exp(-z)) if z > -30 else 0.0
+            p = 1 / (1 + exp(-z)) if z > -30 else 0.0
             clean *= 1 - p
             parts.append((start, end, float(p)))
         return float(min(1.0, max(0.0, 1 - clean))), parts
@@ -97,8 +98,10 @@ def train(texts: list[str], labels: list[int], class_weights: tuple[float, float
             doc_of.append(d)
     if not doc_of or len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), -40.0)
-    used, column = np.unique(np.array(features), return_inverse=True)
-    sentence_of, doc_of, y = np.array(sentence_of), np.array(doc_of), np.array(labels, float)
+    features, sentence_of, doc_of, y = np.array(features), np.array(sentence_of), np.array(doc_of), np.array(labels, float)
+    seen = np.bincount(np.unique(features * np.int64(len(y)) + doc_of[sentence_of]) // len(y), minlength=1 << BITS)
+    features, sentence_of = features[seen[features] >= LEAST], sentence_of[seen[features] >= LEAST]
+    used, column = np.unique(features, return_inverse=True)
     row_weight = np.where(y == 1, class_weights[1], class_weights[0]) / len(y)
     w, b = np.zeros(len(used)), -4.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -109,11 +112,13 @@ def train(texts: list[str], labels: list[int], class_weights: tuple[float, float
         clean = np.exp(log_clean)
         share = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0) * row_weight
         g_sentence = share[doc_of] * p
-        g = np.bincount(column, g_sentence[sentence_of], len(used)) + DECAY * w
+        g = np.bincount(column, g_sentence[sentence_of], len(used))
         gb = g_sentence.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
+        step = RATE / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+        w -= step * (m / (1 - 0.9**t))
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * PENALTY)  # most words say nothing and get 0
         b -= RATE * 0.2 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-5)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w
