@@ -45,9 +45,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size < 1 << 16 else np.uint32
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The first two characters of special strings: texts with them are encoded whole.
+        self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.words: dict[str, bytes] = {}
 
+    @staticmethod
+    def chunks(words: list[str]) -> list[str]:
+        """Words without the marks at their end, and these; the tokenizer never joins letters and marks."""
+        out = []
+        for w in words:
+            core = w.rstrip(".,!?*%$#&|;:")
+            if len(core) < len(w) and core[-1:].isalnum():
+                out.append(core)
+                out.append(w[len(core) :])
+            else:
+                out.append(w)
+        return out
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -55,11 +69,14 @@ class Encoder:
         """Ids of each text as bytes of kind."""
         split, whole = [], []
         for i, text in enumerate(texts):
-            if text and any(s in text for s in self.special):
+            if text and any(m in text for m in self.marks):
                 split.append(())
                 whole.append(i)
+            elif text:
+                text = text if "Σ" in text else text.lower()  # the tokenizer has no final sigma, Python has
+                split.append(self.chunks(_WHITE.split(text) if _ODD.search(text) else text.split()))
             else:
-                split.append((_WHITE.split(text) if _ODD.search(text) else text.split()) if text else ())
+                split.append(())
         if len(self.words) > CACHE:
             self.words = {}
         known = self.words
