@@ -20,6 +20,7 @@ import html as html_lib
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import mapped, prepare, table
 
 BITS = 14
-PAGES, SEED, EPOCHS = 240, 11, 6
+PAGES, SEED, EPOCHS = 400, 11, 8
 
 #: Element names of HTML by their role here.
 BLOCKS = frozenset(
@@ -42,7 +43,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -54,7 +54,7 @@ class Block:
 
     @property
     def text(self) -> str:
-        return _SPACE.sub(" ", "".join(self.parts)).strip()
+        return " ".join("".join(self.parts).split())
 
 
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]:
@@ -90,10 +90,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...]
         names = tuple(w for _, ws in stack for w in ws)
 
     while True:
-        m = _MARKUP.search(page, at)
-        said(page[at : m.start()] if m else page[at:])
-        if not m:
+        start = page.find("<", at)
+        said(page[at:start] if start >= 0 else page[at:])
+        if start < 0:
             break
+        m = _MARKUP.match(page, start)
+        if not m:  # a sign that is no markup
+            said("<")
+            at = start + 1
+            continue
         at = m.end()
         if not m.group(2):
             continue
@@ -137,18 +142,26 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...]
 _SMALL = re.compile(r"©|\bcookies?\b|all rights reserved|privacy|subscribe|newsletter|sign up|log ?in\b|advert|sponsored|reply|comments?\b|share this|related|read more|terms of", re.I)
 
 
-def features(items, i: int) -> list[int]:
+def features(items, i: int) -> tuple[int, ...]:
     """Hashed features of one block."""
     text, path, names, links = items[i]
     n = len(text)
     words = text.count(" ") + 1
-    found = ["bias", f"len {min(8, n.bit_length())}", f"links {round(4 * links / n)}", f"words {min(7, words.bit_length())}"]
-    found += [f"tag {t}" for t in set(path)] + [f"name {w}" for w in set(names)]
-    found += [f"last {path[-1] if path else ''}", f"dots {text[-1] in '.!?…:;'}", f"small {bool(_SMALL.search(text))}"]
-    found += [f"article {'article' in path or 'main' in path}", f"pair {path[-1] if path else ''} {round(4 * links / n)}"]
+    own = (min(8, n.bit_length()), round(4 * links / n), min(7, words.bit_length()), text[-1] in ".!?…:;", n < 400 and bool(_SMALL.search(text)))
+    return _hashed(path, names, own)
+
+
+@lru_cache(maxsize=20_000)
+def _hashed(path, names, own) -> tuple[int, ...]:
+    length, linked, words, ended, small = own
+    last = path[-1] if path else ""
+    found = ["bias", f"len {length}", f"links {linked}", f"words {words}", f"ended {ended}", f"small {small}"]
+    found += [f"tag {t}" for t in sorted(set(path))] + [f"name {w}" for w in sorted(set(names))]
+    found += [f"last {last}", f"article {'article' in path or 'main' in path}", f"pair {last} {linked}", f"depth {min(6, len(path))}"]
+    found += [f"inner {last} {w}" for w in sorted(set(names))]
     if not names and not set(path) & {"article", "main", "nav", "header", "footer", "aside", "form"}:
-        found += ["plain", f"plain {min(8, n.bit_length())} {text[-1] in '.!?…:;'}"]
-    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in found]
+        found += ["plain", f"plain {length} {ended}"]
+    return tuple(zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in found)
 
 
 class Model:
@@ -196,7 +209,7 @@ def train(pages: list[tuple[list, list[int]]], epochs: int = EPOCHS) -> Model:
             guess = model.decode(items)
             for i, (g, y) in enumerate(zip(guess, gold)):
                 if g != y:
-                    np.add.at(w, features(items, i), 1.0 if y else -1.0)
+                    np.add.at(w, list(features(items, i)), 1.0 if y else -1.0)
                 if i and (guess[i - 1], g) != (gold[i - 1], y):
                     pairs[gold[i - 1], y] += 1
                     pairs[guess[i - 1], g] -= 1

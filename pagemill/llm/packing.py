@@ -65,6 +65,18 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words are encoded in lines of a few thousand and told apart by the ids' places."""
+        out = []
+        for i in range(0, len(words), 4000):
+            some = words[i : i + 4000]
+            ends = np.cumsum([len(w) + 1 for w in some])
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, starts = np.array(found.ids, self.kind), np.array([x for x, _ in found.offsets], np.int64)
+            cuts = np.searchsorted(starts, ends[:-1])
+            out += [x.tobytes() for x in np.split(ids, cuts)]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of kind."""
         split, whole = [], []
@@ -80,10 +92,14 @@ class Encoder:
         if len(self.words) > CACHE:
             self.words = {}
         known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        found = dict(zip(new, self._raw(new)))
+        ids = [[known.get(w) for w in words] for words in split]  # one look-up a word: these are most of the time
+        open_ = [i for i, x in enumerate(ids) if None in x]
+        new = list({w for i in open_ for w, x in zip(split[i], ids[i]) if x is None})
+        found = dict(zip(new, self._words(new)))
         known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-        out = [b"".join([known.get(w) or found.get(w, b"") for w in words]) for words in split]
+        for i in open_:
+            ids[i] = [found[w] if x is None else x for w, x in zip(split[i], ids[i])]
+        out = [b"".join(x) for x in ids]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole])):
             out[i] = ids
         return out

@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm import quality_rules
+from pagemill.llm.chat_format import op10_chat_format
+from pagemill.llm.decontamination import op3_decontamination
+from pagemill.llm.html_extraction import op9_html_extraction
+from pagemill.llm.language_id import op7_language_id
+from pagemill.llm.near_duplicates import op2_ngram_jaccard
+from pagemill.llm.packing import op8_packing
+from pagemill.llm.pii import op5_pii
+from pagemill.llm.quality_rules import op6_quality_rules
 from pagemill.llm.token_counts import op1_token_counts
+from pagemill.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    found = (
+        op1_token_counts, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_pii, op6_quality_rules,
+        op7_language_id, op8_packing, op9_html_extraction, op10_chat_format,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": quality_rules.SQL}

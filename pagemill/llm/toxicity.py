@@ -44,8 +44,11 @@ def word_features(word: str) -> list[int]:
 def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     """Start, end and lower-case words of each sentence that has words."""
     out = []
-    for m in _SENTENCE.finditer(text or ""):
-        words = _WORD.findall(m.group().lower())
+    text = text or ""
+    low = text.lower()
+    same = len(low) == len(text)
+    for m in _SENTENCE.finditer(text):
+        words = _WORD.findall(low, m.start(), m.end()) if same else _WORD.findall(m.group().lower())
         if words:
             out.append((m.start(), m.end(), words))
     return out
