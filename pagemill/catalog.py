@@ -1,11 +1,472 @@
-"""All queries of the library by name, and their SQL for another engine."""
+"""All queries over the fixture tables by name, and the same in SQL for another engine.
+
+The tables stand in for the operators' own inputs: an order is a document, its lines are its answers and pages; events of a
+user are facts on the pages of a document (a page is an hour); documents and pages are files; embeddings are image hashes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagemill.functions import encoding as enc
+from pagemill.functions import numeric as num
+from pagemill.functions import rewriting as rw
+from pagemill.functions import text as tx
+from pagemill.operators import convert, dedup, facts, metrics, sampling, search, windows
+from pagemill.plans import model_stages as stages
+from pagemill.sources import files, sinks
+from pagemill.sources.files import table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str = ""):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+_POS = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) - 1"
+#: Lines of orders as answers, in SQL for the other engine.
+_LINES = f"""lines AS (SELECT l_orderkey AS doc, {_POS} AS pos, l_returnflag || l_linestatus AS query, strftime(l_shipdate, '%Y-%m-%d') AS value,
+  l_discount AS x0, l_tax AS y0, l_discount + l_quantity / 100 AS x1, l_tax + 0.3 AS y1, l_linenumber AS idx, 1 + l_partkey % 3 AS images,
+  (l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 10 AS bucket FROM lineitem)"""
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)) - 1
+    box = F.array("l_discount", "l_tax", F.col("l_discount") + F.col("l_quantity") / 100, F.col("l_tax") + 0.3)
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), pos.alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("query"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("value"),
+        box.alias("box"), F.col("l_linenumber").alias("index"), (1 + F.col("l_partkey") % 3).alias("images"),
+        ((F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")) % 10).alias("bucket"),
+    )
+
+
+def predictions(rows: DataFrame) -> DataFrame:
+    """Of the answers some dropped (0), altered (1), on another page (2), given twice (3), all boxes moved."""
+    out = rows.filter("bucket <> 0").withColumn("value", F.when(F.col("bucket") == 1, F.concat("value", F.lit("x"))).otherwise(F.col("value")))
+    out = out.withColumn("index", F.when(F.col("bucket") == 2, F.col("index") + 1).otherwise(F.col("index")))
+    out = out.withColumn("box", F.array(F.col("box")[0] + 0.05, F.col("box")[1], F.col("box")[2] + 0.05, F.col("box")[3]))
+    copies = F.when(F.col("bucket") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return out.withColumn("copy", F.explode(copies)).withColumn("pos", F.col("pos") * 2 + F.col("copy")).drop("copy")
+
+
+_PREDICTED = """predicted AS (SELECT doc, pos * 2 + c AS pos, query, CASE WHEN bucket = 1 THEN value || 'x' ELSE value END AS value, x0 + 0.05 AS x0, y0, x1 + 0.05 AS x1, y1,
+  CASE WHEN bucket = 2 THEN idx + 1 ELSE idx END AS idx FROM (SELECT *, unnest(CASE WHEN bucket = 3 THEN [0, 1] ELSE [0] END) AS c FROM lines WHERE bucket <> 0))"""
+_METRICS = f"""WITH {_LINES}, {_PREDICTED},
+t AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(query), lower(value) ORDER BY pos) AS r FROM lines),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(query), lower(value) ORDER BY pos) AS r FROM predicted),
+m AS (SELECT coalesce(t.doc, p.doc) AS doc, t.idx AS ti, p.idx AS pi, greatest(0, least(t.x1, p.x1) - greatest(t.x0, p.x0)) * greatest(0, least(t.y1, p.y1) - greatest(t.y0, p.y0)) AS inter,
+  (t.x1 - t.x0) * (t.y1 - t.y0) + (p.x1 - p.x0) * (p.y1 - p.y0) AS areas
+  FROM t FULL JOIN p ON t.doc = p.doc AND lower(t.query) = lower(p.query) AND lower(t.value) = lower(p.value) AND t.r = p.r),
+g AS (SELECT doc, count(ti) AS n_gt, count(pi) AS n_pred, count(*) FILTER (ti IS NOT NULL AND pi IS NOT NULL) AS tp,
+  sum(inter / (areas - inter)) FILTER (ti = pi) AS iou_sum, count(*) FILTER (ti = pi) AS iou_n FROM m GROUP BY doc),
+f AS (SELECT *, CASE WHEN tp > 0 THEN 2.0 * tp / (n_gt + n_pred) ELSE 0 END AS f1 FROM g)"""
+
+
+@query(_METRICS + " SELECT doc, n_gt, n_pred, tp, round(f1, 6) AS f1, round(coalesce(iou_sum, 0), 4) AS iou_sum, iou_n FROM f")
+def agg01_document_metrics(spark, d):
+    rows = lines(spark, d)
+    out = metrics.document_metrics(rows, predictions(rows))
+    return out.select("doc", "n_gt", "n_pred", "tp", F.round("f1", 6).alias("f1"), F.round(F.coalesce("iou_sum", F.lit(0.0)), 4).alias("iou_sum"), "iou_n")
+
+
+@query(_METRICS + " SELECT round(avg(f1), 6) AS f1_exact_match, round(sum(iou_sum) / sum(iou_n), 6) AS iou, count(*) AS n_docs FROM f")
+def agg01_macro_metrics(spark, d):
+    rows = lines(spark, d)
+    out = metrics.macro_metrics(metrics.document_metrics(rows, predictions(rows)))
+    return out.select(F.round("f1_exact_match", 6).alias("f1_exact_match"), F.round("iou", 6).alias("iou"), "n_docs")
+
+
+@query(f"""WITH {_LINES}, {_PREDICTED}, l AS (SELECT doc, lower(query) AS k, arg_max(value, pos) AS value FROM predicted GROUP BY ALL),
+g AS (SELECT t.doc, count(*) AS n_gt, count(*) FILTER (t.value = l.value) AS tp FROM lines t LEFT JOIN l ON t.doc = l.doc AND lower(t.query) = l.k GROUP BY t.doc),
+n AS (SELECT doc, count(*) AS n_pred FROM predicted GROUP BY doc)
+SELECT g.doc, n_gt, coalesce(n_pred, 0) AS n_pred, tp, round(CASE WHEN tp > 0 THEN 2.0 * tp / (n_gt + n_pred) ELSE 0 END, 6) AS f1 FROM g LEFT JOIN n ON g.doc = n.doc""")
+def agg02_key_metrics(spark, d):
+    rows = lines(spark, d)
+    return metrics.key_metrics(rows, predictions(rows)).withColumn("f1", F.round("f1", 6))
+
+
+@query(f"""WITH {_LINES} SELECT doc, count(DISTINCT query) AS n_queries, count(*) AS n_answers, arg_min(query, pos) AS first_query, min(idx) AS page_start
+FROM lines WHERE bucket <> 0 GROUP BY doc""")
+def prj04_convert_rows(spark, d):
+    rows = lines(spark, d)
+    part = F.struct(F.concat(F.lit(" "), "query").alias("key"), "value", F.when(F.col("bucket") == 0, F.array(F.lit("x"))).otherwise(F.col("box").cast("array<string>")).alias("bounding_box"))
+    kvp = rows.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("k")))), lambda x: x["k"]).alias("kvps"), F.min(F.when(F.col("bucket") != 0, F.col("index"))).alias("page"))
+    kvp = kvp.select(F.lit("x").cast("binary").alias("image"), "kvps", F.col("doc").cast("string").alias("hash_name"), F.col("page").cast("string").alias("page_number"), F.lit("train").alias("split"))
+    out = convert.convert_rows(kvp)
+    return out.select(F.col("source").cast("long").alias("doc"), F.size("queries").cast("long").alias("n_queries"), F.size("answers").cast("long").alias("n_answers"), F.col("queries")[0].alias("first_query"), "page_start")
+
+
+@query(f"WITH {_LINES} SELECT doc, count(DISTINCT query) AS n_queries, count(*) AS n_answers, sum(idx) AS index_sum FROM lines WHERE idx < 5 AND query IN ('AF', 'NO') GROUP BY doc")
+def prj06_selected_fields(spark, d):
+    rows = lines(spark, d).select("doc", "pos", F.col("query").alias("name"), "value", F.col("index").alias("page"), F.lit(5).alias("n_pages"))
+    asked = rows.select("doc", "name", F.concat(F.lit("What is "), "name").alias("query")).filter("name IN ('AF', 'NO')").distinct()
+    out = convert.fields_to_rows(rows, asked)
+    return out.select("doc", F.size("queries").cast("long").alias("n_queries"), F.size("answers").cast("long").alias("n_answers"), F.aggregate(F.transform("answers", lambda a: a["index"].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("index_sum"))
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT doc AS "window", query AS ref, arg_max(value, pos) AS value FROM lines GROUP BY ALL)
+SELECT doc AS "window", pos AS qpos, query AS ref, k.value FROM lines JOIN k ON doc = k."window" AND query = k.ref WHERE bucket > 4
+UNION ALL SELECT "window", qpos, NULL, NULL FROM (SELECT doc AS "window", pos AS qpos, row_number() OVER (PARTITION BY doc ORDER BY pos) AS n FROM lines WHERE bucket < 3) WHERE n <= 2""")
+def prj07_assemble(spark, d):
+    rows = lines(spark, d)
+    refs = F.when(F.col("bucket") > 4, F.array("query", "query", F.lit("unknown"))).when(F.col("bucket") < 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("unknown")))
+    asked = rows.select(F.col("doc").alias("window"), F.col("pos").alias("qpos"), F.concat(F.lit("q"), "pos").alias("query"), refs.alias("refs"))
+    known = rows.select(F.col("doc").alias("window"), F.col("query").alias("ref"), "pos", "value", F.col("index").alias("page"))
+    return convert.assemble(asked, known).select("window", "qpos", "ref", "value")
+
+
+@query("SELECT doc, unnest(generate_series(0, n - 1, 3)) AS first, least(unnest(generate_series(0, n - 1, 3)) + 2, n - 1) AS last FROM (SELECT l_orderkey AS doc, count(*) AS n FROM lineitem GROUP BY 1)")
+def win01_tiles(spark, d):
+    return windows.tiles(_pages(spark, d), 3)
+
+
+def _pages(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc, pos, images, count(*) OVER (PARTITION BY doc) AS n, sum(images) OVER (PARTITION BY doc ORDER BY pos) AS upto FROM lines),
+e AS (SELECT s.doc, s.pos AS first, s.n, greatest(s.pos + 1, max(e.pos) FILTER (e.upto - s.upto + s.images <= 3) + 1) AS stop FROM p s JOIN p e ON s.doc = e.doc AND e.pos >= s.pos WHERE s.pos % 2 = 0 GROUP BY s.doc, s.pos, s.n),
+f AS (SELECT *, lag(stop) OVER (PARTITION BY doc ORDER BY first) AS before, first // 2 AS "window" FROM e)
+SELECT doc, "window", first, coalesce(stop, first + 1) AS stop FROM f WHERE "window" = 0 OR before < n""")
+def win02_document_windows(spark, d):
+    return windows.document_windows(lines(spark, d).select("doc", "pos", "images"), 3, 2)
+
+
+@query("SELECT doc, first, least(first + 3, n) AS stop FROM (SELECT doc, n, unnest(generate_series(0, n - 1)) AS first FROM (SELECT l_orderkey AS doc, count(*) AS n FROM lineitem GROUP BY 1))")
+def win03_serving_windows(spark, d):
+    return windows.serving_windows(_pages(spark, d))
+
+
+def _event_facts(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("doc"), F.hour("ts").cast("long").alias("page"), "event_id", "event_type", "value", "ts")
+
+
+_EVENT_FACTS = "ef AS (SELECT user_id AS doc, CAST(hour(ts) AS bigint) AS page, event_id, event_type, value, ts FROM events)"
+
+
+@query(f"WITH {_EVENT_FACTS} SELECT doc, page, count(*) AS n_facts FROM ef GROUP BY ALL HAVING count(*) > 2")
+def agg08_dense_pages(spark, d):
+    return windows.dense_pages(_event_facts(spark, d), 2)
+
+
+@query(f"""WITH {_EVENT_FACTS}, p AS (SELECT DISTINCT doc, page FROM ef WHERE doc % 3 = 0),
+i AS (SELECT *, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS isl FROM p),
+k AS (SELECT *, (row_number() OVER (PARTITION BY doc, isl ORDER BY page) - 1) // 3 AS k FROM i),
+c AS (SELECT doc, min(page) AS a, max(page) AS b FROM k GROUP BY doc, isl, k),
+r AS (SELECT *, 5 - (b - a + 1) AS budget, least(3, 23 - b) AS ra, least(3, a) AS rb FROM c),
+w AS (SELECT *, least(ra, greatest((budget + 1) // 2, budget - rb)) AS after FROM r)
+SELECT DISTINCT doc, a - least(rb, budget - after) AS first, b + after AS last FROM w""")
+def win04_dense_windows(spark, d):
+    pages = _event_facts(spark, d).filter("doc % 3 = 0").select("doc", "page", F.lit(24).alias("n_pages"))
+    return windows.dense_windows(pages)
+
+
+@query()
+def win06_page_bounds(spark, d):
+    e = _event_facts(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list((F.unix_timestamp("ts") % 5000).cast("double"))).alias("breaks"))
+    return e.select("doc", F.posexplode(windows.page_bounds(F.col("breaks"), F.lit(5000.0))).alias("page", "y"))
+
+
+@query(f"""WITH {_EVENT_FACTS}, s AS (SELECT doc, list(ts ORDER BY ts) AS starts FROM ef WHERE event_type = 'view' GROUP BY doc)
+SELECT event_id, greatest(len(list_filter(starts, lambda x: x <= ts)) - 1, 0) AS page FROM ef JOIN s USING (doc)""")
+def join05_asof_page(spark, d):
+    e = _event_facts(spark, d)
+    starts = e.filter("event_type = 'view'").groupBy("doc").agg(F.array_sort(F.collect_list("ts")).alias("starts"))
+    return e.join(starts, "doc").select("event_id", windows.page_at(F.col("starts"), F.col("ts")).cast("long").alias("page"))
+
+
+@query(f"""WITH {_EVENT_FACTS}, w AS (SELECT DISTINCT doc, page AS first, least(page + 2, 23) AS last FROM ef WHERE event_type = 'signup')
+SELECT w.doc, first, count(*) AS n_fields, min(event_id) AS least_event FROM w JOIN ef ON w.doc = ef.doc AND ef.page BETWEEN first AND last GROUP BY w.doc, first HAVING count(*) >= 3""")
+def join04_fields_in_windows(spark, d):
+    e = _event_facts(spark, d)
+    w = e.filter("event_type = 'signup'").select("doc", F.col("page").alias("first"), F.least(F.col("page") + 2, F.lit(23)).alias("last")).distinct()
+    return windows.in_windows(w, e).groupBy("doc", "first").agg(F.count(F.lit(1)).alias("n_fields"), F.min("event_id").alias("least_event")).filter("n_fields >= 3")
+
+
+@query(f"""WITH {_EVENT_FACTS}, v AS (SELECT doc AS "window", event_id AS pos, event_type AS name, CAST(round(value) AS bigint) || CASE WHEN event_id % 3 = 0 THEN ' shares' ELSE '' END AS value FROM ef),
+f AS (SELECT "window", name, value, min(pos) AS pos FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY CASE WHEN contains(value, ' ') THEN 0 ELSE 1 END, abs(CAST(regexp_extract(value, '-?[0-9]+') AS double)) DESC, pos) AS rank FROM f)
+SELECT "window", name, value, rank FROM r WHERE rank <= 20""")
+def win07_top_facts(spark, d):
+    e = _event_facts(spark, d)
+    value = F.concat(F.round("value").cast("long").cast("string"), F.when(F.col("event_id") % 3 == 0, " shares").otherwise(""))
+    rows = e.select(F.col("doc").alias("window"), F.col("event_id").alias("pos"), F.col("event_type").alias("name"), F.lit("p").alias("period"), value.alias("value"))
+    return windows.top_facts(rows).select("window", "name", "value", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT doc, query, min(pos) AS p FROM lines GROUP BY ALL) SELECT doc, query, (dense_rank() OVER (PARTITION BY doc ORDER BY p) - 1) % 14 AS color FROM f""")
+def win08_color_rank(spark, d):
+    firsts = lines(spark, d).groupBy("doc", "query").agg(F.min("pos").alias("p"))
+    return firsts.select("doc", "query", ((F.dense_rank().over(Window.partitionBy("doc").orderBy("p")) - 1) % 14).cast("long").alias("color"))
+
+
+@query(f"""WITH {_LINES}, o AS (SELECT *, coalesce(sum(images) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM lines)
+SELECT doc, CAST(sum(images) AS bigint) AS n_images, count(DISTINCT query) AS n_queries, count(*) AS n_answers, CAST(sum(off) AS bigint) AS index_sum, arg_min(idx, (idx, pos)) AS page_start, arg_max(idx, (idx, pos)) AS page_end FROM o GROUP BY doc""")
+def agg04_collapse_documents(spark, d):
+    answer = F.struct("query", "value", F.col("box").alias("bounding_box"), F.lit(0).alias("index"))
+    rows = lines(spark, d).select("doc", "pos", F.col("index").alias("page_start"), F.col("index").alias("page_end"), F.col("images").alias("n_images"), F.array("query").alias("queries"), F.array(answer).alias("answers"))
+    out = windows.collapse(rows, ["doc"])
+    total = F.aggregate(F.transform("answers", lambda a: a["index"].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc", "n_images", F.size("queries").cast("long").alias("n_queries"), F.size("answers").cast("long").alias("n_answers"), total.alias("index_sum"), "page_start", "page_end")
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, substr(sha256(url), 1, 12) AS k FROM pages),
+c AS (SELECT host, count(*) AS n_rows, min(page_id) AS pos FROM h GROUP BY host HAVING count(*) <= 3) SELECT host AS url, n_rows, pos FROM c""")
+def agg06_rows_per_url(spark, d):
+    hosts = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("url"), F.col("page_id").alias("pos"))
+    return facts.single_page_urls(hosts, enc.url_key(F.col("url")), 3, 0).select("url", "n_rows", "pos")
+
+
+@query("SELECT lang AS doc_type, count(*) AS n, lang NOT IN ('en', 'de') AS novel FROM documents GROUP BY lang")
+def agg07_type_counts(spark, d):
+    return facts.type_counts(table(spark, d, "documents").select(F.col("lang").alias("doc_type")), known=("en", "de"))
+
+
+@query("SELECT l_orderkey AS doc, max(l_linenumber) + 1 AS n_pages FROM lineitem GROUP BY 1")
+def agg09_page_count(spark, d):
+    return facts.page_count(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS number FROM documents")
+def agg10_class_numbers(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", tx.safe_class(F.col("lang")).alias("cls"))
+    return facts.class_numbers(rows, "cls", "doc_id").select("doc_id", F.col("number").cast("long").alias("number"))
+
+
+@query("SELECT CASE WHEN n_chars > 20000 THEN 'too_long' WHEN lang NOT IN ('en', 'fr') THEN 'off_type' ELSE 'saved' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def agg11_status(spark, d):
+    status = F.when(F.col("n_chars") > 20000, "too_long").when(~F.col("lang").isin("en", "fr"), "off_type").otherwise("saved")
+    return table(spark, d, "documents").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS count, count(*) FILTER (toxic = 0) AS clean, count(*) FILTER (toxic = 1) AS augmented FROM labels")
+def agg12_manifest(spark, d):
+    return sinks.manifest(table(spark, d, "labels").withColumn("augmented", F.col("toxic") == 1))
+
+
+@query("SELECT user_id AS doc, hour(ts) AS page, count(*) AS n, min(event_id) AS least_event, max(event_id) AS last_event FROM events GROUP BY ALL")
+def agg13_fields_by_page(spark, d):
+    rows = _event_facts(spark, d).groupBy("doc", "page").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return rows.select("doc", "page", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("least_event"), F.element_at("ids", -1).alias("last_event"))
+
+
+@query("SELECT unnest(['p', 'li', 'a']) AS tag, unnest([sum(len(regexp_extract_all(html, '(?i)<p[\\s>]'))), sum(len(regexp_extract_all(html, '(?i)<li[\\s>]'))), sum(len(regexp_extract_all(html, '(?i)<a[\\s>]')))])::bigint AS n FROM pages")
+def agg14_tag_counts(spark, d):
+    return facts.tag_counts(table(spark, d, "pages"), "html", ("p", "li", "a"))
+
+
+@query("SELECT DISTINCT source FROM documents")
+def agg15_sources(spark, d):
+    return table(spark, d, "documents").select("source").distinct()
+
+
+_AMOUNTS = """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(CAST(round(l_extendedprice * 100) AS bigint) AS decimal(28, 0)) AS cents, l_returnflag AS u, l_linenumber % 3 AS s, l_quantity < 10 AS neg FROM lineitem)"""
+
+
+@query(f"""{_AMOUNTS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE u WHEN 'A' THEN 'USD ' WHEN 'R' THEN 'EUR ' ELSE '' END
+|| CASE WHEN neg AND cents <> 0 THEN '-' ELSE '' END || CASE WHEN s > 0 THEN CAST(CAST(cents * CASE s WHEN 1 THEN 10 ELSE 10000 END AS bigint) AS varchar)
+   ELSE regexp_replace(CAST(CAST(cents AS bigint) // 100 AS varchar) || '.' || lpad(CAST(CAST(cents AS bigint) % 100 AS varchar), 2, '0'), '\\.?0+$', '') END
+|| CASE u WHEN 'A' THEN ' per share' WHEN 'R' THEN '' ELSE ' shares' END AS value FROM a""")
+def mth05_canonical_values(spark, d):
+    li = table(spark, d, "lineitem")
+    raw = F.concat(F.lit("$ "), F.format_number("l_extendedprice", 2))
+    ids = ["USD", "EUR", "N"]
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("f").alias("fact_id"), F.lit("us-gaap:NetIncomeLoss").alias("name"), raw.alias("raw_text"), F.element_at(F.array(F.lit(None).cast("string"), F.lit("3"), F.lit("6")), (F.col("l_linenumber") % 3 + 1)).alias("scale"), F.when(F.col("l_quantity") < 10, "-").alias("sign"), F.lit(None).cast("string").alias("format"), F.lit("c").alias("context"), F.when(F.col("l_returnflag") == "A", ids[0]).when(F.col("l_returnflag") == "R", ids[1]).otherwise(ids[2]).alias("unit"))
+    units = spark.createDataFrame([("USD", ["iso4217:USD", "xbrli:shares"]), ("EUR", ["iso4217:EUR"]), ("N", ["xbrli:shares"])], "id string, measures array<string>")
+    contexts = spark.createDataFrame([("c", "2024", ["x"])], "id string, period string, members array<string>")
+    return facts.resolve(rows, contexts, units).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value")
+
+
+@query("SELECT event_id, CAST(round_even(value / 2000 * 1000, 0) AS int) AS a, greatest(0, least(1, value / 300)) AS c, least(20000, 2048 + 80 * user_id) AS budget, greatest(1, CAST(ceil(0.3 * (user_id % 40)) AS int)) AS lo FROM events")
+def mth_scalars(spark, d):
+    e = table(spark, d, "events")
+    lo, _ = num.selection_band((F.col("user_id") % 40).cast("int"))
+    return e.select("event_id", num.to_thousandths(F.array(F.col("value") / 2000))[0].alias("a"), num.clamp01(F.col("value") / 300).alias("c"), num.token_budget(F.col("user_id")).alias("budget"), lo.alias("lo"))
+
+
+@query("SELECT doc_id, substr(md5(text), 1, 6) || '_doc' || doc_id || '.txt' AS path FROM documents")
+def ded03_content_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", enc.content_key(F.col("text"), F.concat(F.lit("a/b/doc"), "doc_id", F.lit(".txt"))).alias("path"))
+
+
+@query("""WITH n AS (SELECT 'doc' || doc_id AS filename, md5(text) AS h, doc_id FROM documents WHERE doc_id % 11 <> 0),
+o AS (SELECT 'doc' || doc_id AS filename, md5(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
+SELECT coalesce(o.filename, n.filename) AS filename, CASE WHEN n.h IS NULL THEN 'removed' WHEN o.h IS NULL THEN 'new' WHEN o.h = n.h THEN 'reuse' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.filename = n.filename""")
+def ded04_refresh_status(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("doc"), "doc_id").alias("filename"))
+    new = docs.filter("doc_id % 11 <> 0").select("filename", F.md5("text").alias("hash"))
+    old = docs.filter("doc_id % 7 <> 0").select("filename", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("hash"))
+    return dedup.refresh_status(old, new)
+
+
+def _hashes(spark, d):
+    return table(spark, d, "embeddings").select(F.col("label").alias("cls"), F.col("vec_id").alias("id"), dedup.sign_hash(F.col("embedding")).alias("hash"))
+
+
+@query("""WITH s AS (SELECT label AS cls, vec_id AS id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings),
+p AS (SELECT a.cls, a.id AS a, b.id AS b, CAST(list_sum([CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS bigint) AS distance FROM s a JOIN s b ON a.cls = b.cls AND a.id < b.id)
+SELECT * FROM p WHERE distance <= 16""")
+def join12_near_pairs(spark, d):
+    return dedup.near_pairs(_hashes(spark, d), 16, 17)
+
+
+@query()
+def ded01_greedy_keep(spark, d):
+    return dedup.greedy_keep(_hashes(spark, d), 16).select("cls", "id", "kept")
+
+
+@query("SELECT source, row_number() OVER (ORDER BY md5('42|' || source), source) <= round_even(0.25 * count(*) OVER (), 0) AS chosen FROM (SELECT DISTINCT source FROM documents)")
+def ord05_split_sources(spark, d):
+    return sampling.exact_share(table(spark, d, "documents").select("source").distinct(), "source", 0.25, 42)
+
+
+@query("WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) <= round_even(0.05 * count(*) OVER (), 0) AS chosen FROM documents) SELECT * FROM c")
+def ord06_split_rows(spark, d):
+    return sampling.exact_share(table(spark, d, "documents").select("doc_id"), "doc_id", 0.05, 42)
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def ord02_first_rows(spark, d):
+    return sampling.first_rows(table(spark, d, "documents").select("doc_id", "n_chars"), 10, F.desc("n_chars"), "doc_id")
+
+
+@query("SELECT event_id FROM events ORDER BY md5('7|' || event_id), event_id LIMIT 25")
+def src17_sample(spark, d):
+    return sampling.sample_n(table(spark, d, "events").select("event_id"), 25, 7, "event_id")
+
+
+@query("SELECT event_id, ('0x' || substr(md5('3|' || event_id), 1, 8))::bigint / 4294967296.0 < 0.1 AS flag FROM events")
+def ord10_bernoulli(spark, d):
+    return table(spark, d, "events").select("event_id", sampling.bernoulli(0.1, 3, F.col("event_id")).alias("flag"))
+
+
+@query("SELECT turn // 4 AS chunk, count(*) AS n FROM conversations GROUP BY 1")
+def ord12_chunks(spark, d):
+    return table(spark, d, "conversations").groupBy(sampling.chunk_of(F.col("turn"), 4).cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM benchmark WHERE item_id < 10),
+t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents),
+s AS (SELECT qid, id, count(*) AS score FROM q JOIN t USING (w) WHERE w <> '' GROUP BY ALL)
+SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def ord04_lexical_search(spark, d):
+    asked = table(spark, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("qid"), "text")
+    out = search.lexical_top(asked, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return out.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, lang, 'train' AS split FROM documents UNION ALL SELECT event_id, event_type, NULL FROM events")
+def set01_union(spark, d):
+    a = table(spark, d, "documents").select("doc_id", "lang", F.lit("train").alias("split"))
+    return convert.union_checked(a, table(spark, d, "events").select(F.col("event_type").alias("lang"), F.col("event_id").alias("doc_id")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def set04_difference(spark, d):
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT doc_id, source IN (SELECT DISTINCT source FROM documents WHERE doc_id < 5) AS test FROM documents")
+def join08_membership(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    held = docs.filter("doc_id < 5").select("source").distinct()
+    return docs.join(held, "source", "left_semi").select("doc_id", F.lit(True).alias("test")).union(docs.join(held, "source", "left_anti").select("doc_id", F.lit(False).alias("test")))
+
+
+@query("""SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS cls,
+nullif(regexp_extract(translate(lower(trim(p_type)), '- ', '__'), '[a-z][a-z0-9_]*'), '') AS label, CASE WHEN length(p_name) > 8 THEN substr(p_name, 1, 7) || '...' ELSE p_name END AS short,
+p_brand || '/' || p_type || '#' || lpad(CAST(p_partkey AS varchar), 5, '0') AS source, 'data:image/png;base64,' || base64(encode(p_name)) AS url,
+'What is the ' || lower(trim(regexp_replace(replace(replace(p_name, '_', ' '), '.', ' '), '\\s+', ' ', 'g'))) || '?' AS question FROM part""")
+def str_names(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", tx.safe_class(F.col("p_name")).alias("cls"), tx.normalize_label(F.col("p_type")).alias("label"), tx.truncate(F.col("p_name"), 8).alias("short"), tx.slot_source(F.col("p_brand"), F.col("p_type"), F.col("p_partkey")).alias("source"), enc.data_url(F.col("p_name")).alias("url"), tx.mechanical_query(F.col("p_name"), F.lit("question")).alias("question"))
+
+
+@query("""SELECT page_id, field FROM (SELECT DISTINCT page_id, unnest(list_concat(regexp_extract_all(html, 'href="(.*?)"', 1), regexp_extract_all(html, 'href=''(.*?)''', 1))) AS field FROM pages)""")
+def str03_discover_fields(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(tx.discover_fields(F.col("html"), "href")).alias("field"))
+
+
+@query("""SELECT page_id, length(html) + length('<style>p{}</style>') AS n_styled, position('</head>' IN html) > 0 AS had_head, length(html) + length('<base href="/x">') AS n_based FROM pages""")
+def str13_inject(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", F.length(tx.inject_style(h, F.lit("p{}"))).cast("long").alias("n_styled"), (F.instr(h, "</head>") > 0).alias("had_head"), F.length(tx.inject_base(h, F.lit("/x"))).cast("long").alias("n_based"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS bigint) AS k FROM events")
+def arr02_parse_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT page_id, substr(sha256(url), 1, 12) AS h12, md5(url) AS m FROM pages")
+def arr08_digests(spark, d):
+    return table(spark, d, "pages").select("page_id", enc.url_key(F.col("url")).alias("h12"), F.md5("url").alias("m"))
+
+
+@query()
+def arr01_targets(spark, d):
+    rows = lines(spark, d).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "query", "value", F.col("box").alias("bounding_box"), "index"))), lambda a: F.struct(a["query"].alias("query"), a["value"].alias("value"), a["bounding_box"].alias("bounding_box"), a["index"].alias("index"))).alias("answers"))
+    target = rows.select("doc", enc.make_target(F.col("answers")).alias("target"))
+    return target.select("doc", "target", F.size(enc.parse_answers(F.col("target"))).alias("n_parsed"))
+
+
+@query("""SELECT cik, accession, rn FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY pos) AS rn FROM (SELECT CAST(l_orderkey AS varchar) AS cik, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice AS accession,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos, l_returnflag AS form FROM lineitem) WHERE form = 'N') WHERE rn <= 2""")
+def src12_filings(spark, d):
+    li = table(spark, d, "lineitem").withColumn("acc", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    s = li.groupBy(F.col("l_orderkey").cast("string").alias("cik")).agg(F.array_sort(F.collect_list(F.struct(*_ORDER, "l_returnflag", "acc"))).alias("x"))
+    s = s.select("cik", F.lit("T").alias("ticker"), F.transform("x", lambda v: v["l_returnflag"]).alias("forms"), F.transform("x", lambda v: v["acc"]).alias("accessions"), F.transform("x", lambda v: F.lit("a.htm")).alias("documents"), F.transform("x", lambda v: F.lit("2024-01-01")).alias("dates"))
+    return facts.filings(s, ["N"], 2).select("cik", "accession", F.col("rn").cast("long").alias("rn"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def udf22_conversations(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
+    return c.select("conv_id", F.size("x").cast("long").alias("n_turns"), F.array_join(F.transform("x", lambda v: v["role"]), ",").alias("roles"))
+
+
+@query("SELECT doc_id, 'm:' || substr(md5('[(''doc_id'', ''' || doc_id || '''), (''lang'', ''' || lang || ''')]'), 1, 12) AS label FROM documents")
+def udf01_model_stage(spark, d):
+    model = stages.deterministic("m")
+    return stages.run(table(spark, d, "documents").select("doc_id", "lang"), lambda row: {"label": model(row)}, "label string").select("doc_id", "label")
+
+
+@query()
+def udf12_ask(spark, d):
+    docs = _pages(spark, d).filter("doc % 10 = 0")
+    asked = docs.select("doc", F.array(F.lit("total")).alias("queries"))
+    return stages.ask(docs, asked, lambda row: {"reply": f'[{{"query": "total", "value": "{row["first"]}", "box_2d": [0, 0, 10, 10], "index": 0}}]'})
+
+
+@query("SELECT conv_id, turn, 'find' AS name FROM conversations")
+def arr07_tool_calls(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.lit('x <tool_call> {"name": "find", "arguments": {"query": "a}} </tool_call>').alias("text"))
+    return c.withColumn("call", rw.tool_call_column("text")).select("conv_id", "turn", F.col("call.name").alias("name"))
+
+
+@query("SELECT n_name, r_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def rel_star_join(spark, d):
+    o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+    return rows.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -55,10 +55,8 @@ def canonical_value(raw: Column, scale: Column, sign: Column, fmt: Column, measu
     t = F.when(F.coalesce(F.instr(fmt, "comma-decimal"), F.lit(0)) > 0, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
     t = F.regexp_replace(F.translate(t, "%", ""), r"^\$+", "")
     d = t.try_cast("decimal(28,10)")
-    power = F.lit(None).cast("decimal(38,10)")
-    exponent = scale.try_cast("int")
-    for k in range(-9, 13):
-        power = F.when(exponent == k, F.lit(f"1e{k}").cast("decimal(24,9)") if k >= 0 else F.lit(f"1e{k}").cast("decimal(10,9)")).otherwise(power)
+    powers = F.array(*[F.lit(f"1e{k}").cast("decimal(24,9)") for k in range(-9, 13)])  # folded to a constant
+    power = F.get(powers, scale.try_cast("int") + 9)
     scaled = F.when(F.coalesce(scale, F.lit("")) == "", d.cast("decimal(38,10)")).otherwise((d * power).cast("decimal(38,10)"))
     num = format_number(F.when(sign == "-", -scaled).otherwise(scaled))
     currency, shares = currency_of(measures), F.array_contains(measures, "xbrli:shares")

@@ -151,8 +151,31 @@ def homography(seed: str, width: int, height: int, quality: float = 0.7) -> list
     return [*np.linalg.solve(np.array(rows, float), np.array(right, float)).tolist(), 1.0]
 
 
-repair_json_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else repair_json(x)), "string")
-flatten_json_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else str(flatten(json.loads(x)))), "string")
-tool_call_udf = F.pandas_udf(lambda s: pd.DataFrame([tool_call(x) or (None, None) for x in s], columns=["name", "arguments"]), "name string, arguments string")
-repair_bindings_udf = F.pandas_udf(lambda s: pd.DataFrame([(h, json.dumps(c)) for h, c in (repair_bindings(x or "") for x in s)], columns=["html", "counts"]), "html string, counts string")
-enrich_blanks_udf = F.pandas_udf(lambda s: pd.DataFrame([enrich_blanks(x or "") for x in s], columns=["html", "added"]), "html string, added int")
+def _texts(function, column):
+    """A pandas UDF of a text function; made on call, as it needs a running session."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else function(x)), "string")(column)
+
+
+def _frames(function, columns: str, column):
+    names = [c.split()[0] for c in columns.split(", ")]
+    return F.pandas_udf(lambda s: pd.DataFrame([function(x or "") for x in s], columns=names), columns)(column)
+
+
+def repair_json_column(column):
+    return _texts(repair_json, column)
+
+
+def flatten_json_column(column):
+    return _texts(lambda x: str(flatten(json.loads(x))), column)
+
+
+def tool_call_column(column):
+    return _frames(lambda x: tool_call(x) or (None, None), "name string, arguments string", column)
+
+
+def repair_bindings_column(column):
+    return _frames(lambda x: (lambda h, c: (h, json.dumps(c)))(*repair_bindings(x)), "html string, counts string", column)
+
+
+def enrich_blanks_column(column):
+    return _frames(enrich_blanks, "html string, added int", column)

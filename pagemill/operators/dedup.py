@@ -41,7 +41,7 @@ def greedy_keep(rows: DataFrame, limit: int = 8, max_rounds: int = 50) -> DataFr
     """
     from pagemill.tables import materialize
 
-    pairs = materialize(near_pairs(rows, limit).select("cls", "a", "b"))
+    pairs = materialize(near_pairs(rows, limit, max(BANDS, limit + 1)).select("cls", "a", "b"))
     state = materialize(rows.select("cls", "id").join(pairs.select("cls", F.col("b").alias("id")).distinct().withColumn("later", F.lit(True)), ["cls", "id"], "left").select("cls", "id", F.when(F.col("later").isNull(), True).alias("kept")))
     for _ in range(max_rounds):
         if state.filter("kept IS NULL").isEmpty():
