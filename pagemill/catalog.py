@@ -326,14 +326,14 @@ def _hashes(spark, d):
 
 @query("""WITH s AS (SELECT label AS cls, vec_id AS id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings),
 p AS (SELECT a.cls, a.id AS a, b.id AS b, CAST(list_sum([CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS bigint) AS distance FROM s a JOIN s b ON a.cls = b.cls AND a.id < b.id)
-SELECT * FROM p WHERE distance <= 16""")
+SELECT * FROM p WHERE distance <= 20""")
 def join12_near_pairs(spark, d):
-    return dedup.near_pairs(_hashes(spark, d), 16, 17)
+    return dedup.near_pairs(_hashes(spark, d), 20, 21)
 
 
 @query()
 def ded01_greedy_keep(spark, d):
-    return dedup.greedy_keep(_hashes(spark, d), 16).select("cls", "id", "kept")
+    return dedup.greedy_keep(_hashes(spark, d), 20).select("cls", "id", "kept")
 
 
 @query("SELECT source, row_number() OVER (ORDER BY md5('42|' || source), source) <= round_even(0.25 * count(*) OVER (), 0) AS chosen FROM (SELECT DISTINCT source FROM documents)")
