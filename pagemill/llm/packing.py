@@ -29,7 +29,9 @@ from pagemill.llm.common import arrow_schema, materialize, prepare, table
 
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS, SCALE = 3, 16, 12.0
-CACHE, LONGEST = 250_000, 40
+CACHE, LONGEST = 300_000, 40
+#: Stands between words that are encoded together; a word that holds it is encoded alone.
+MARK = "\x02"
 
 _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -47,7 +49,9 @@ class Encoder:
         self.kind = np.uint16 if self.size < 1 << 16 else np.uint32
         # The first two characters of special strings: texts with them are encoded whole.
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def chunks(words: list[str]) -> list[str]:
@@ -66,15 +70,14 @@ class Encoder:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words are encoded in lines of a few thousand and told apart by the ids' places."""
+        """Ids of each word. Words are encoded in lines of some hundred, with a mark of one token between them."""
         out = []
-        for i in range(0, len(words), 4000):
-            some = words[i : i + 4000]
-            ends = np.cumsum([len(w) + 1 for w in some])
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, starts = np.array(found.ids, self.kind), np.array([x for x, _ in found.offsets], np.int64)
-            cuts = np.searchsorted(starts, ends[:-1])
-            out += [x.tobytes() for x in np.split(ids, cuts)]
+        for i in range(0, len(words), 400):
+            some = words[i : i + 400]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, self.kind)
+            parts = np.split(ids, np.flatnonzero(ids == self.mark))
+            found = [parts[0], *[x[1:] for x in parts[1:]]]
+            out += [x.tobytes() for x in found] if len(found) == len(some) else self._raw(some)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -89,13 +92,15 @@ class Encoder:
                 split.append(self.chunks(_WHITE.split(text) if _ODD.search(text) else text.split()))
             else:
                 split.append(())
-        if len(self.words) > CACHE:
-            self.words = {}
+        if len(self.words) > CACHE:  # two generations, so that frequent words stay
+            self.words, self.older = {}, self.words
         known = self.words
         ids = [[known.get(w) for w in words] for words in split]  # one look-up a word: these are most of the time
         open_ = [i for i, x in enumerate(ids) if None in x]
-        new = list({w for i in open_ for w, x in zip(split[i], ids[i]) if x is None})
-        found = dict(zip(new, self._words(new)))
+        asked = {w for i in open_ for w, x in zip(split[i], ids[i]) if x is None}
+        found = {w: self.older[w] for w in asked if w in self.older}
+        new = [w for w in asked if w not in found]
+        found.update(zip(new, self._words(new)))
         known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
         for i in open_:
             ids[i] = [found[w] if x is None else x for w, x in zip(split[i], ids[i])]
