@@ -154,10 +154,11 @@ def features(items, i: int) -> tuple[int, ...]:
 @lru_cache(maxsize=20_000)
 def _hashed(path, names, own) -> tuple[int, ...]:
     length, linked, words, ended, small = own
+    path = tuple(t for t in path if t not in ("html", "body"))  # pages may leave these out
     last = path[-1] if path else ""
     found = ["bias", f"len {length}", f"links {linked}", f"words {words}", f"ended {ended}", f"small {small}"]
     found += [f"tag {t}" for t in sorted(set(path))] + [f"name {w}" for w in sorted(set(names))]
-    found += [f"last {last}", f"article {'article' in path or 'main' in path}", f"pair {last} {linked}", f"depth {min(6, len(path))}"]
+    found += [f"last {last}", f"article {'article' in path or 'main' in path}", f"pair {last} {linked}"]
     found += [f"inner {last} {w}" for w in sorted(set(names))]
     if not names and not set(path) & {"article", "main", "nav", "header", "footer", "aside", "form"}:
         found += ["plain", f"plain {length} {ended}"]

@@ -146,7 +146,7 @@ class Graph:
                 near = b
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
         self.observed_array = np.array(self.observed, np.int64)
-        self.x = np.array(self.features, np.int64).reshape(len(self.spans), -1)
+        self.x = np.array(self.features, np.int64).reshape(len(self.spans), -1) if self.spans else np.empty((0, 1), np.int64)
 
 
 def _labels(found, base) -> list[int]:
@@ -297,13 +297,13 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with the same columns and rows, personal data in text_col masked."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batch):
         texts = batch.column(at).to_pylist()
         spans = find(texts, shared.value)[1]
         new = [t if not s else mask(t, s) for t, s in zip(texts, spans)]
-        return {f"c{i}": new if i == at else batch.column(i) for i in range(len(docs.columns))}
+        return {f"c{i}": new if i == at else batch.column(i) for i in range(width)}
 
     kinds = [kind for _, kind in docs.dtypes]
     renamed = docs.toDF(*[f"c{i}" for i in range(len(kinds))])
