@@ -27,8 +27,8 @@ MIN_COVER, MIN_RUN = 50, 12
 BROADCAST_WINDOWS = 1_000_000
 #: Placeholders: private characters that no step below alters.
 NUM, UNIT, NAME = "", "", ""
-#: What stands between tokens: white space and punctuation.
-BETWEEN = "[\\s\\x00-/:-@\\[-`{-~¡«»¿‐-‧‹›]+"
+#: What stands between tokens: white space and punctuation. One by one, the Latin ones make a bit table in Java, ranges don't.
+BETWEEN = "[" + "".join(f"\\x{c:02x}" for c in (*range(128), 0x85, 0xA0, 0xA1, 0xAB, 0xBB, 0xBF) if not chr(c).isalnum()) + "\\u2010-\\u2027\\u2039\\u203a]+"
 UNITS = (
     "kg|mg|g|lb|lbs|oz|km|cm|mm|m|mi|ft|in|l|ml|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|kwh|kw|w|v|usd|eur|gbp|"
     "percent|dollars?|cents?|euros?|pounds?|miles?|meters?|metres?|kilometers?|kilograms?|grams?|liters?|litres?|"
@@ -45,7 +45,7 @@ def template(text: Column, values: bool = False) -> Column:
     if values:
         numbers = F.regexp_replace(numbers, "(?<=\\d)[^\\s\\p{L}\\p{N}\ue001]+(?=\\d)", "")
     t = F.when(text.rlike("\\d"), numbers).otherwise(text)
-    t = F.regexp_replace(t, " (?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+)(?![\\p{L}\\p{N}])", f" {NAME}{v}")
+    t = F.regexp_replace(t, " (?=\\p{Lu})(?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+)(?![\\p{L}\\p{N}])", f" {NAME}{v}")
     return F.array_remove(F.split(F.lower(t), BETWEEN), "")
 
 
