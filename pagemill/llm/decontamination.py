@@ -7,7 +7,8 @@ of the item for the same one. An item is leaked if its consistent windows cover
 
 All of it is DataFrame expressions. The benchmark's windows are counted first and broadcast only up to BROADCAST_WINDOWS
 (a bound of 16 bytes each); beyond it the windows are shuffled to a sort-merge join. Slots are compared only in
-documents with matching windows. Matches grow with the leaks found, not with pairs of documents.
+documents with matching windows. Matches grow with the leaks found, not with pairs of documents. They are used three
+times, so they are written to the shared folder once; the documents are cut into windows in a single pass.
 
 Result: a row per document and leaked item (doc_id, item_id, n_windows, cover_percent, n_slots); clean documents have none.
 Null and empty texts (also those of punctuation alone) and rows with a null id give no rows; repeated rows of one id count once. Items shorter than a
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import table
+from pagemill.llm.common import materialize, table
 
 #: Template tokens of a window, and how many of them must not be placeholders.
 WINDOW, MIN_LITERALS = 8, 4
@@ -79,7 +80,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     met = met.select("doc_id", "item_id", "item_n", "item_start", (F.col("start") - F.col("item_start")).alias("shift"), "doc_plain").distinct()
     # Only alignments that touch a placeholder need the slot check; plain ones have no slots.
     runs = met.groupBy("doc_id", "item_id", "item_n", "shift").agg(F.array_sort(F.collect_set("item_start")).alias("starts"), F.bool_and("doc_plain").alias("doc_plain"))
-    checked = _slots(runs, docs, items, small)
+    checked = _slots(materialize(runs), docs, items, small)
     total = F.greatest(F.lit(1), F.col("item_n") - WINDOW + 1)
     out = checked.filter("wrong = 0").groupBy("doc_id", "item_id", "item_n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("starts")))).cast("long").alias("n_windows"), F.sum("slots").alias("n_slots"))
     out = out.withColumn("cover_percent", F.round(100 * F.col("n_windows") / total, 3))
