@@ -170,7 +170,7 @@ def agg08_dense_pages(spark, d):
     return windows.dense_pages(_event_facts(spark, d), 2)
 
 
-@query(f"""WITH {_EVENT_FACTS}, p AS (SELECT DISTINCT doc, page FROM ef WHERE doc % 3 = 0),
+@query(f"""WITH {_EVENT_FACTS}, p AS (SELECT DISTINCT doc, page FROM ef),
 i AS (SELECT *, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS isl FROM p),
 k AS (SELECT *, (row_number() OVER (PARTITION BY doc, isl ORDER BY page) - 1) // 3 AS k FROM i),
 c AS (SELECT doc, min(page) AS a, max(page) AS b FROM k GROUP BY doc, isl, k),
@@ -178,7 +178,7 @@ r AS (SELECT *, 5 - (b - a + 1) AS budget, least(3, 23 - b) AS ra, least(3, a) A
 w AS (SELECT *, least(ra, greatest((budget + 1) // 2, budget - rb)) AS after FROM r)
 SELECT DISTINCT doc, a - least(rb, budget - after) AS first, b + after AS last FROM w""")
 def win04_dense_windows(spark, d):
-    pages = _event_facts(spark, d).filter("doc % 3 = 0").select("doc", "page", F.lit(24).alias("n_pages"))
+    pages = _event_facts(spark, d).select("doc", "page", F.lit(24).alias("n_pages"))
     return windows.dense_windows(pages)
 
 
@@ -310,14 +310,21 @@ def ded03_content_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", enc.content_key(F.col("text"), F.concat(F.lit("a/b/doc"), "doc_id", F.lit(".txt"))).alias("path"))
 
 
-@query("""WITH n AS (SELECT 'doc' || doc_id AS filename, md5(text) AS h, doc_id FROM documents WHERE doc_id % 11 <> 0),
-o AS (SELECT 'doc' || doc_id AS filename, md5(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
+@query("""WITH n AS (SELECT 'doc' || doc_id AS filename, md5(text) AS h FROM documents), l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+o AS (SELECT 'doc' || doc_id AS filename, md5(CASE WHEN toxic = 1 THEN text || 'x' ELSE text END) AS h FROM documents JOIN l USING (doc_id) UNION ALL SELECT 'item' || item_id, md5(text) FROM benchmark)
 SELECT coalesce(o.filename, n.filename) AS filename, CASE WHEN n.h IS NULL THEN 'removed' WHEN o.h IS NULL THEN 'new' WHEN o.h = n.h THEN 'reuse' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.filename = n.filename""")
 def ded04_refresh_status(spark, d):
+    return dedup.refresh_status(*snapshots(spark, d))
+
+
+def snapshots(spark, d):
+    """Index and files (filename, hash): the index holds the labelled documents, toxic ones with another text, and items that are gone."""
     docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("doc"), "doc_id").alias("filename"))
-    new = docs.filter("doc_id % 11 <> 0").select("filename", F.md5("text").alias("hash"))
-    old = docs.filter("doc_id % 7 <> 0").select("filename", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("hash"))
-    return dedup.refresh_status(old, new)
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    old = docs.join(labels, "doc_id").select("filename", F.md5(text).alias("hash"))
+    gone = table(spark, d, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("filename"), F.md5("text").alias("hash"))
+    return old.union(gone), docs.select("filename", F.md5("text").alias("hash"))
 
 
 def _hashes(spark, d):
@@ -366,12 +373,12 @@ def ord12_chunks(spark, d):
     return table(spark, d, "conversations").groupBy(sampling.chunk_of(F.col("turn"), 4).cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM benchmark WHERE item_id < 10),
+@query("""WITH q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM benchmark),
 t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents),
 s AS (SELECT qid, id, count(*) AS score FROM q JOIN t USING (w) WHERE w <> '' GROUP BY ALL)
 SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def ord04_lexical_search(spark, d):
-    asked = table(spark, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("qid"), "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     out = search.lexical_top(asked, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     return out.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -387,10 +394,11 @@ def set04_difference(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("SELECT doc_id, source IN (SELECT DISTINCT source FROM documents WHERE doc_id < 5) AS test FROM documents")
+@query("""WITH s AS (SELECT source, row_number() OVER (ORDER BY md5('42|' || source), source) <= round_even(0.25 * count(*) OVER (), 0) AS test FROM (SELECT DISTINCT source FROM documents))
+SELECT doc_id, test FROM documents JOIN s USING (source)""")
 def join08_membership(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    held = docs.filter("doc_id < 5").select("source").distinct()
+    held = sampling.exact_share(docs.select("source").distinct(), "source", 0.25, 42).filter("chosen").select("source")
     return docs.join(held, "source", "left_semi").select("doc_id", F.lit(True).alias("test")).union(docs.join(held, "source", "left_anti").select("doc_id", F.lit(False).alias("test")))
 
 
@@ -454,7 +462,7 @@ def udf01_model_stage(spark, d):
 
 @query()
 def udf12_ask(spark, d):
-    docs = _pages(spark, d).filter("doc % 10 = 0")
+    docs = _pages(spark, d)
     asked = docs.select("doc", F.array(F.lit("total")).alias("queries"))
     return stages.ask(docs, asked, lambda row: {"reply": f'[{{"query": "total", "value": "{row["first"]}", "box_2d": [0, 0, 10, 10], "index": 0}}]'})
 
@@ -470,3 +478,6 @@ def rel_star_join(spark, d):
     o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
     return rows.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+from pagemill import catalog_parts  # noqa: E402, F401  (adds its queries)
