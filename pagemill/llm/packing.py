@@ -29,7 +29,7 @@ from pagemill.llm.common import arrow_schema, materialize, prepare, table
 
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS, SCALE = 3, 16, 12.0
-CACHE, LONGEST = 300_000, 40
+CACHE, LONGEST = 150_000, 40
 #: Stands between words that are encoded together; a word that holds it is encoded alone.
 MARK = "\x02"
 
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             rid += len(ids)
             columns = [pa.array(places), pa.array(rids), batch.column(0), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        own.older = {}  # workers outlive the stage; what they keep is taken from the next one
 
     coded = materialize(rows.mapInArrow(tokenize, ddl))
     ordered = coded.repartitionByRange(F.col("place"), F.col("rid")).sortWithinPartitions("place", "rid")
