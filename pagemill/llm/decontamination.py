@@ -4,6 +4,9 @@ Numbers, units and names become typed placeholders, so that a question asked aga
 template. Windows of WINDOW template tokens of documents and of benchmark items are hash-joined; on each alignment the
 slots are compared: an item's value has to stand for one value of the document throughout, and no two numbers or names
 of the item for the same one. An item is leaked if its consistent windows cover MIN_COVER percent of it or MIN_RUN windows.
+A window with fewer than MIN_LITERALS words is joined by its values. With other values it counts where a window with more
+words is met on the same alignment, or where the item's whole template is (found by its window with most words); items
+without any word in their windows have nothing but their values.
 
 All of it is DataFrame expressions. The benchmark's windows are counted first and broadcast only up to BROADCAST_WINDOWS
 (a bound of 16 bytes each); beyond it the windows are shuffled to a sort-merge join. Slots are compared only in
@@ -17,7 +20,7 @@ window match as a whole. Either table may be empty. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import materialize, table
@@ -25,6 +28,8 @@ from pagemill.llm.common import materialize, table
 #: Template tokens of a window, and how many of them must not be placeholders.
 WINDOW, MIN_LITERALS = 8, 4
 MIN_COVER, MIN_RUN = 50, 12
+#: How an item's window is joined: by its template, by its values, or by its template to compare the whole item there.
+TEMPLATE, RAW, ANCHOR = range(3)
 BROADCAST_WINDOWS = 1_000_000
 #: Placeholders: private characters that no step below alters.
 NUM, UNIT, NAME = "", "", ""
@@ -50,59 +55,105 @@ def template(text: Column, values: bool = False) -> Column:
     return F.array_remove(F.split(F.lower(t), BETWEEN), "")
 
 
-def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, n (template tokens), hash and start of each window with enough literal words."""
-    tokens = rows.select(key, template(F.col("text")).alias("t"))
-    tokens = tokens.select(key, "t", F.size("t").alias("n"), F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr("exists(t, x -> ascii(x) BETWEEN 57344 AND 57346)").alias("open"))
+def _hashes(rows: DataFrame, name: str) -> DataFrame:
+    """Adds name_1, name_2, ... up to name_WINDOW: the hashes of all windows of so many tokens of the array in the column name."""
+    rows = rows.withColumn(f"{name}_1", F.expr(f"transform({name}, x -> xxhash64(x))"))
+    k = 1
     # Each step joins two neighbouring windows of half the length, so a window costs three short hashes and no slice.
+    while k < WINDOW:
+        h, size = f"{name}_{k}", f"greatest(0, size({name}_{k}) - {k})"
+        rows = rows.withColumn(f"{name}_{2 * k}", F.expr(f"zip_with(slice({h}, 1, {size}), slice({h}, {k + 1}, {size}), (x, y) -> xxhash64(x, y))"))
+        k *= 2
+    return rows
+
+
+def _windows(rows: DataFrame, key: str) -> DataFrame:
+    """key, n (template tokens), t, plain, raw, hash and start of each window.
+
+    Every window comes with the hash of its template; one with fewer than MIN_LITERALS words also with that of its values (raw).
+    """
+    tokens = rows.select(key, "text", template(F.col("text")).alias("t"))
+    tokens = tokens.select(key, "text", "t", F.size("t").alias("n"), F.expr("exists(t, x -> ascii(x) BETWEEN 57344 AND 57346)").alias("open"))
+    tokens = _hashes(tokens, "t")
     tokens = tokens.withColumn("c", F.expr("CASE WHEN open THEN transform(t, x -> CASE WHEN ascii(x) BETWEEN 57344 AND 57346 THEN 0 ELSE 1 END) END"))
-    tokens = tokens.withColumn("h", F.expr(f"CASE WHEN n BETWEEN 1 AND {WINDOW - 1} THEN array(xxhash64(t)) ELSE h END"))
     k = 1
     while k < WINDOW:
-        size = f"greatest(0, size({{0}}) - {k})"
-        tokens = tokens.withColumn("h", F.expr(f"CASE WHEN n < {WINDOW} THEN h ELSE zip_with(slice(h, 1, {size.format('h')}), slice(h, {k + 1}, {size.format('h')}), (x, y) -> xxhash64(x, y)) END"))
-        tokens = tokens.withColumn("c", F.expr(f"CASE WHEN open THEN zip_with(slice(c, 1, {size.format('c')}), slice(c, {k + 1}, {size.format('c')}), (x, y) -> x + y) END"))
+        size = f"greatest(0, size(c) - {k})"
+        tokens = tokens.withColumn("c", F.expr(f"CASE WHEN open THEN zip_with(slice(c, 1, {size}), slice(c, {k + 1}, {size}), (x, y) -> x + y) END"))
         k *= 2
-    tokens = tokens.withColumn("h", F.expr(f"CASE WHEN open AND n >= {WINDOW} THEN zip_with(h, c, (x, y) -> CASE WHEN y >= {MIN_LITERALS} THEN x END) ELSE h END"))
+    # The values are read only where a window needs them.
+    tokens = tokens.withColumn("v", F.when(F.expr(f"open AND exists(c, y -> y < {MIN_LITERALS})"), template(F.col("text"), values=True)))
+    tokens = _hashes(tokens, "v")
+    whole = f"CASE WHEN n BETWEEN 1 AND {WINDOW - 1} THEN array(xxhash64(t)) ELSE t_{WINDOW} END"
+    values = f"zip_with(v_{WINDOW}, c, (x, y) -> CASE WHEN y < {MIN_LITERALS} THEN xxhash64(-1, x) END)"
     # The outer form: from the inner one the optimizer infers a filter on the array, which would make everything twice.
-    out = tokens.select(key, "n", (~F.col("open")).alias("plain"), F.posexplode_outer("h").alias("start", "hash"))
+    out = tokens.select(key, "n", "t", (~F.col("open")).alias("plain"), F.posexplode_outer(F.array(F.expr(whole), F.expr(values))).alias("raw", "hashes"))
+    out = out.select(key, "n", "t", "plain", (F.col("raw") == 1).alias("raw"), F.posexplode_outer("hashes").alias("start", "hash"))
     return out.filter("hash IS NOT NULL")
 
 
+def _wanted(items: DataFrame) -> DataFrame:
+    """item_id, item_n, item_start, hash and kind of the items' windows.
+
+    Kinds: TEMPLATE, RAW (few words, joined by values) and ANCHOR: the window with most words of an item without any of
+    the first kind, to find where its whole template may be.
+    """
+    rows = _windows(items, "item_id").withColumn("literals", F.expr(f"size(filter(slice(t, start + 1, {WINDOW}), x -> ascii(x) NOT BETWEEN 57344 AND 57346))"))
+    own = Window.partitionBy("item_id", "t")
+    rows = rows.withColumn("best", F.max(F.when(~F.col("raw"), F.struct("literals", (-F.col("start")).alias("at")))).over(own))
+    kind = f"""CASE WHEN raw THEN {RAW} WHEN n < {WINDOW} OR literals >= {MIN_LITERALS} THEN {TEMPLATE}
+        WHEN best.literals BETWEEN 1 AND {MIN_LITERALS - 1} AND start = -best.at THEN {ANCHOR} END"""
+    rows = rows.select("item_id", F.col("n").alias("item_n"), F.col("start").alias("item_start"), "hash", F.expr(kind).alias("kind"))
+    return rows.filter("kind IS NOT NULL").distinct()
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_limit: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows, cover_percent, n_slots of each leak."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    wanted = _windows(items, "item_id").select("item_id", F.col("n").alias("item_n"), F.col("start").alias("item_start"), "hash").distinct()
+    wanted = materialize(_wanted(items))
     small = wanted.count() <= broadcast_limit
     seen = _windows(docs, "doc_id").select("doc_id", "n", "start", "hash", F.col("plain").alias("doc_plain"))
     met = seen.join(F.broadcast(wanted) if small else wanted, "hash").filter(f"item_n >= {WINDOW} OR n = item_n")
-    met = met.select("doc_id", "item_id", "item_n", "item_start", (F.col("start") - F.col("item_start")).alias("shift"), "doc_plain").distinct()
+    met = met.select("doc_id", "item_id", "item_n", "item_start", "kind", (F.col("start") - F.col("item_start")).alias("shift"), "doc_plain").distinct()
     # Only alignments that touch a placeholder need the slot check; plain ones have no slots.
-    runs = met.groupBy("doc_id", "item_id", "item_n", "shift").agg(F.array_sort(F.collect_set("item_start")).alias("starts"), F.bool_and("doc_plain").alias("doc_plain"))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("item_start"))))
+    runs = met.groupBy("doc_id", "item_id", "item_n", "shift").agg(of(TEMPLATE).alias("starts"), of(RAW).alias("raw"), F.bool_and("doc_plain").alias("doc_plain"))
     checked = _slots(materialize(runs), docs, items, small)
     total = F.greatest(F.lit(1), F.col("item_n") - WINDOW + 1)
-    out = checked.filter("wrong = 0").groupBy("doc_id", "item_id", "item_n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("starts")))).cast("long").alias("n_windows"), F.sum("slots").alias("n_slots"))
+    out = checked.filter("size(starts) > 0").groupBy("doc_id", "item_id", "item_n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("starts")))).cast("long").alias("n_windows"), F.sum("slots").alias("n_slots"))
     out = out.withColumn("cover_percent", F.round(100 * F.col("n_windows") / total, 3))
     return out.filter((F.col("cover_percent") >= MIN_COVER) | (F.col("n_windows") >= MIN_RUN)).select("doc_id", "item_id", "n_windows", "cover_percent", "n_slots")
 
 
 def _slots(runs: DataFrame, docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """runs with slots (placeholders covered) and wrong (values that stand for several, or share one)."""
+    """doc_id, item_id, item_n, the starts that count on each alignment, and slots (placeholders covered).
+
+    An alignment with a window of enough words, or on which the whole template is equal, takes in all its windows with
+    equal templates; if their slots don't agree, only those of enough words; if these don't either, those of equal values.
+    """
     clear = runs.filter("doc_plain")
     open_runs = runs.filter("NOT doc_plain")
     some = docs.join(open_runs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = items.select("item_id", template(F.col("text"), values=True).alias("it"))
-    texts = some.select("doc_id", template(F.col("text"), values=True).alias("dt"))
+    own = items.select("item_id", template(F.col("text")).alias("im"), template(F.col("text"), values=True).alias("it")).distinct()
+    texts = some.select("doc_id", template(F.col("text")).alias("dm"), template(F.col("text"), values=True).alias("dt"))
     both = open_runs.join(F.broadcast(own) if small else own, "item_id").join(texts, "doc_id")
-    places = f"array_distinct(flatten(transform(starts, s -> sequence(s, s + least({WINDOW}, item_n) - 1))))"
-    places = f"filter({places}, k -> ascii(it[k]) IN (57344, 57346))"
-    pairs = f"transform({places}, k -> struct(it[k] AS a, get(dt, k + shift) AS b))"
-    both = both.withColumn("pairs", F.expr(pairs)).withColumn("kinds", F.expr("array_distinct(pairs)"))
+    # A capitalised word may be a name in one text and open the other, so equal values are equal too.
+    bare = lambda x: f"ltrim('{NUM}{UNIT}{NAME}', {x})"
+    same = f"im[k] <=> get(dm, k + shift) OR {bare('get(it, k)')} <=> {bare('get(dt, k + shift)')}"
+    both = both.withColumn("other", F.expr(f"filter(sequence(0, item_n - 1), k -> NOT ({same}))"))
+    full = f"""CASE WHEN size(starts) > 0 OR size(other) = 0 THEN
+        filter(sequence(0, greatest(0, item_n - {WINDOW})), s -> NOT exists(other, k -> k BETWEEN s AND s + {WINDOW - 1})) ELSE array() END"""
+    both = both.withColumn("full", F.expr(f"array_union(starts, {full})"))
     # A function, and one to one: as many pairs as values on either side.
-    wrong = "size(kinds) - size(array_distinct(transform(kinds, x -> x.a))) + size(kinds) - size(array_distinct(transform(kinds, x -> x.b)))"
-    both = both.select("doc_id", "item_id", "item_n", "starts", F.size("pairs").cast("long").alias("slots"), F.expr(wrong).alias("wrong"))
-    return clear.select("doc_id", "item_id", "item_n", "starts", F.lit(0).cast("long").alias("slots"), F.lit(0).alias("wrong")).unionByName(both)
+    kinds = lambda p: f"size(array_distinct({p}))"
+    right = lambda p: f"{kinds(p)} = {kinds(f'transform({p}, x -> x.a)')} AND {kinds(p)} = {kinds(f'transform({p}, x -> x.b)')}"
+    places = lambda s: f"filter(array_distinct(flatten(transform({s}, s -> sequence(s, s + least({WINDOW}, item_n) - 1)))), k -> ascii(get(it, k)) IN (57344, 57346))"
+    for name in ("full", "starts"):
+        both = both.withColumn(f"{name}_pairs", F.expr(f"transform({places(name)}, k -> struct(get(it, k) AS a, get(dt, k + shift) AS b))"))
+    both = both.withColumn("starts", F.expr(f"array_union(CASE WHEN {right('full_pairs')} THEN full WHEN {right('starts_pairs')} THEN starts ELSE array() END, raw)"))
+    both = both.select("doc_id", "item_id", "item_n", "starts", F.expr(f"cast(size({places('starts')}) as long)").alias("slots"))
+    return clear.select("doc_id", "item_id", "item_n", "starts", F.lit(0).cast("long").alias("slots")).unionByName(both)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,25 @@ def test_leaks_with_other_values(spark):
         assert found.keys() & {1, 2, 3} == {1} and found[1] == 7
 
 
+def test_leaks_of_items_dense_in_values(spark):
+    items = {
+        1: "12 15 18 21 24 27 30 33 36 39 42 45",
+        2: "Compute 12 + 34 + 56 + 78 + 90 + 11 + 13 + 15 + 17",
+        3: "in the class are Anna Bert Carl Dora Emil Fritz Gerd Hans Ida Jana Karl Lisa Mona Nina",
+        4: "Given the following numbers add 3 5 7 9 11 13 15 17 19 21 23",
+    }
+    other = {
+        2: "Compute 22 + 44 + 66 + 88 + 99 + 10 + 14 + 16 + 18", 3: "in the class are Otto Paul Rosa Sven Tina Udo Vera Willi Xenia Yvonne Zora Max Tom Kim",
+        4: "Given the following numbers add 4 6 8 10 12 14 16 18 20 22 24", 5: "Measured were 1 2 3 4 5 6 7 8 9 10 11 12 13 14", 6: "Compute 22 + 44 + 22 + 88 + 99 + 10 + 14 + 16 + 18",
+    }
+    texts = {i: f"Some words first. {t} and then more" for i, t in items.items()} | {10 + i: f"Some words first. {t} and then more" for i, t in other.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for limit in (decontamination.BROADCAST_WINDOWS, 0):
+        found = {(r["doc_id"], r["item_id"]): r["cover_percent"] for r in decontamination.leaks(docs, table, broadcast_limit=limit).collect()}
+        assert found.keys() == {(1, 1), (2, 2), (3, 3), (4, 4), (12, 2), (13, 3), (14, 4)} and all(c <= 100 for c in found.values())
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()
