@@ -15,7 +15,8 @@ times, so they are written to the shared folder once; the documents are cut into
 
 Result: a row per document and leaked item (doc_id, item_id, n_windows, cover_percent, n_slots); clean documents have none.
 Null and empty texts (also those of punctuation alone) and rows with a null id give no rows; repeated rows of one id count once. Items shorter than a
-window match as a whole. Either table may be empty. Other columns are ignored.
+window match as a whole anywhere in a document: windows of each of their lengths are joined too, with other values from 3
+words on (with fewer words, only where they are the whole document). Either table may be empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pagemill.llm.common import materialize, table
 #: Template tokens of a window, and how many of them must not be placeholders.
 WINDOW, MIN_LITERALS = 8, 4
 MIN_COVER, MIN_RUN = 50, 12
-#: How an item's window is joined: by its template, by its values, or by its template to compare the whole item there.
-TEMPLATE, RAW, ANCHOR = range(3)
+#: How an item's window is joined: by its template, by its values, by its template to compare the whole item there, or to whole documents.
+TEMPLATE, RAW, ANCHOR, WHOLE = range(4)
 BROADCAST_WINDOWS = 1_000_000
 #: Placeholders: private characters that no step below alters.
 NUM, UNIT, NAME = "", "", ""
@@ -67,10 +68,17 @@ def _hashes(rows: DataFrame, name: str) -> DataFrame:
     return rows
 
 
-def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, n (template tokens), t, plain, raw, hash and start of each window.
+def _span(name: str, length: int) -> str:
+    """The hashes of all windows of fewer than WINDOW tokens, each from two of a power of two that overlap."""
+    k = 1 << (length.bit_length() - 1)
+    size = f"greatest(0, size({name}) - {length - 1})"
+    return f"zip_with(slice({name}_{k}, 1, {size}), slice({name}_{k}, {length - k + 1}, {size}), (x, y) -> xxhash64({length}, x, y))"
 
-    Every window comes with the hash of its template; one with fewer than MIN_LITERALS words also with that of its values (raw).
+
+def _windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """key, n (template tokens), t, plain, length, raw, hash and start of each window of WINDOW tokens or one of lengths.
+
+    Every window comes with the hash of its template; one that may be joined by its values also with that of these (raw).
     """
     tokens = rows.select(key, "text", template(F.col("text")).alias("t"))
     tokens = tokens.select(key, "text", "t", F.size("t").alias("n"), F.expr("exists(t, x -> ascii(x) BETWEEN 57344 AND 57346)").alias("open"))
@@ -82,27 +90,31 @@ def _windows(rows: DataFrame, key: str) -> DataFrame:
         tokens = tokens.withColumn("c", F.expr(f"CASE WHEN open THEN zip_with(slice(c, 1, {size}), slice(c, {k + 1}, {size}), (x, y) -> x + y) END"))
         k *= 2
     # The values are read only where a window needs them.
-    tokens = tokens.withColumn("v", F.when(F.expr(f"open AND exists(c, y -> y < {MIN_LITERALS})"), template(F.col("text"), values=True)))
+    tokens = tokens.withColumn("v", F.when(F.expr("open" if lengths else f"open AND exists(c, y -> y < {MIN_LITERALS})"), template(F.col("text"), values=True)))
     tokens = _hashes(tokens, "v")
-    whole = f"CASE WHEN n BETWEEN 1 AND {WINDOW - 1} THEN array(xxhash64(t)) ELSE t_{WINDOW} END"
     values = f"zip_with(v_{WINDOW}, c, (x, y) -> CASE WHEN y < {MIN_LITERALS} THEN xxhash64(-1, x) END)"
+    spans = [(WINDOW, False, f"t_{WINDOW}"), (WINDOW, True, values)]
+    spans += [(k, raw, f"transform({_span('v', k)}, x -> xxhash64(-1, x))" if raw else _span("t", k)) for k in lengths for raw in (False, True)]
     # The outer form: from the inner one the optimizer infers a filter on the array, which would make everything twice.
-    out = tokens.select(key, "n", "t", (~F.col("open")).alias("plain"), F.posexplode_outer(F.array(F.expr(whole), F.expr(values))).alias("raw", "hashes"))
-    out = out.select(key, "n", "t", "plain", (F.col("raw") == 1).alias("raw"), F.posexplode_outer("hashes").alias("start", "hash"))
+    out = tokens.select(key, "n", "t", (~F.col("open")).alias("plain"), F.posexplode_outer(F.array(*[F.expr(h) for _, _, h in spans])).alias("span", "hashes"))
+    length, raw = (F.element_at(F.array(*[F.lit(x[i]) for x in spans]), F.col("span") + 1) for i in (0, 1))
+    out = out.select(key, "n", "t", "plain", length.alias("length"), raw.alias("raw"), F.posexplode_outer("hashes").alias("start", "hash"))
     return out.filter("hash IS NOT NULL")
 
 
 def _wanted(items: DataFrame) -> DataFrame:
     """item_id, item_n, item_start, hash and kind of the items' windows.
 
-    Kinds: TEMPLATE, RAW (few words, joined by values) and ANCHOR: the window with most words of an item without any of
-    the first kind, to find where its whole template may be.
+    Kinds: TEMPLATE, RAW (few words, joined by values), ANCHOR: the window with most words of an item without any of
+    the first kind, to find where its whole template may be, and WHOLE: a short item of few words, whose template counts
+    only where it is the whole document.
     """
-    rows = _windows(items, "item_id").withColumn("literals", F.expr(f"size(filter(slice(t, start + 1, {WINDOW}), x -> ascii(x) NOT BETWEEN 57344 AND 57346))"))
+    rows = _windows(items, "item_id", list(range(1, WINDOW))).filter(f"length = least(n, {WINDOW})")
+    rows = rows.withColumn("literals", F.expr("size(filter(slice(t, start + 1, length), x -> ascii(x) NOT BETWEEN 57344 AND 57346))"))
     own = Window.partitionBy("item_id", "t")
     rows = rows.withColumn("best", F.max(F.when(~F.col("raw"), F.struct("literals", (-F.col("start")).alias("at")))).over(own))
-    kind = f"""CASE WHEN raw THEN {RAW} WHEN n < {WINDOW} OR literals >= {MIN_LITERALS} THEN {TEMPLATE}
-        WHEN best.literals BETWEEN 1 AND {MIN_LITERALS - 1} AND start = -best.at THEN {ANCHOR} END"""
+    kind = f"""CASE WHEN raw THEN {RAW} WHEN literals >= {MIN_LITERALS} OR literals = n OR n < {WINDOW} AND literals >= 3 THEN {TEMPLATE}
+        WHEN n < {WINDOW} THEN {WHOLE} WHEN best.literals BETWEEN 1 AND {MIN_LITERALS - 1} AND start = -best.at THEN {ANCHOR} END"""
     rows = rows.select("item_id", F.col("n").alias("item_n"), F.col("start").alias("item_start"), "hash", F.expr(kind).alias("kind"))
     return rows.filter("kind IS NOT NULL").distinct()
 
@@ -113,12 +125,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     wanted = materialize(_wanted(items))
     small = wanted.count() <= broadcast_limit
-    seen = _windows(docs, "doc_id").select("doc_id", "n", "start", "hash", F.col("plain").alias("doc_plain"))
-    met = seen.join(F.broadcast(wanted) if small else wanted, "hash").filter(f"item_n >= {WINDOW} OR n = item_n")
+    lengths = [r["item_n"] for r in wanted.filter(f"item_n < {WINDOW}").select("item_n").distinct().orderBy("item_n").collect()]
+    seen = _windows(docs, "doc_id", lengths).select("doc_id", "n", "start", "hash", F.col("plain").alias("doc_plain"))
+    met = seen.join(F.broadcast(wanted) if small else wanted, "hash").filter(f"kind <> {WHOLE} OR n = item_n")
     met = met.select("doc_id", "item_id", "item_n", "item_start", "kind", (F.col("start") - F.col("item_start")).alias("shift"), "doc_plain").distinct()
     # Only alignments that touch a placeholder need the slot check; plain ones have no slots.
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("item_start"))))
-    runs = met.groupBy("doc_id", "item_id", "item_n", "shift").agg(of(TEMPLATE).alias("starts"), of(RAW).alias("raw"), F.bool_and("doc_plain").alias("doc_plain"))
+    runs = met.groupBy("doc_id", "item_id", "item_n", "shift").agg(F.array_sort(F.collect_set(F.expr(f"CASE WHEN kind IN ({TEMPLATE}, {WHOLE}) THEN item_start END"))).alias("starts"), of(RAW).alias("raw"), F.bool_and("doc_plain").alias("doc_plain"))
     checked = _slots(materialize(runs), docs, items, small)
     total = F.greatest(F.lit(1), F.col("item_n") - WINDOW + 1)
     out = checked.filter("size(starts) > 0").groupBy("doc_id", "item_id", "item_n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("starts")))).cast("long").alias("n_windows"), F.sum("slots").alias("n_slots"))

@@ -143,6 +143,20 @@ def test_leaks_of_items_dense_in_values(spark):
         assert found.keys() == {(1, 1), (2, 2), (3, 3), (4, 4), (12, 2), (13, 3), (14, 4)} and all(c <= 100 for c in found.values())
 
 
+def test_leaks_of_short_items_within_documents(spark):
+    items = {1: "What is the capital of France", 2: "what is 12 plus 30", 3: "in 2020", 4: "photosynthesis", 5: "7 8 9", 6: "name the largest planet"}
+    texts = {
+        1: "Some words first. What is the capital of France? And then more words.", 2: "Some words first. what is 12 plus 30 and then more", 12: "Some words first. what is 7 plus 9 and then more",
+        3: "it was in 2020 that all of this was seen", 13: "it was in 2021 that all of this was seen", 23: "in 1999", 4: "plants live by photosynthesis and by water and light", 5: "the row has 7 8 9 in it and ends", 15: "the row has 1 2 3 in it and ends",
+        6: "name the largest planet", 7: "name the planet that is largest",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for limit in (decontamination.BROADCAST_WINDOWS, 0):
+        found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, table, broadcast_limit=limit).collect()}
+        assert found == {(1, 1), (2, 2), (12, 2), (3, 3), (23, 3), (4, 4), (5, 5), (6, 6)}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()
