@@ -13,14 +13,15 @@ from pagemill.llm import decontamination, language_id, near_duplicates, packing,
 from pagemill.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if its language is unknown or if its best language has less than this part of all corrected counts.
-LEAST_SCORE = 0.4
+#: A document goes if its language is unknown or if less than this part of its n-grams is of its best language, however
+#: many other languages have them too.
+LEAST_KNOWN = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised."""
     filters = language_id.fit(docs)
-    found = language_id.identify(docs, filters, keep=COLUMNS).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = language_id.identify(docs, filters, keep=COLUMNS).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("known") >= LEAST_KNOWN))
     return found.select(*[F.col(f"k_{c}").alias(c) for c in COLUMNS])
 
 

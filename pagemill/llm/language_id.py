@@ -99,10 +99,10 @@ class Filters:
             out[:, i] = np.maximum(0, (np.bincount(owner[bits], minlength=len(texts)) - n * f) / (1 - f))
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score: the winner's part of the n-grams, times its lead over the next language."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score (the winner's part of all languages' counts) and known (the winner's part of the text's n-grams)."""
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        out = [(UNKNOWN, 0.0)] * len(texts)
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         if not known or not self.languages:
             return out
         counts = self.counts([texts[i] for i in known])
@@ -110,9 +110,9 @@ class Filters:
         for i, row, n in zip(known, found, counts[:, -1]):
             top = int(row.argmax())
             if row[top] <= 0:
-                out[i] = (self.most, 0.0)
+                out[i] = (self.most, 0.0, 0.0)
             else:
-                out[i] = (self.languages[top], float(min(1.0, row[top] / row.sum())))
+                out[i] = (self.languages[top], float(min(1.0, row[top] / row.sum())), float(row[top] / n))
         return out
 
 
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs, and the columns named in keep."""
+    """doc_id, held_out, lang_pred, score, known for each row of docs, and the columns named in keep."""
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(filters)
     kinds = dict(docs.dtypes)
@@ -142,12 +142,12 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
     def label(batch):
         found = model.value.predict(batch.column(1).to_pylist())
-        out = {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
+        out = {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "known": [x[2] for x in found]}
         return out | {f"k_{k}": batch.column(3 + i) for i, k in enumerate(keep)}
 
-    return mapped(rows, label, f"doc_id {kinds[id_col]}, held_out boolean, lang_pred string, score double{extra}")
+    return mapped(rows, label, f"doc_id {kinds[id_col]}, held_out boolean, lang_pred string, score double, known double{extra}")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(docs))
+    return identify(docs, fit(docs)).drop("known")

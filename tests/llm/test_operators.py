@@ -169,6 +169,26 @@ def test_language_held_out(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.97
 
 
+def related_languages(n):
+    """Texts of n languages that share nine tenths of their words."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common = [word() for _ in range(45)]
+    texts = {}
+    for i in range(n):
+        words = common + [word() for _ in range(5)]
+        texts[f"l{i:02}"] = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(12)]
+    return texts
+
+
+def test_language_stage_keeps_documents_of_related_languages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(t, x) for x, texts in related_languages(6).items() for t in texts]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, (t, x) in enumerate(rows)] + [(999, "123 456", "l00", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == set(range(len(rows)))
+
+
 def test_pii_base_and_consistency():
     import re
 
