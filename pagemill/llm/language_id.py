@@ -6,7 +6,8 @@ The count of a language is the number of a text's n-grams with its bit; false po
 the language's bits: (count - n * f) / (1 - f), f = fill ** HASHES. The largest corrected count decides.
 
 Learning: n-grams of at most SAMPLE documents of each language (chosen by a hash of the id, LONGEST characters at most)
-go to each language where their share is at least KEEP of the largest share. At most 63 languages.
+go to each language where their share is at least KEEP of the largest share. A slot has as many 64-bit words as the
+languages need.
 
 A text that is null or has no letter gives `und` with score 0. A text without any known n-gram gives the most frequent
 language with score 0. Repeated rows and null ids give a row each; empty tables give no rows; without rows to learn
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import held_out, mapped, prepare, table
 
 N, SLOTS, HASHES = 4, 1 << 18, 3
-#: Fit bounds: documents of a language, characters of a document, languages.
-SAMPLE, LONGEST, LANGUAGES = 1200, 20_000, 63
+#: Fit bounds: documents of a language, characters of a document.
+SAMPLE, LONGEST = 1200, 20_000
+WORD = 64
 KEEP, LEAST = 0.25, 3
 UNKNOWN = "und"
 
@@ -64,7 +66,7 @@ class Filters:
     """The bit-sliced filters of some languages."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)[:LANGUAGES]
+        self.languages = sorted(samples)
         self.most = max(self.languages, key=lambda x: (len(samples[x]), x), default=UNKNOWN)
         shares: list[dict] = []
         for language in self.languages:
@@ -75,12 +77,12 @@ class Filters:
         for share in shares:
             for v, s in share.items():
                 best[v] = max(best[v], s)
-        self.table = np.zeros(SLOTS, np.uint64)
+        self.table = np.zeros((max(1, -(-len(shares) // WORD)), SLOTS), np.uint64)
         for i, share in enumerate(shares):
             kept = np.array([v for v, s in share.items() if s >= KEEP * best[v]], np.uint32)
             for at in _slots(kept):
-                np.bitwise_or.at(self.table, at, np.uint64(1 << i))
-        fill = np.array([((self.table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(self.languages))])
+                np.bitwise_or.at(self.table[i // WORD], at, np.uint64(1 << i % WORD))
+        fill = np.array([((self.table[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(self.languages))])
         self.false = fill**HASHES
         if len(self.languages) <= 8:
             self.table = self.table.astype(np.uint8)  # a table that stays in the cache
@@ -88,14 +90,17 @@ class Filters:
     def counts(self, texts: list[str]) -> np.ndarray:
         """Corrected counts, rows by text and columns by language; the last column is the number of n-grams."""
         keys, owner = grams(texts)
-        masks = None
-        for at in _slots(keys):
-            masks = self.table[at] if masks is None else masks & self.table[at]
+        slots = _slots(keys)
         n = np.bincount(owner, minlength=len(texts)).astype(float)
         out = np.empty((len(texts), len(self.languages) + 1))
         out[:, -1] = n
         for i, f in enumerate(self.false):
-            bits = ((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).astype(bool)
+            if i % WORD == 0:
+                word = self.table[i // WORD]
+                masks = word[slots[0]]
+                for at in slots[1:]:
+                    masks = masks & word[at]
+            bits = ((masks >> masks.dtype.type(i % WORD)) & masks.dtype.type(1)).astype(bool)
             out[:, i] = np.maximum(0, (np.bincount(owner[bits], minlength=len(texts)) - n * f) / (1 - f))
         return out
 
@@ -120,7 +125,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Filters from a bounded sample of each language's rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return Filters({})
     odds = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, SAMPLE / n))])

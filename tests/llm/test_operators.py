@@ -189,6 +189,18 @@ def test_language_stage_keeps_documents_of_related_languages(spark):
     assert kept == set(range(len(rows)))
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(70)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    rows = []
+    for i in range(70):
+        words = [word() for _ in range(20)]
+        rows += [(" ".join(rng.choice(words) for _ in range(60)), f"l{i:02}") for _ in range(9)]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert found == {i: x for i, (_, x) in enumerate(rows)}
+
+
 def test_pii_base_and_consistency():
     import re
 
