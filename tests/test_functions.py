@@ -72,6 +72,20 @@ def test_blob_store(spark, tmp_path):
         store.remove(path)
 
 
+def test_greedy_keep_decides_long_chains(spark):
+    import random
+
+    rng, chain = random.Random(1), [0]
+    while len(chain) < 110:  # near its neighbours in the chain alone
+        new = chain[-1]
+        for bit in rng.sample(range(63), 6):
+            new ^= 1 << bit
+        if all((new ^ old).bit_count() > 8 for old in chain[:-1]):
+            chain.append(new)
+    df = spark.createDataFrame([(0, i, h) for i, h in enumerate(chain)], "cls int, id long, hash long")
+    assert {r["id"]: r["kept"] for r in dedup.greedy_keep(df).collect()} == {i: i % 2 == 0 for i in range(len(chain))}
+
+
 def test_greedy_keep_is_first_come(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("a", 3, 0b11111111_11), ("b", 4, 0)], "cls string, id long, hash long")
     assert {r["id"]: r["kept"] for r in dedup.greedy_keep(df).collect()} == {1: True, 2: False, 3: True, 4: True}
