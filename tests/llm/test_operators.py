@@ -256,6 +256,51 @@ def test_packing_round_trip(spark, odd):
         assert end <= 4096 and (end & (end - 1)) == 0
 
 
+def test_packing_ids_equal_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(4)
+    signs = [*"aBz09 '.,!\n\téÉ\u0338\u0301<>|…“\xa0\u3000\x1c\x02\x85你×ßΣİ", "'s", "'LL", "don't", "<|endoftext|>", "12.5", "½", "\U0001f600", "K", "Å"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["é" * 50_000, "x " * 30_000 + "<|startoftext|> y", "ab" * 40_000]
+    wanted = [[*x.ids, 2] for x in own.encode_batch(texts, add_special_tokens=False)]
+    for segment, cache in ((packing.SEGMENT, packing.CACHE), (100, 300)):  # the second cuts long texts and drops pieces
+        packing.SEGMENT, kept = segment, (packing.SEGMENT, packing.CACHE)
+        packing.CACHE = cache
+        try:
+            for start in range(0, len(texts), 500):
+                ids, ends = encoder.encode([t.encode() for t in texts[start : start + 500]])
+                assert [x.tolist() for x in np.split(ids, ends[:-1])] == wanted[start : start + 500]
+        finally:
+            packing.SEGMENT, packing.CACHE = kept
+
+
+def test_hilbert_curve():
+    n = 4
+    points = np.stack(np.meshgrid(*[np.arange(1 << n)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    at = packing.hilbert(points, n)
+    assert sorted(at.tolist()) == list(range(1 << 3 * n))  # one place each
+    walk = points[np.argsort(at)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()  # in steps of one
+
+
+def test_packing_neighbours_and_padding(spark):
+    rng = random.Random(8)
+    topics = [[f"{a}{b}" for b in ("one", "two", "red", "tree", "water", "light")] for a in ("north", "market", "violin", "glacier")]
+    texts = [" ".join(rng.choice(topics[i % 4]) for _ in range(60)) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(df, tokenizers.path("word_bpe_49k.json"), length=512).orderBy("sequence_id", "offset").collect()
+    of_sequence, filled = {}, Counter()
+    for r in rows:
+        of_sequence.setdefault(r["sequence_id"], []).append(r["doc_id"] % 4)
+        filled[r["sequence_id"]] += r["length"]
+    same = np.mean([a == b for x in of_sequence.values() for a, b in zip(x, x[1:])])
+    assert same > 0.9  # a quarter by chance
+    assert all(n & (n - 1) == 0 and n <= 512 for n in filled.values())  # no sequence is padded
+
+
 def test_html_held_out_layouts():
     model = html_extraction.fit()
     pages = html_extraction.labelled_pages(60, 77)
