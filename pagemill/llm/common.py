@@ -46,6 +46,17 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def chosen(rows: DataFrame, key: str, odds, *columns: str) -> DataFrame:
+    """A sample for learning: the named columns of the least row of each key whose hash falls under odds.
+
+    Null keys are left out and repeated ones count once, so the sample has at most odds times the rows on average,
+    whatever the keys are. Rows come in the order of the keys' hashes.
+    """
+    chance = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.filter(F.col(key).isNotNull() & (chance < odds))
+    return some.groupBy(key).agg(F.min(F.struct(*columns)).alias("row")).orderBy(F.xxhash64(key), key).select("row.*")
+
+
 def per_group(rows: DataFrame, key: str, order: list[str], function, schema: str) -> DataFrame:
     """Deal rows by key and call function(columns as a dict of lists) for runs of whole groups.
 
@@ -68,10 +79,10 @@ def per_group(rows: DataFrame, key: str, order: list[str], function, schema: str
             if start:
                 held.append(batch.slice(0, start))
             if held:
-                yield from _emit(function(pa.Table.from_batches(held)), names, out_schema)
+                yield from emit(function(pa.Table.from_batches(held)), names, out_schema)
             held = [batch.slice(start)]
         if held:
-            yield from _emit(function(pa.Table.from_batches(held)), names, out_schema)
+            yield from emit(function(pa.Table.from_batches(held)), names, out_schema)
 
     dealt = rows.repartition(F.col(key)).sortWithinPartitions(key, *order)
     out_schema = arrow_schema(rows.sparkSession, schema)
@@ -91,7 +102,7 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def _emit(columns, names, schema):
+def emit(columns, names, schema):
     if columns is not None and len(columns[names[0]]):
         yield pa.RecordBatch.from_arrays([pa.array(columns[n], type=schema.field(n).type) for n in names], schema=schema)
 
@@ -104,7 +115,7 @@ def mapped(df: DataFrame, function, ddl: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield from _emit(function(batch), names, schema)
+                yield from emit(function(batch), names, schema)
 
     return df.mapInArrow(run, ddl)
 

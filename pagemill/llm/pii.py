@@ -2,20 +2,27 @@
 
 The base patterns find emails, IP addresses, card and phone numbers. The CRF's variables are the text's tokens with a
 digit or an at sign, which are the only ones that can hold such data; their labels are the four kinds or none. Factors:
-a token's own features (shape, digits, neighbours), linear-chain factors between tokens that stand next to each other,
-and skip factors between a token and the next one with the same letters and digits, however far. Loopy belief
-propagation (sum-product, ROUNDS rounds, all tokens of a batch at once) spreads the labels; base matches are observed.
-Tokens that reach CERTAIN for a kind are added as spans; base spans stay.
-
-Training is piecewise: the features' weights by logistic regression, chain and skip factors as smoothed log-odds of
-label pairs, both on base matches in at most SAMPLE documents chosen by a hash of the id, of LONGEST characters at most.
-
-Null and empty texts have no spans. Repeated rows and null ids give a row each; empty tables give no rows. Other columns
-are ignored. Skip links go to the next equal token only, so their number grows with the text, not with its square.
+a token's own features (shape, digits, checksum, neighbours), linear-chain factors between tokens that stand next to each
+other, and skip factors between a token and an earlier one, however far: one with the same letters and digits, or a
+similar one (the same last digits, the same start of an address, or one other character). Loopy belief propagation
+(sum-product, ROUNDS rounds, all tokens of a batch at once) spreads the labels; base matches are observed. Tokens that
+reach CERTAIN for a kind are added as spans; base spans stay. So a number that was given in full once is also found
+where it stands without its mark or in another writing.
+
+Training is piecewise, on at most SAMPLE documents chosen by a hash of the id: the features' weights by logistic
+regression, edges as smoothed log-odds of label pairs. Base matches alone would teach that what doesn't match is nothing,
+so documents with matches get some of these again without their marks (labelled as what they are), and look-alikes of
+other digits (labelled none), and features are learned from unobserved tokens only: a token's form then says little, and
+what it is linked to decides.
+
+Null and empty texts have no spans. Repeated rows and null ids give a row each (null ids are not learned from); empty
+tables give no rows. Other columns are ignored. Overlapping matches of different kinds all stay, ties in start in the
+kinds' order. A token has a bounded number of links, and every step is linear in the text, however long it or a word is.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from hashlib import sha256
@@ -24,20 +31,27 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mapped, prepare, table
+from pagemill.llm.common import chosen, mapped, prepare, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, LONGEST = 3000, 20_000
-FEATURES, ROUNDS, CERTAIN, STEPS = 1 << 12, 6, 0.9, 120
+EMAIL, IP, CARD, PHONE = range(4)
+SAMPLE = 3000
+FEATURES, ROUNDS, CERTAIN, STEPS = 1 << 12, 8, 0.9, 120
+#: How often training gives a match again without its mark, and a look-alike of it.
+AGAIN, LOOK_ALIKES = 0.6, 0.4
+#: Kinds of edges: neighbours, the same letters and digits, similar ones.
+CHAIN, SAME, SIMILAR = range(3)
+#: Characters between tokens of one number or of neighbours.
+GAP = 3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+_START = re.compile(r"[0-9@]\S*")
 _EDGE = ".,;:!?\"'()[]{}<>|*#%$&="
 _NO_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+_OPEN = re.compile(r"(?<=[^\W\d]) (?=[^\W\d])")
 
 
 def luhn(digits: str) -> bool:
@@ -67,26 +81,29 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     """kind, start, end of the base matches, by start and kind."""
     if not text:
         return []
-    out = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
+    out = [(EMAIL, a, b) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append((1, *m.span()))
+            out.append((IP, *m.span()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
-            out.append((2, *m.span()))
+            out.append((CARD, *m.span()))
     if "+" in text:
         for m in _PHONE.finditer(text):
-            if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
-                out.append((3, *m.span()))
+            if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
+                out.append((PHONE, *m.span()))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
     """Start and end of the tokens with a digit or an at sign, without punctuation around them."""
-    out = []
-    for m in _TOKEN.finditer(text):
+    out, done = [], 0
+    for m in _START.finditer(text):
         a, b = m.span()
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        done = b
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
@@ -97,65 +114,113 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 
 def _shape(token: str) -> str:
-    return re.sub(r"a+", "a", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "d", token)))
+    """Runs of letters as one a, each digit as d; runs of more than 20 digits as D."""
+    return re.sub(r"d{21,}", "D", re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "d", token))))
+
+
+def _word(text: str, at: int, step: int) -> str:
+    """The word before (step -1) or after (step 1) a place."""
+    width = 32
+    while True:
+        part = text[max(0, at - width) : at] if step < 0 else text[at : at + width]
+        words = part.split(None, 1) if step > 0 else part.rsplit(None, 1)
+        whole = at - width <= 0 if step < 0 else at + width >= len(text)
+        inner = part.rstrip() if step < 0 else part.lstrip()
+        if whole or len(inner.split(None, 1)) > 1:
+            return words[0 if step > 0 else -1].lower().strip() if words else ""
+        width *= 2
 
 
 def _features(text: str, a: int, b: int) -> list[int]:
-    token = text[a:b][:64]
-    digits = sum(c.isdigit() for c in token)
-    before, after = text[max(0, a - 24) : a].split()[-1:], text[b : b + 24].split()[:1]
+    token = text[a:b]
+    digits = "".join(re.findall("[0-9]+", token))
     names = [
-        f"shape {_shape(token)[:24]}", f"digits {digits}", f"length {min(30, len(token))}", f"dots {token.count('.')}",
-        f"at {'@' in token}", f"plus {a > 0 and text[a - 1] == '+' or token[0] == '+'}", f"all {digits == len(token)}",
-        f"before {before[0].lower() if before else ''}", f"after {after[0].lower() if after else ''}", "bias",
+        f"shape {_shape(token)}", f"digits {len(digits)}", f"length {(b - a).bit_length()}", f"dots {token.count('.')}", f"at {token.count('@')}",
+        f"plus {a > 0 and text[a - 1] == '+' or token[0] == '+'}", f"all {len(digits) == b - a}", f"sum {len(digits) in range(14, 20) and len(digits) == b - a and luhn(digits)}",
+        f"before {_word(text, a, -1)}", f"after {_word(text, b, 1)}", "bias",
     ]
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
-def _link_key(token: str) -> str:
-    return "".join(c for c in token.lower() if c.isalnum())
+def _keys(token: str) -> tuple[str, list[str]]:
+    """What makes tokens the same, and what makes them similar."""
+    same = "".join(c for c in token.lower() if c.isalnum())
+    digits = "".join(c for c in same if c.isdigit())
+    like = []
+    if len(digits) >= 7 and len(digits) * 2 >= len(same):
+        like.append(f"end {digits[-7:]}")
+    if "@" in token:
+        name, _, host = token.lower().partition("@")
+        like.append(f"mail {name}@{host.split('.')[0]}")
+    if len(same) >= 8:  # with one other character, one half is still the same
+        half = len(same) // 2
+        like += [f"first {len(same)} {same[:half]}", f"second {len(same)} {same[half:]}"]
+    return same, like
+
+
+def _alike(kind: str, a: str, b: str) -> bool:
+    return kind in ("end", "mail") or sum(x != y for x, y in zip(a, b)) <= 1
+
+
+def _links(keys: list[tuple[str, list[str]]], observed: list[int]) -> list[tuple[int, int, int]]:
+    """Edges from each token to the nearest same token on the left and the nearest observed ones on either side, likewise similar ones."""
+    found: set[tuple[int, int, int]] = set()
+    for back in (False, True):
+        last: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        for i in range(len(keys) - 1, -1, -1) if back else range(len(keys)):
+            same, like = keys[i]
+            if len(same) >= 3:
+                for table_, wanted in ((last, not back), (seen, True)):
+                    j = table_.get(same)
+                    if j is not None and wanted:
+                        found.add((min(i, j), max(i, j), SAME))
+                last[same] = i
+                if observed[i]:
+                    seen[same] = i
+            for key in like:
+                for table_, wanted in ((last, not back), (seen, True)):
+                    j = table_.get(key)
+                    if j is not None and wanted and keys[j][0] != same and _alike(key.split()[0], same, keys[j][0]):
+                        found.add((min(i, j), max(i, j), SIMILAR))
+                last[key] = i
+                if observed[i]:
+                    seen[key] = i
+    return sorted(found)
 
 
 class Graph:
-    """Tokens of some texts with observed labels, features and edges (chain: kind 0, skip: kind 1)."""
+    """Tokens of some texts with observed labels, features and edges."""
 
-    def __init__(self, texts: list[str | None], bases: list[list[tuple[int, int, int]]]):
-        self.text_of, self.spans, self.features, self.observed, edges = [], [], [], [], []
+    def __init__(self, texts: list[str | None], bases: list[list[tuple[int, int, int]]], golds: list[list[int]] | None = None):
+        """Without golds, texts with all tokens observed are left out: nothing is to infer in them."""
+        self.text_of, self.spans, features, observed, edges = [], [], [], [], []
         for k, (text, base) in enumerate(zip(texts, bases)):
-            if not text:
-                continue
-            last: dict[str, int] = {}
-            near, first = 0, len(self.spans)
-            found = tokens(text)
+            found = tokens(text) if text else []
             covered = _labels(found, base)
-            if all(covered):  # every token is observed: nothing to infer
+            if not found or golds is None and all(covered):
                 continue
-            for (a, b), label in zip(found, covered):
-                i = len(self.spans)
-                self.text_of.append(k)
-                self.spans.append((a, b))
-                self.features.append(_features(text, a, b))
-                self.observed.append(label)
-                if i > first and a - near <= 3:
-                    edges.append((i - 1, i, 0))
-                key = _link_key(text[a:b])
-                if len(key) >= 3:
-                    if key in last:
-                        edges.append((last[key], i, 1))
-                    last[key] = i
-                near = b
+            first = len(self.spans)
+            self.text_of += [k] * len(found)
+            self.spans += found
+            observed += covered
+            features += [_features(text, a, b) for a, b in found]
+            edges += [(first + i, first + i + 1, CHAIN) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= GAP]
+            edges += [(first + i, first + j, kind) for i, j, kind in _links([_keys(text[a:b]) for a, b in found], covered)]
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
-        self.observed_array = np.array(self.observed, np.int64)
-        self.x = np.array(self.features, np.int64).reshape(len(self.spans), -1) if self.spans else np.empty((0, 1), np.int64)
+        self.observed = np.array(observed, np.int64)
+        self.x = np.array(features, np.int64).reshape(len(self.spans), -1) if self.spans else np.empty((0, 1), np.int64)
 
 
-def _labels(found, base) -> list[int]:
-    """For each token 1 + the kind of a base match that overlaps it, else 0."""
-    out, j = [], 0
+def _labels(found, spans) -> list[int]:
+    """For each token 1 + the kind of the first of the spans (in order of their starts) that overlaps it, else 0."""
+    out, j, open_ = [], 0, []
     for a, b in found:
-        while j < len(base) and base[j][2] <= a and all(s[2] <= a for s in base[j : j + 4]):
+        while j < len(spans) and spans[j][1] < b:
+            open_.append(spans[j])
             j += 1
-        out.append(next((1 + k for k, s, e in base[j : j + 8] if s < b and a < e), 0))
+        open_ = [s for s in open_ if s[2] > a]
+        out.append(1 + open_[0][0] if open_ else 0)
     return out
 
 
@@ -168,9 +233,9 @@ class Model:
     def marginals(self, g: Graph) -> np.ndarray:
         """Beliefs of all tokens after ROUNDS rounds of sum-product messages along all edges, both ways."""
         unary = self.weights[:, g.x].sum(axis=2).T
-        known = g.observed_array > 0
+        known = g.observed > 0
         unary[known] = -30.0
-        unary[known, g.observed_array[known]] = 0.0
+        unary[known, g.observed[known]] = 0.0
         n, labels = unary.shape
         if not len(g.edges):
             return _softmax(unary)
@@ -196,44 +261,81 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str]) -> Model:
+def unmarked(kind: int, value: str, rng: random.Random) -> tuple[str, str]:
+    """A mention without what the base pattern goes by, and what stands right before it."""
+    digits = re.findall("[0-9]+", value)
+    if kind == EMAIL:
+        name, _, host = value.partition("@")
+        return "", f"{name}@{host.split('.')[0]}"
+    if kind == IP:
+        return "", rng.choice("-,_/").join(digits)
+    if kind == CARD:
+        number = "".join(digits)
+        other = "".join(rng.choice("0123456789") for _ in range(rng.randint(4, 16)))
+        return rng.choice([("", rng.choice("./_").join(number[i : i + 4] for i in range(0, len(number), 4))), ("", number + rng.choice("ABX")), (f"{other} ", number)])
+    rest = value.lstrip("+").split(None, 1)
+    rest = rest[-1] if len(rest) > 1 else "".join(digits)[-10:]
+    return "", rng.choice([rest, rest.replace("(", "").replace(") ", rng.choice(".-")).replace("-", "."), "".join(re.findall("[0-9]+", rest))])
+
+
+def _taught(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with some of its matches again without their marks, and look-alikes; and the spans of all but the latter."""
+    base = base_spans(text)
+    places = [m.start() for m in _OPEN.finditer(text)]
+    if not base or not places:
+        return text, base
+    added = []
+    for kind, a, b in rng.sample(base, min(len(base), 6)):
+        if rng.random() < AGAIN:
+            added.append((rng.choice(places), kind, unmarked(kind, text[a:b], rng)))
+        if rng.random() < LOOK_ALIKES:
+            other = "".join(rng.choice("0123456789") if c.isdigit() else rng.choice("abcdefghiklmnoprstuw") if c.isalpha() and kind == EMAIL else c for c in text[a:b])
+            added.append((rng.choice(places), None, unmarked(kind, other, rng)))
+    out, at, size, spans = [], 0, 0, []
+    for place, kind, (before, said) in sorted(added, key=lambda x: (x[0], x[2])):
+        out += [text[at:place], " ", before, said]
+        size += place - at + 1 + len(before)
+        if kind is not None:
+            spans.append((kind, size, size + len(said)))
+        size += len(said)
+        at = place
+    text = "".join([*out, text[at:]])
+    return text, sorted([*base_spans(text), *spans], key=lambda x: (x[1], x[0]))
+
+
+def train(texts: list[str], seed: int = 3) -> Model:
     """Piecewise training on the base matches of the texts."""
-    labels = 1 + len(KINDS)
-    xs, ys, pairs = [], [], np.full((2, labels, labels), 0.1)
-    for text in texts:
-        found = tokens(text)
-        if not found:
-            continue
-        observed = _labels(found, base_spans(text))
-        xs += [_features(text, a, b) for a, b in found]
-        ys += observed
-        last: dict[str, int] = {}
-        for i, (a, b) in enumerate(found):
-            if i and a - found[i - 1][1] <= 3:
-                pairs[0, observed[i - 1], observed[i]] += 1
-            key = _link_key(text[a:b])
-            if len(key) >= 3:
-                if key in last:
-                    pairs[1, observed[last[key]], observed[i]] += 1
-                    pairs[1, observed[i], observed[last[key]]] += 1
-                last[key] = i
-    # Equal tokens nearly always mean the same: as many agreeing pairs of each kind as there are tokens support this.
-    if not ys:
-        return Model(np.zeros((labels, FEATURES)), np.zeros((2, labels, labels)))
-    x, y = np.array(xs), np.array(ys)
-    pairs[1] += np.eye(labels) * np.maximum(2.0, 0.05 * np.bincount(y, minlength=labels))
+    labels, rng = 1 + len(KINDS), random.Random(seed)
+    taught = [_taught(t, rng) for t in texts]
+    pairs = np.full((3, labels, labels), 0.1)
+    golds = [_labels(tokens(t), spans) for t, spans in taught]
+    g = Graph([t for t, _ in taught], [base_spans(t) for t, _ in taught], golds)
+    y = np.array([x for gold in golds for x in gold], np.int64)
+    if not len(y):
+        return Model(np.zeros((labels, FEATURES)), np.zeros((3, labels, labels)))
+    for kind in range(3):
+        own = g.edges[g.edges[:, 2] == kind]
+        np.add.at(pairs[kind], (y[own[:, 0]], y[own[:, 1]]), 1.0)
+        if kind != CHAIN:  # either may come first
+            np.add.at(pairs[kind], (y[own[:, 1]], y[own[:, 0]]), 1.0)
+            pairs[kind] += np.eye(labels)
     share = pairs / pairs.sum(axis=(1, 2), keepdims=True)
     factors = np.log(share) - np.log(share.sum(axis=2, keepdims=True)) - np.log(share.sum(axis=1, keepdims=True))
     weights, grads = np.zeros((labels, FEATURES)), np.full((labels, FEATURES), 1e-6)
-    target = np.eye(labels)[y]
-    for _ in range(STEPS):
+    open_ = g.observed == 0  # the features speak only where nothing is observed
+    x, target = g.x[open_], np.eye(labels)[y[open_]]
+    for _ in range(STEPS if len(x) else 0):
         gap = _softmax(weights[:, x].sum(axis=2).T) - target
-        g = np.stack([np.bincount(x.ravel(), np.repeat(gap[:, k], x.shape[1]), FEATURES) for k in range(labels)]) / len(y) + 1e-4 * weights
-        grads += g * g
-        weights -= 0.2 * g / np.sqrt(grads)
+        step = np.stack([np.bincount(x.ravel(), np.repeat(gap[:, k], x.shape[1]), FEATURES) for k in range(labels)]) / len(x) + 1e-4 * weights
+        grads += step * step
+        weights -= 0.2 * step / np.sqrt(grads)
     return Model(weights, np.clip(factors, -4, 4))
 
 
+#: Most digits of one number of a kind; its tokens are joined up to these.
+_MOST = {CARD: 19, PHONE: 15}
+
+
 def find(texts: list[str | None], model: Model) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
     """Base spans and all spans of each text."""
     bases = [base_spans(t) for t in texts]
@@ -242,16 +344,18 @@ def find(texts: list[str | None], model: Model) -> tuple[list[list[tuple[int, in
     if graph.spans:
         belief = model.marginals(graph)
         label = belief.argmax(axis=1)
-        sure = (graph.observed_array == 0) & (label > 0) & (belief.max(axis=1) >= CERTAIN)
-        end_of = (-1, -1, -1)
-        for i in np.flatnonzero(sure):
+        sure = (graph.observed == 0) & (label > 0) & (belief.max(axis=1) >= CERTAIN)
+        last = None  # text, kind, token, start and digits of the open span
+        for i in np.flatnonzero(sure).tolist():
             k, kind, (a, b) = graph.text_of[i], int(label[i]) - 1, graph.spans[i]
-            if end_of == (k, kind, i - 1) and a - graph.spans[i - 1][1] <= 3:
-                _, start, _ = out[k].pop()
-                out[k].append((kind, start, b))
-            else:
-                out[k].append((kind, a, b))
-            end_of = (k, kind, int(i))
+            n = sum(c.isdigit() for c in texts[k][a:b])
+            if last and last[:3] == (k, kind, i - 1) and a - graph.spans[i - 1][1] <= GAP and last[4] + n <= _MOST.get(kind, 0):
+                out[k].pop()
+                a, n = last[3], last[4] + n
+            elif kind == PHONE and a and texts[k][a - 1] == "(":
+                a -= 1
+            out[k].append((kind, a, b))
+            last = (k, kind, i, a, n)
     return bases, [sorted(s, key=lambda x: (x[1], x[0])) for s in out]
 
 
@@ -263,9 +367,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     """A model from a bounded, hashed sample of the documents with a digit or an at sign."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
     total = max(1, rows.count())
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.filter(chance < SAMPLE / total).select(F.substring("text", 1, LONGEST).alias("text"))
-    return train([r["text"] for r in some.toLocalIterator()])
+    return train([r["text"] for r in chosen(rows, "doc_id", F.lit(SAMPLE / total), "text").toLocalIterator()])
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
