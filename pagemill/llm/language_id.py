@@ -5,13 +5,15 @@ its languages' bits in HASHES slots, and the AND of these slots gives all langua
 The count of a language is the number of a text's n-grams with its bit; false positives are taken off with the fill of
 the language's bits: (count - n * f) / (1 - f), f = fill ** HASHES. The largest corrected count decides.
 
-Learning: n-grams of at most SAMPLE documents of each language (chosen by a hash of the id, LONGEST characters at most)
-go to each language where their share is at least KEEP of the largest share. A slot has as many 64-bit words as the
-languages need.
+Learning: n-grams of at most SAMPLE documents of each language on average (chosen by a hash of the id, whole texts) go
+to each language where their share is at least KEEP of the largest share. The sample's texts pass through the driver one
+by one; it keeps the n-grams' counts. A slot has as many 64-bit words as the languages need.
 
 A text that is null or has no letter gives `und` with score 0. A text without any known n-gram gives the most frequent
-language with score 0. Repeated rows and null ids give a row each; empty tables give no rows; without rows to learn
-from, everything is `und`. Other columns are ignored.
+language with score 0. Of languages with equal counts the first by name is taken. Very long texts are read whole, all
+their n-grams at once. Repeated rows and null ids give a row each (null ids aren't learned from; of repeated ones the
+least language and text count); empty tables give no rows; without rows to learn from, everything is `und`. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import held_out, mapped, prepare, table
+from pagemill.llm.common import chosen, held_out, mapped, prepare, table
 
 N, SLOTS, HASHES = 4, 1 << 18, 3
-#: Fit bounds: documents of a language, characters of a document.
-SAMPLE, LONGEST = 1200, 20_000
+#: Fit bound: documents of a language.
+SAMPLE = 1200
 WORD = 64
 KEEP, LEAST = 0.25, 3
 UNKNOWN = "und"
@@ -57,6 +59,11 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inner], owner[inner]
 
 
+def tally(texts: list[str]) -> Counter:
+    values, counts = np.unique(grams(texts)[0], return_counts=True)
+    return Counter(dict(zip(values.tolist(), counts.tolist())))
+
+
 def _slots(keys: np.ndarray) -> list[np.ndarray]:
     wide = keys.astype(np.uint64)
     return [((wide * np.uint64(m)) >> np.uint64(11)) & np.uint64(SLOTS - 1) for m in _MULTIPLIERS[:HASHES]]
@@ -65,14 +72,15 @@ def _slots(keys: np.ndarray) -> list[np.ndarray]:
 class Filters:
     """The bit-sliced filters of some languages."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str] | Counter], totals: dict[str, int] | None = None):
+        """From texts or n-gram counts of each language; totals: rows of each, where the samples don't say it."""
         self.languages = sorted(samples)
-        self.most = max(self.languages, key=lambda x: (len(samples[x]), x), default=UNKNOWN)
+        self.most = max(self.languages, key=lambda x: ((totals or {}).get(x, len(samples[x])), x), default=UNKNOWN)
         shares: list[dict] = []
         for language in self.languages:
-            values, counts = np.unique(grams(samples[language])[0], return_counts=True)
-            total = max(1, counts.sum())
-            shares.append({v: c / total for v, c in zip(values.tolist(), counts.tolist()) if c >= LEAST})
+            counts = samples[language] if isinstance(samples[language], Counter) else tally(samples[language])
+            total = max(1, counts.total())
+            shares.append({v: c / total for v, c in counts.items() if c >= LEAST})
         best: Counter = Counter()
         for share in shares:
             for v, s in share.items():
@@ -129,12 +137,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not totals:
         return Filters({})
     odds = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, SAMPLE / n))])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.filter(chance < F.coalesce(odds[F.col("lang")], F.lit(0.0))).select("lang", F.substring("text", 1, LONGEST).alias("text"))
-    samples: dict[str, list[str]] = {x: [] for x in totals}
-    for row in some.toLocalIterator():  # SAMPLE rows of each language, on average
-        samples[row["lang"]].append(row["text"])
-    return Filters({k: v for k, v in samples.items() if v})
+    some = chosen(rows, "doc_id", F.coalesce(odds[F.col("lang")], F.lit(0.0)), "lang", "text")
+    counts: dict[str, Counter] = {}
+    held: dict[str, list[str]] = {}
+    for row in some.toLocalIterator():
+        held.setdefault(row["lang"], []).append(row["text"])
+        if sum(map(len, held[row["lang"]])) > 1 << 18:
+            counts.setdefault(row["lang"], Counter()).update(tally(held.pop(row["lang"])))
+    for language, texts in held.items():
+        counts.setdefault(language, Counter()).update(tally(texts))
+    return Filters(counts, totals)
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
