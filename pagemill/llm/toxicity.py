@@ -4,29 +4,35 @@ A sentence's probability is a logistic function of its words and of their first
 document's is the noisy-or of its sentences, 1 - prod(1 - p). The weights minimise the noisy-or's cross entropy on
 document labels, so the model learns itself which sentences offend; these are then located.
 
-Learning takes at most SAMPLE labelled documents of each label, chosen by a hash of the id, of LONGEST characters at
-most, none of them held out; the weight of a label's rows makes up for the sampling. Null and empty texts have no
-sentence and get the score 0. Repeated rows and null ids give a row each; empty tables give no rows; without labels of
-both kinds every score is 0. Other columns are ignored, and no other column is ever an input of the score.
+Learning takes at most SAMPLE labelled documents of each label on average, chosen by a hash of the id, with their whole
+texts, none of them held out; the weight of a label's rows makes up for the sampling. A sentence is the set of its words
+and a document the set of its sentences, in learning and in scoring: saying the same again changes nothing.
+
+Null and empty texts have no sentence and get the score 0. Repeated rows and null ids give a row each (null ids aren't
+learned from; of repeated ones the least text and the highest label count); empty tables give no rows; without labels of
+both kinds every score is 0. Of equally bad sentences the first is the worst one. Very long texts are scored whole, a
+sentence at a time. Other columns are ignored, and no other column is ever an input of the score.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from math import exp
+from array import array
+from math import exp, fsum
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import held_out, mapped, prepare, table
+from pagemill.llm.common import chosen, held_out, mapped, prepare, table
 
-#: Fit bounds: labelled documents of each label, and characters of a document.
-SAMPLE, LONGEST = 2000, 12_000
+#: Fit bound: labelled documents of each label.
+SAMPLE = 2000
 BITS, PREFIXES = 18, (4, 5, 6)
-#: Training: steps, step size, penalty on the weights' size, and documents that a feature must be seen in.
-EPOCHS, RATE, PENALTY, LEAST = 150, 0.1, 1e-4, 4
+#: Training: steps, step size, penalties on the weights' size (to choose features, to weigh them), and documents that a
+#: feature must be seen in.
+EPOCHS, RATE, PENALTY, LIGHT, LEAST = 150, 0.1, 3e-4, 1e-5, 4
 DECISION = 0.7
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -80,35 +86,51 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and start, end and probability of each sentence."""
-        clean, parts = 1.0, []
+        clean, parts, known = 1.0, [], {}
         for start, end, words in sentences(text):
-            z = self.bias + sum(map(self.word, words))
-            p = 1 / (1 + exp(-z)) if z > -30 else 0.0
-            clean *= 1 - p
+            bag = frozenset(words)
+            p = known.get(bag)
+            if p is None:
+                z = self.bias + fsum(map(self.word, bag))  # in any order the same sum
+                p = known[bag] = 1 / (1 + exp(-z)) if z > -30 else 0.0
+                clean *= 1 - p
             parts.append((start, end, float(p)))
         return float(min(1.0, max(0.0, 1 - clean))), parts
 
 
 def train(texts: list[str], labels: list[int], class_weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Full-batch training with adaptive steps (Adam); the gradient of the noisy-or goes to each sentence by its part."""
-    features, sentence_of, doc_of = [], [], []
+    features, sentence_of, doc_of, of_word = array("i"), array("i"), array("i"), {}
     for d, text in enumerate(texts):
-        for _, _, words in sentences(text):
-            for w in set(words):
-                found = word_features(w)
-                features += found
-                sentence_of += [len(doc_of)] * len(found)
+        for words in {frozenset(words): None for _, _, words in sentences(text)}:
+            for w in sorted(words):
+                found = of_word.get(w)
+                if found is None:
+                    found = of_word[w] = word_features(w)
+                features.extend(found)
+                sentence_of.extend([len(doc_of)] * len(found))
             doc_of.append(d)
     if not doc_of or len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), -40.0)
-    features, sentence_of, doc_of, y = np.array(features), np.array(sentence_of), np.array(doc_of), np.array(labels, float)
+    features, sentence_of, doc_of, y = *(np.frombuffer(x, np.int32) for x in (features, sentence_of, doc_of)), np.array(labels, float)
     seen = np.bincount(np.unique(features * np.int64(len(y)) + doc_of[sentence_of]) // len(y), minlength=1 << BITS)
     features, sentence_of = features[seen[features] >= LEAST], sentence_of[seen[features] >= LEAST]
-    used, column = np.unique(features, return_inverse=True)
     row_weight = np.where(y == 1, class_weights[1], class_weights[0]) / len(y)
+    used, w, b = _descend(features, sentence_of, doc_of, y, row_weight, PENALTY, EPOCHS)
+    # The penalty chose the features and made their weights too small; these are learned again without it.
+    kept = np.isin(features, used[w != 0])
+    used, w, b = _descend(features[kept], sentence_of[kept], doc_of, y, row_weight, LIGHT, 4 * EPOCHS)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w
+    return Model(weights, float(b))
+
+
+def _descend(features, sentence_of, doc_of, y, row_weight, penalty: float, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The features used, their weights and the bias of least penalised cross entropy."""
+    used, column = np.unique(features, return_inverse=True)
     w, b = np.zeros(len(used)), -4.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    for t in range(1, EPOCHS + 1):
+    for t in range(1, epochs + 1):
         z = b + np.bincount(sentence_of, w[column], len(doc_of))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         log_clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
@@ -121,23 +143,20 @@ def train(texts: list[str], labels: list[int], class_weights: tuple[float, float
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = RATE / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
         w -= step * (m / (1 - 0.9**t))
-        w = np.sign(w) * np.maximum(0, np.abs(w) - step * PENALTY)  # most words say nothing and get 0
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * penalty)  # most words say nothing and get 0
         b -= RATE * 0.2 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-5)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w
-    return Model(weights, float(b))
+    return used, w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from a bounded, hashed sample of the labelled rows that are not held out."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)").filter(~held_out(F.col("doc_id")))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    odds = {y: min(1.0, SAMPLE / n) for y, n in totals.items()}
-    some = known.filter(chance < F.when(F.col("y") == 1, odds.get(1, 0.0)).otherwise(odds.get(0, 0.0))).dropDuplicates(["doc_id"])
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.substring(F.col(text_col), 1, LONGEST).alias("text"))
-    # The sample is bounded (2 * SAMPLE ids), so its ids may be broadcast.
-    rows = [(r["text"] or "", r["y"]) for r in texts.join(F.broadcast(some), "doc_id").select("text", "y").toLocalIterator()]
+    odds = F.when(F.col("y") == 1, min(1.0, SAMPLE / totals.get(1, 1))).otherwise(min(1.0, SAMPLE / totals.get(0, 1)))
+    some = chosen(known, "doc_id", odds, "doc_id", "y")
+    # The sample is bounded (2 * SAMPLE ids on average), so its ids may be broadcast.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = [(r["text"] or "", r["y"]) for r in chosen(texts, "doc_id", F.lit(1.0), "text", "y").toLocalIterator()]
     # The rows' weights restore the labels' true proportions.
     n = {y: max(1, sum(r[1] == y for r in rows)) for y in (0, 1)}
     total = max(1, sum(totals.values()))
