@@ -182,7 +182,11 @@ def win04_dense_windows(spark, d):
     return windows.dense_windows(pages)
 
 
-@query()
+@query(f"""WITH {_EVENT_FACTS}, b AS (SELECT doc, list(CAST(CAST(floor(epoch(ts)) AS bigint) % 5000 AS double) ORDER BY CAST(floor(epoch(ts)) AS bigint) % 5000) AS breaks FROM ef GROUP BY doc),
+f AS (SELECT doc, list_reduce(list_concat([[0.0::double]], list_transform(breaks, lambda x: [x])),
+  lambda acc, x: CASE WHEN x[1] - acc[-1] >= 50 AND x[1] <= 4950 THEN list_concat(acc, x) ELSE acc END) AS found FROM b),
+p AS (SELECT doc, CASE WHEN len(found) >= 2 THEN found ELSE [0.0, 1123.0, 2246.0, 3369.0, 4492.0] END AS starts FROM f)
+SELECT doc, unnest(range(0, len(starts))) AS page, unnest(starts) AS y FROM p""")
 def win06_page_bounds(spark, d):
     e = _event_facts(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list((F.unix_timestamp("ts") % 5000).cast("double"))).alias("breaks"))
     return e.select("doc", F.posexplode(windows.page_bounds(F.col("breaks"), F.lit(5000.0))).alias("page", "y"))
@@ -338,7 +342,12 @@ def join12_near_pairs(spark, d):
     return dedup.near_pairs(_hashes(spark, d), 20, 21)
 
 
-@query()
+@query("""WITH s AS (SELECT label AS cls, vec_id AS id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings),
+g AS (SELECT cls, list({'id': id, 'b': b} ORDER BY id) AS all_ FROM s GROUP BY cls),
+k AS (SELECT cls, all_, list_reduce(list_transform(all_, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc,
+  lambda y: list_sum(list_transform(range(1, 65), lambda i: abs(y.b[i] - x[1].b[i]))) <= 20)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM g),
+u AS (SELECT cls, unnest(all_).id AS id, [y.id FOR y IN kept] AS kept FROM k)
+SELECT cls, id, list_contains(kept, id) AS kept FROM u""")
 def ded01_greedy_keep(spark, d):
     return dedup.greedy_keep(_hashes(spark, d), 20).select("cls", "id", "kept")
 
@@ -389,9 +398,10 @@ def set01_union(spark, d):
     return convert.union_checked(a, table(spark, d, "events").select(F.col("event_type").alias("lang"), F.col("event_id").alias("doc_id")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def set04_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").select("p_partkey").join(returned, "p_partkey", "left_anti")
 
 
 @query("""WITH s AS (SELECT source, row_number() OVER (ORDER BY md5('42|' || source), source) <= round_even(0.25 * count(*) OVER (), 0) AS test FROM (SELECT DISTINCT source FROM documents))
@@ -422,9 +432,14 @@ def str13_inject(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(tx.inject_style(h, F.lit("p{}"))).cast("long").alias("n_styled"), (F.instr(h, "</head>") > 0).alias("had_head"), F.length(tx.inject_base(h, F.lit("/x"))).cast("long").alias("n_based"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS bigint) AS k FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract(props, '$.k') AS integer) END AS idx,
+CASE WHEN event_id % 2 = 0 THEN event_type END AS value FROM events""")
 def arr02_parse_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Answers of replies; every second reply is cut off and has none."""
+    e = table(spark, d, "events").withColumn("k", F.from_json("props", "k int")["k"])
+    whole = F.concat(F.lit('[{"query": "q", "value": "'), "event_type", F.lit('", "index": '), F.coalesce(F.col("k").cast("string"), F.lit("null")), F.lit("}]"))
+    a = enc.parse_answers(F.when(F.col("event_id") % 2 == 0, whole).otherwise(F.substr(whole, F.lit(2))))
+    return e.select("event_id", F.get(a, F.lit(0))["index"].alias("idx"), F.get(a, F.lit(0))["value"].alias("value"))
 
 
 @query("SELECT page_id, substr(sha256(url), 1, 12) AS h12, md5(url) AS m FROM pages")
@@ -432,7 +447,8 @@ def arr08_digests(spark, d):
     return table(spark, d, "pages").select("page_id", enc.url_key(F.col("url")).alias("h12"), F.md5("url").alias("m"))
 
 
-@query()
+@query(f"""WITH {_LINES}, a AS (SELECT doc, pos, '{{"query":"' || query || '","value":"' || value || '","box_2d":[' || array_to_string([CAST(CAST(round_even(x * 1000, 0) AS integer) AS varchar) FOR x IN [x0, y0, x1, y1]], ',') || '],"index":' || idx || '}}' AS t FROM lines)
+SELECT doc, '[' || string_agg(t, ',' ORDER BY pos) || ']' AS target, CAST(count(*) AS integer) AS n_parsed FROM a GROUP BY doc""")
 def arr01_targets(spark, d):
     rows = lines(spark, d).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "query", "value", F.col("box").alias("bounding_box"), "index"))), lambda a: F.struct(a["query"].alias("query"), a["value"].alias("value"), a["bounding_box"].alias("bounding_box"), a["index"].alias("index"))).alias("answers"))
     target = rows.select("doc", enc.make_target(F.col("answers")).alias("target"))
@@ -448,10 +464,15 @@ def src12_filings(spark, d):
     return facts.filings(s, ["N"], 2).select("cik", "accession", F.col("rn").cast("long").alias("rn"))
 
 
-@query("SELECT conv_id, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+@query("""SELECT doc_id, 'user,assistant' AS roles, doc_id % 4 + 1 AS n_user, repeat('image,', CAST(doc_id % 4 AS integer)) || 'text' AS kinds,
+substr(text, 1, 20) AS prompt, lang AS target FROM documents""")
 def udf22_conversations(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
-    return c.select("conv_id", F.size("x").cast("long").alias("n_turns"), F.array_join(F.transform("x", lambda v: v["role"]), ",").alias("roles"))
+    c = stages.conversation((F.col("doc_id") % 4).cast("int"), F.substr("text", F.lit(1), F.lit(20)), F.col("lang"))
+    user = F.col("c")[0]["content"]
+    return table(spark, d, "documents").select("doc_id", c.alias("c")).select(
+        "doc_id", F.array_join(F.col("c")["role"], ",").alias("roles"), F.size(user).cast("long").alias("n_user"), F.array_join(user["type"], ",").alias("kinds"),
+        F.element_at(user, -1)["text"].alias("prompt"), F.col("c")[1]["content"][0]["text"].alias("target"),
+    )
 
 
 @query("SELECT doc_id, 'm:' || substr(md5('[(''doc_id'', ''' || doc_id || '''), (''lang'', ''' || lang || ''')]'), 1, 12) AS label FROM documents")
@@ -460,17 +481,22 @@ def udf01_model_stage(spark, d):
     return stages.run(table(spark, d, "documents").select("doc_id", "lang"), lambda row: {"label": model(row)}, "label string").select("doc_id", "label")
 
 
-@query()
+@query("""WITH w AS (SELECT l_orderkey AS doc, unnest(range(0, count(*))) AS first FROM lineitem GROUP BY 1)
+SELECT doc, 'total' AS query, CAST(first AS varchar) AS value, CAST(first AS integer) AS index, 10 AS x1 FROM w""")
 def udf12_ask(spark, d):
     docs = _pages(spark, d)
     asked = docs.select("doc", F.array(F.lit("total")).alias("queries"))
-    return stages.ask(docs, asked, lambda row: {"reply": f'[{{"query": "total", "value": "{row["first"]}", "box_2d": [0, 0, 10, 10], "index": 0}}]'})
+    return stages.ask(docs, asked, lambda row: {"reply": f'[{{"query": "total", "value": "{row["first"]}", "box_2d": [0, 0, 10, 10], "index": 0}}]'}).select("doc", "query", "value", "index", F.col("box_2d")[2].alias("x1"))
 
 
-@query("SELECT conv_id, turn, 'find' AS name FROM conversations")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN role END AS name, CASE WHEN turn % 3 < 2 THEN '{"n": ' || turn || '}' END AS arguments FROM conversations""")
 def arr07_tool_calls(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.lit('x <tool_call> {"name": "find", "arguments": {"query": "a}} </tool_call>').alias("text"))
-    return c.withColumn("call", rw.tool_call_column("text")).select("conv_id", "turn", F.col("call.name").alias("name"))
+    """Calls that are whole, that lack a quotation mark and that are none, by turn."""
+    turn = F.col("turn").cast("string")
+    whole = F.concat(F.lit('x <tool_call> {"name": "'), "role", F.lit('", "arguments": {"n": '), turn, F.lit("}} </tool_call> y"))
+    cut = F.concat(F.lit('<tool_call>{"arguments": {"n": '), turn, F.lit('}, "name": "'), "role", F.lit("}</tool_call>"))
+    text = F.when(F.col("turn") % 3 == 0, whole).when(F.col("turn") % 3 == 1, cut).otherwise(F.concat(F.lit("<tool_call>["), turn, F.lit("]</tool_call>")))
+    return table(spark, d, "conversations").select("conv_id", "turn", rw.tool_call_column(text).alias("call")).select("conv_id", "turn", "call.name", "call.arguments")
 
 
 @query("SELECT n_name, r_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")

@@ -10,7 +10,8 @@ from pagemill.functions import encoding as enc
 from pagemill.functions import numeric as num
 from pagemill.functions import rewriting as rw
 from pagemill.functions import text as tx
-from pagemill.operators import convert, dedup, facts, sampling, search, windows
+from pagemill.operators import convert, dedup, facts, preview, sampling, search, windows
+from pagemill.plans import generation
 from pagemill.plans import model_stages as stages
 from pagemill.sources.files import table
 from pagemill.streaming import incremental
@@ -266,8 +267,74 @@ def src13_decoded_cells(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", pdf.alias("pdf")).select("doc_id", (F.length("pdf") > 5).alias("stored"), F.substring(F.md5(F.expr("substring(pdf, 6)")), 1, 6).alias("h"))
 
 
-@query()
+@query("""SELECT doc_id, '<p><span data-field="f' || doc_id || '">{{ f' || doc_id || ' }}</span><input data-field=''x[{{ i }}]'' value="{{ x[i] }}"/><b data-field="k">{{ k }}</b></p>' AS html,
+'{"span": 1, "input": 1}' AS counts, '<td>Name of ' || lang || ': </td><span class="input-line" data-field="name_of_' || lang || '">{{ name_of_' || lang || ' }}</span><input type="text" data-field="name_of_' || lang || '_2" value="{{ name_of_' || lang || '_2 }}"><input type="radio">' AS enriched,
+CAST(2 AS integer) AS added FROM documents""")
 def str16_repaired_pages(spark, d):
-    """Unbound elements bound to their names; Python rewriting in Arrow batches."""
-    out = table(spark, d, "pages").select("page_id", rw.repair_bindings_column(F.col("html")).alias("r"), rw.enrich_blanks_column(F.col("html")).alias("e"))
-    return out.select("page_id", "r.counts", F.col("e.added").alias("added"))
+    """Unbound elements bound to their names, and blanks named by the text before them; Python rewriting in Arrow batches."""
+    key = F.col("doc_id").cast("string")
+    page = F.concat(F.lit('<p><span data-field="f'), key, F.lit("\">old</span><input data-field='x[{{ i }}]'/><b data-field=\"k\">{{ k }}</b></p>"))
+    form = F.concat(F.lit("<td>Name of "), "lang", F.lit(': </td><span class="input-line"> </span><input type="text"><input type="radio">'))
+    out = table(spark, d, "documents").select("doc_id", rw.repair_bindings_column(page).alias("r"), rw.enrich_blanks_column(form).alias("e"))
+    return out.select("doc_id", "r.html", "r.counts", F.col("e.html").alias("enriched"), "e.added")
+
+
+@query("""WITH c AS (SELECT doc_id % 50 AS doc, doc_id, '<style>p' || doc_id || '</style>' AS style, 'b' || lang || doc_id AS body, lang FROM documents)
+SELECT doc, CASE WHEN count(*) = 1 THEN '<html><head>' || any_value(style) || '</head><body>' || any_value(body) || '</body></html>' ELSE
+'<html><head>' || first(style ORDER BY doc_id) || chr(10) || array_to_string(list(style ORDER BY doc_id)[2:], chr(10)) || chr(10) || '</head><body>' || string_agg(body, chr(10) ORDER BY doc_id) || '</body></html>' END AS html,
+CAST(count(DISTINCT lang) AS integer) AS n_fields FROM c GROUP BY doc""")
+def str09_merged_templates(spark, d):
+    page = F.concat(F.lit("<html><head><style>p"), F.col("doc_id").cast("string"), F.lit("</style></head><body>b"), "lang", F.col("doc_id").cast("string"), F.lit("</body></html>"))
+    chunks = table(spark, d, "documents").groupBy((F.col("doc_id") % 50).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("doc_id", page.alias("html"), F.array("lang").alias("fields")))).alias("c"))
+    merged = tx.merge_templates(F.transform("c", lambda x: F.struct(x["html"].alias("html"), x["fields"].alias("fields"))))
+    return chunks.select("doc", merged.alias("m")).select("doc", "m.html", F.size("m.fields").alias("n_fields"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS slug, l_linenumber AS page, l_partkey % 5 <> 0 AS there FROM lineitem),
+w AS (SELECT slug, unnest(range(1, 7)) AS first FROM (SELECT DISTINCT slug FROM l)),
+m AS (SELECT w.slug, first, count(DISTINCT page) AS n FROM w JOIN l ON w.slug = l.slug AND page BETWEEN first AND first + 1 AND there GROUP BY ALL HAVING count(DISTINCT page) = 2)
+SELECT slug, first, slug || '_' || (row_number() OVER (PARTITION BY slug ORDER BY first) - 1) AS source FROM m""")
+def prj09_window_rows(spark, d):
+    li = table(spark, d, "lineitem").filter("l_partkey % 5 <> 0").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").cast("long").alias("page")).distinct().withColumn("image", F.lit("x"))
+    slugs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("slug")).distinct()
+    windows_ = slugs.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long")))).select("slug", F.col("first").alias("window"), "first", (F.col("first") + 1).alias("last"))
+    return generation.window_rows(windows_, li).select("slug", "first", "source")
+
+
+@query("""WITH q AS (SELECT doc_id, lang, source, n_chars, dense_rank() OVER (PARTITION BY lang ORDER BY f) - 1 AS r FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang, source) AS f FROM documents))
+SELECT doc_id, CAST(r % 14 AS integer) AS colour, CASE WHEN length(source || ': ' || n_chars) > 78 THEN substr(source || ': ' || n_chars, 1, 77) || '...' ELSE source || ': ' || n_chars END AS label,
+n_chars / 10.0 AS x1, greatest(0.0, 0.5 * 200 - 12) AS label_y FROM q""")
+def snk12_annotations(spark, d):
+    docs = table(spark, d, "documents")
+    box = F.array(F.lit(0.1), F.lit(0.5), F.col("n_chars") / 1000.0, F.lit(0.9))
+    answers = docs.select(F.col("lang").alias("doc"), F.col("doc_id").alias("pos"), F.col("source").alias("query"), F.col("n_chars").cast("string").alias("value"), box.alias("box"), F.lit(0).alias("page"))
+    pages = docs.select(F.col("lang").alias("doc"), F.lit(0).alias("page"), F.lit(100).alias("width"), F.lit(200).alias("height")).distinct()
+    out = preview.annotations(answers, pages)
+    return out.select(F.col("pos").alias("doc_id"), "colour", "label", "rect.x1", "rect.label_y")
+
+
+@query("SELECT doc_id, lang, n_chars % 3 = 1 AS single, lang = 'en' AND source LIKE '%a%' AS wanted FROM documents")
+def prj11_predicates(spark, d):
+    docs = table(spark, d, "documents")
+    kind = F.when(F.col("source").contains("a"), "report")
+    evidence = F.sequence(F.lit(1), (F.col("n_chars") % 3).cast("int"))
+    evidence = F.when(F.col("n_chars") % 3 == 0, F.array().cast("array<int>")).otherwise(evidence)
+    return docs.select("doc_id", "lang", convert.single_page(evidence).alias("single"), convert.of_kinds(F.col("lang"), kind, ("report",)).alias("wanted"))
+
+
+@query("SELECT doc_id AS path FROM (SELECT lpad(CAST(doc_id AS varchar), 12, '0') AS doc_id FROM documents) WHERE doc_id > '000000000100'")
+def prj03_list_paths(spark, d):
+    return search.list_paths(table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path")), "000000000100")
+
+
+@query("""WITH f AS (SELECT conv_id, list(DISTINCT role || turn ORDER BY role || turn) AS fields FROM conversations GROUP BY conv_id),
+b AS (SELECT *, greatest(1, CAST(ceil(0.3 * len(fields)) AS integer)) AS lo FROM f)
+SELECT conv_id, CAST(greatest(lo, least(2, greatest(lo, CAST(floor(0.9 * len(fields)) AS integer)))) AS integer) AS n, true AS known FROM b""")
+def udf10_selected_queries(spark, d):
+    """Two proposals (the last and the first field, one of them again, and an unknown one), clamped to the band."""
+    f = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.concat("role", F.col("turn").cast("string")))).alias("fields"))
+    say = lambda x, q: F.struct(x.alias("field"), F.lit(q).alias("query"))
+    last, first = F.element_at("fields", -1), F.element_at("fields", 1)
+    proposals = F.array(say(last, " What? "), say(F.lit("other"), "x"), say(last, "again"), say(first, "Who?"))
+    out = f.withColumn("s", generation.selected_queries(F.col("fields"), proposals, F.lit("question"), F.col("conv_id")))
+    return out.select("conv_id", F.size("s").alias("n"), (F.forall("s", lambda x: F.array_contains("fields", x["field"])) & (F.col("s")[0]["query"] == "What?")).alias("known"))

@@ -43,7 +43,7 @@ def make_target(answers: Column) -> Column:
 
 def parse_answers(text: Column) -> Column:
     """ARR-02: answers of JSON text, null where it is no array."""
-    return F.from_json(text, schemas.PREDICTION)
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, schemas.PREDICTION))  # a lone object would be taken for one
 
 
 def parse_tolerant(text: Column) -> tuple[Column, Column]:

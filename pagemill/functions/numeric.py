@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = "  \t\n"
+#: Most places that a scale may move the point.
+MOST_PLACES = 9999
 
 
 def to_thousandths(box: Column) -> Column:
@@ -49,16 +51,36 @@ def currency_of(measures: Column) -> Column:
     return F.when(F.size(found) > 0, F.substring_index(F.get(found, F.lit(0)), ":", -1))
 
 
+def shifted(number: Column, places: Column) -> Column:
+    """A plain decimal number's text times a power of ten, exact for any number of digits, without zeros around it.
+
+    Moves the point in the text, so there is no type whose range could end the job. Signs are kept, zero has none.
+    """
+    digits = F.regexp_replace(number, "^[+-]", "")
+    whole, part = F.substring_index(digits, ".", 1), F.when(F.instr(digits, ".") > 0, F.substring_index(digits, ".", -1)).otherwise(F.lit(""))
+    zeros = F.repeat(F.lit("0"), F.abs(places))
+    right, left = F.concat(part, zeros), F.concat(zeros, whole)
+    up = F.concat(whole, F.left(right, places), F.lit("."), F.substr(right, places + 1))
+    down = F.concat(F.left(left, F.length(left) + places), F.lit("."), F.right(left, -places), part)
+    moved = F.when(places > 0, up).when(places < 0, down).otherwise(F.concat(whole, F.lit("."), part))
+    moved = F.regexp_replace(moved, "^0+(?=[0-9])", "")
+    plain = F.concat(F.when(F.substring_index(moved, ".", 1) == "", F.lit("0")).otherwise(F.substring_index(moved, ".", 1)), F.lit("."), F.rtrim(F.substring_index(moved, ".", -1), F.lit("0")))
+    plain = F.regexp_replace(plain, "\\.$", "")
+    return F.when(number.startswith("-") & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
+
+
 def canonical_value(raw: Column, scale: Column, sign: Column, fmt: Column, measures: Column) -> Column:
-    """MTH-05: the full value with its unit, or null where the text is no number. A percent sign is dropped unscaled."""
+    """MTH-05: the full value with its unit, or null where the text is no number or the scale is none between -MOST_PLACES
+    and MOST_PLACES (a value's text is that long). Any number of digits is exact. A percent sign is dropped unscaled."""
     t = F.translate(F.coalesce(raw, F.lit("")), BLANKS, "")
     t = F.when(F.coalesce(F.instr(fmt, "comma-decimal"), F.lit(0)) > 0, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
     t = F.regexp_replace(F.translate(t, "%", ""), r"^\$+", "")
-    d = t.try_cast("decimal(28,10)")
-    powers = F.array(*[F.lit(f"1e{k}").cast("decimal(24,9)") for k in range(-9, 13)])  # folded to a constant
-    power = F.get(powers, scale.try_cast("int") + 9)
-    scaled = F.when(F.coalesce(scale, F.lit("")) == "", d.cast("decimal(38,10)")).otherwise((d * power).cast("decimal(38,10)"))
-    num = format_number(F.when(sign == "-", -scaled).otherwise(scaled))
+    power = F.coalesce(F.nullif(F.regexp_extract(t, r"[eE]([+-]?[0-9]{1,4})$", 1), F.lit("")).try_cast("int"), F.lit(0))
+    number = F.regexp_replace(t, r"[eE][+-]?[0-9]{1,4}$", "")
+    places = F.when(F.coalesce(scale, F.lit("")) == "", F.lit(0)).otherwise(F.trim(scale).try_cast("int")) + power
+    valid = number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$") & (F.abs(places) <= MOST_PLACES)
+    turned = F.when(sign == "-", F.when(number.startswith("-"), F.substr(number, F.lit(2))).otherwise(F.concat(F.lit("-"), F.regexp_replace(number, "^[+]", "")))).otherwise(number)
+    num = F.when(valid, shifted(turned, places))
     currency, shares = currency_of(measures), F.array_contains(measures, "xbrli:shares")
     return (
         F.when(currency.isNotNull() & shares, F.concat(currency, F.lit(" "), num, F.lit(" per share")))

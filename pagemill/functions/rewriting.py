@@ -9,6 +9,14 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import SIGNATURE_HINTS
+
+#: The tag before a tool call; elements that hold signatures, bound text, and inputs that take none.
+CALL = "<tool_call>"
+SIGNED_TAGS = ("span", "div", "td", "p")
+BOUND_TAGS = ("span", "a", "td", "th", "li", "sup", "sub", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "em", "i", "label", "textarea")
+UNNAMED_INPUTS = ("checkbox", "radio", "hidden", "submit", "button", "file")
+
 
 def repair_json(text: str) -> str:
     """ARR-06: a closing bracket met inside a string ends the string first; escapes are kept whole."""
@@ -27,14 +35,19 @@ def repair_json(text: str) -> str:
 
 
 def tool_call(text: str | None) -> tuple[str, str] | None:
-    """ARR-07: name and JSON arguments of the first tool call in a message, repaired if need be."""
-    m = re.search(r"<tool_call>\s*(\{.*?\})\s*</tool_call>", text or "", re.S)
-    for attempt in (m.group(1), repair_json(m.group(1))) if m else ():
-        try:
-            call = json.loads(attempt)
-            return call["name"], json.dumps(call["arguments"])
-        except (ValueError, KeyError, TypeError):
-            pass
+    """ARR-07: name and JSON arguments of the first tool call in a message that can be read, repaired if need be."""
+    text, at = text or "", 0
+    decoder = json.JSONDecoder()
+    while (tag := text.find(CALL, at)) >= 0:
+        at = tag + len(CALL)
+        rest = text[at:].lstrip()
+        for candidate in (rest, repair_json(rest.partition(CALL.replace("<", "</"))[0])):
+            try:  # the decoder stops where the object ends, whatever follows
+                call, _ = decoder.raw_decode(candidate)
+            except ValueError:
+                continue
+            if isinstance(call, dict) and isinstance(call.get("name"), str) and "arguments" in call:
+                return call["name"], json.dumps(call["arguments"])
     return None
 
 
@@ -69,67 +82,131 @@ def signature_svg(name: str, seed: str = "") -> str:
     return f'<svg viewBox="0 0 {x + 6:.0f} 60" width="180" height="48"><path d="{" ".join(path)}" fill="none" stroke="#1a237e" stroke-width="2"/></svg>'
 
 
+class Tag:
+    """A tag of a page: its place, name (lower case), attributes as they stand, and whether it closes."""
+
+    __slots__ = ("attributes", "closes", "end", "name", "start")
+
+    def __init__(self, m: re.Match):
+        self.start, self.end = m.span()
+        self.closes, self.name, self.attributes = bool(m.group(1)), m.group(2).lower(), m.group(3)
+
+    def get(self, name: str) -> str | None:
+        m = re.search(rf"""(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", self.attributes)
+        return next((x for x in m.groups() if x is not None), None) if m else None
+
+
+_TAG = re.compile(r"""<(/?)([A-Za-z][\w-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+
+
+def tags(html: str) -> list[Tag]:
+    return [Tag(m) for m in _TAG.finditer(html)]
+
+
+def leaves(html: str, found: list[Tag]):
+    """Pairs of an opening tag and its closing tag that have only text between them."""
+    for open_, close in zip(found, found[1:]):
+        if not open_.closes and close.closes and open_.name == close.name and not open_.attributes.endswith("/"):
+            yield open_, close
+
+
+def spliced(html: str, edits: list[tuple[int, int, str]]) -> str:
+    """html with the places start to end replaced, in order of place."""
+    out, at = [], 0
+    for start, end, new in sorted(edits):
+        out += [html[at:start], new]
+        at = end
+    return "".join([*out, html[at:]])
+
+
 def inject_signatures(html: str, names: list[str], seed: str = "") -> tuple[str, list[str]]:
-    """STR-14: the first leaf element of each signature field gives way to a drawing; returns the names used."""
-    used = []
+    """STR-14: the content of the first element of each signature field becomes a drawing, the element stays; the names used.
+
+    Names that don't speak of a signature and lists are passed over; so is a field whose element holds one of its own kind.
+    """
+    used, edits, found = [], [], tags(html)
     for name in names:
-        if "[]" in name:
+        if "[]" in name or not any(hint in name.lower() for hint in SIGNATURE_HINTS):
             continue
-        found = re.search(rf"<(\w+)\b[^>]*data-field=([\"']){re.escape(name)}\2[^>]*>[^<]*</\1>", html)
-        if found:
-            html = html[: found.start()] + signature_svg(name, seed) + html[found.end() :]
-            used.append(name)
-    return html, used
+        for i, tag in enumerate(found):
+            if tag.closes or tag.name not in SIGNED_TAGS or tag.get("data-field") != name:
+                continue
+            end = next((t for t in found[i + 1 :] if t.name == tag.name), None)
+            if end is not None and end.closes and not any(a < end.start and tag.end < b for a, b, _ in edits):
+                edits.append((tag.end, end.start, signature_svg(name, seed)))
+                used.append(name)
+                break
+    return spliced(html, edits), used
 
 
 def repair_bindings(html: str) -> tuple[str, dict[str, int]]:
-    """STR-16: leaf elements and inputs with a data-field but no expression are bound to it; running it again changes nothing."""
+    """STR-16: text-only elements and inputs with a data-field but no expression are bound to it; running it again changes nothing."""
     counts: dict[str, int] = {}
+    edits, found = [], tags(html)
+    expression = lambda tag: "{{ " + re.sub(r"\{\{\s*(.*?)\s*\}\}", r"\1", tag.get("data-field")) + " }}"
+    for open_, close in leaves(html, found):
+        if open_.name in BOUND_TAGS and open_.get("data-field") is not None and "{{" not in html[open_.end : close.start]:
+            edits.append((open_.end, close.start, expression(open_)))
+            counts[open_.name] = counts.get(open_.name, 0) + 1
+    for tag in found:
+        if tag.name == "input" and not tag.closes and tag.get("data-field") is not None and tag.get("value") is None:
+            at = tag.end - 1 - tag.attributes.endswith("/")
+            at -= len(html[:at]) - len(html[:at].rstrip())
+            edits.append((at, at, f' value="{expression(tag)}"'))
+            counts["input"] = counts.get("input", 0) + 1
+    return spliced(html, edits), counts
+
+
+def underlined_classes(html: str) -> set[str]:
+    """STR-25: classes whose rule in a style element draws a bottom border; selectors of more than a class don't count."""
+    out: set[str] = set()
+    for style in re.findall(r"(?is)<style[^>]*>(.*?)</style>", html):
+        for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", style):
+            if "border-bottom" in body:
+                out.update(m.group(1) for x in selectors.split(",") if (m := re.fullmatch(r"\s*[a-z0-9]*\.([\w-]+)\s*", x)))
+    return out
 
-    def expression(name):
-        return re.sub(r"\{\{\s*(.*?)\s*\}\}", r"\1", name)
-
-    def leaf(m):
-        tag, attributes, name, inner = m.group(1), m.group(2), m.group(4), m.group(5)
-        if "{{" in inner or "{%" in inner or tag.lower() in ("select", "option", "textarea"):
-            return m.group(0)
-        counts[tag.lower()] = counts.get(tag.lower(), 0) + 1
-        return f"<{tag}{attributes}>{{{{ {expression(name)} }}}}</{tag}>"
-
-    def control(m):
-        if re.search(r"\bvalue\s*=", m.group(0)) or re.search(r"type=[\"'](?:checkbox|radio)", m.group(0)):
-            return m.group(0)
-        counts["input"] = counts.get("input", 0) + 1
-        return f'{m.group(1)} value="{{{{ {expression(m.group(3))} }}}}"{m.group(4)}'
 
-    html = re.sub(r"<(\w+)((?:[^>]*?)data-field=([\"'])(.*?)\3[^>]*)>([^<]*)</\1>", leaf, html)
-    return re.sub(r"(<input\b[^>]*?data-field=([\"'])(.*?)\2[^>/]*)(/?>)", control, html), counts
+def _named_by(before: str) -> str:
+    """The nearest text between tags in the last 400 characters that can be a label, as a name; empty without one."""
+    for text in reversed(re.findall(r">([^<>]{1,60})<", before[-400:])):
+        text = re.sub(r"\{\{.*?\}\}|\{%.*?%\}|\(.*?\)", "", text)
+        words = re.findall(r"[A-Za-z0-9]+", text)
+        if 0 < len(words) <= 6 and re.search(r"[^\W\d_]", text):
+            return "_".join(words).lower()[:40].strip("_")
+    return ""
 
 
 def enrich_blanks(html: str) -> tuple[str, int]:
-    """STR-17: blank underlined elements and inputs without a field get one, named by the nearest words before them."""
-    classes = set(re.findall(r"\.([\w-]+)\s*\{[^}]*border-bottom[^}]*\}", html))
-    taken = set(re.findall(r"data-field=[\"'](.*?)[\"']", html))
-    out, at, added = [], 0, 0
-    for m in re.finditer(r"<(input)\b([^>]*?)(/?)>|<(span|div|td)\b([^>]*)>\s*(?:&nbsp;|_)*\s*</\4>", html):
-        attributes = m.group(2) if m.group(1) else m.group(5)
-        own = set(re.findall(r"class=[\"'](.*?)[\"']", attributes)[:1] and re.findall(r"class=[\"'](.*?)[\"']", attributes)[0].split())
-        blank = m.group(1) or own & classes or "border-bottom" in attributes
-        if not blank or "data-field" in attributes or re.search(r"type=[\"'](?:hidden|submit|button)", attributes):
-            continue
-        near = re.sub(r"<[^>]*>", "\n", html[max(0, m.start() - 400) : m.start()])
-        runs = [w for line in near.split("\n") if (w := re.findall(r"[A-Za-z0-9]+", line)) and any(c.isalpha() for c in line)]
-        name = "_".join(runs[-1][-6:]).lower()[:40].strip("_") if runs else ""
-        name = name or f"field_{added + 1}"
-        base, k = name, 2
+    """STR-17: empty underlined elements and inputs without a field or value get a field, bound to it, named by the nearest
+    text before them; names are made unique by _2, _3, ..., without text they are field_1, field_2, ..."""
+    lined, found = underlined_classes(html), tags(html)
+    taken = {t.get("data-field") for t in found} - {None}
+    places = []
+    for open_, close in leaves(html, found):
+        drawn = "input-line" in open_.attributes or "border-bottom" in open_.attributes or lined & set((open_.get("class") or "").split())
+        if open_.name in ("div", "span") and drawn and open_.get("data-field") is None and not html[open_.end : close.start].strip():
+            places.append((open_, close))
+    for tag in found:
+        if tag.name == "input" and not tag.closes and (tag.get("type") or "").lower() not in UNNAMED_INPUTS and tag.get("data-field") is None and tag.get("value") is None:
+            places.append((tag, None))
+    edits, unnamed = [], 0
+    for tag, close in sorted(places, key=lambda x: x[0].start):
+        base = _named_by(html[: tag.start])
+        if not base:
+            unnamed += 1
+            base = f"field_{unnamed}"
+        name, k = base, 2
         while name in taken:
             name, k = f"{base}_{k}", k + 1
         taken.add(name)
-        added += 1
-        start = m.start() + len(m.group(1) or m.group(4)) + 1
-        out += [html[at:start], f' data-field="{name}"']
-        at = start
-    return "".join([*out, html[at:]]), added
+        bound = "{{ " + name + " }}"
+        at = tag.end - 1 - tag.attributes.endswith("/")
+        at -= len(html[:at]) - len(html[:at].rstrip())
+        edits.append((at, at, f' data-field="{name}"' + ("" if close else f' value="{bound}"')))
+        if close:
+            edits.append((tag.end, close.start, bound))
+    return spliced(html, edits), len(places)
 
 
 def homography(seed: str, width: int, height: int, quality: float = 0.7) -> list[float]:

@@ -48,6 +48,16 @@ def assemble(proposals: DataFrame, fields: DataFrame, unanswerable: int = 2) ->
     return answered.unionByName(none.select("window", "qpos", "query"), allowMissingColumns=True)
 
 
+def single_page(evidence: Column) -> Column:
+    """PRJ-11: the answer's evidence is on one page."""
+    return F.coalesce(F.size(evidence) == 1, F.lit(False))
+
+
+def of_kinds(language: Column, kind: Column, kinds: tuple[str, ...], wanted: str = "en") -> Column:
+    """PRJ-11: a document of a language and of one of some kinds."""
+    return F.coalesce((language == wanted) & kind.isin(*kinds), F.lit(False))
+
+
 def images_decodable(images: Column) -> Column:
     """PRJ-10: every image starts like a PNG, JPEG, GIF or WebP file (the pixel check is a model stage)."""
     head = lambda x: F.hex(F.substring(x, 1, 4))

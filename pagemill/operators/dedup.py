@@ -39,14 +39,15 @@ def greedy_keep(rows: DataFrame, limit: int = 8) -> DataFrame:
     By rounds over the pairs: an item all of whose earlier neighbours are decided is decided, so each round is one join and
     no class is gathered in one task. Rounds end when nothing is open.
     """
-    from pagemill.tables import materialize
+    from pagemill.tables import discard, materialize
 
     pairs = materialize(near_pairs(rows, limit, max(BANDS, limit + 1)).select("cls", "a", "b"))
     state = materialize(rows.select("cls", "id").join(pairs.select("cls", F.col("b").alias("id")).distinct().withColumn("later", F.lit(True)), ["cls", "id"], "left").select("cls", "id", F.when(F.col("later").isNull(), True).alias("kept")))
     while not state.filter("kept IS NULL").isEmpty():  # each round decides the least open id of every class at least
         before = pairs.join(state.select("cls", F.col("id").alias("a"), "kept"), ["cls", "a"]).groupBy("cls", F.col("b").alias("id"))
         seen = before.agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
-        state = materialize(state.join(seen, ["cls", "id"], "left").select("cls", "id", F.coalesce("kept", F.when(F.col("near_kept"), False).when(F.col("open") == 0, True)).alias("kept")))
+        old, state = state, materialize(state.join(seen, ["cls", "id"], "left").select("cls", "id", F.coalesce("kept", F.when(F.col("near_kept"), False).when(F.col("open") == 0, True)).alias("kept")))
+        discard(old)
     return rows.join(state, ["cls", "id"])
 
 

@@ -9,20 +9,24 @@ from pagemill.functions.numeric import iou
 from pagemill.functions.text import norm, strip
 
 
-def _ranked(rows: DataFrame, side: str) -> DataFrame:
-    """Rank within (doc, query, value): the i-th prediction of a key takes the i-th truth of it."""
-    rows = rows.select("doc", norm(F.col("query")).alias("q"), norm(F.col("value")).alias("v"), "pos", F.col("box").alias(f"{side}_box"), F.col("index").alias(f"{side}_index"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "q", "v").orderBy("pos"))).drop("pos")
-
-
-def document_metrics(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """doc, n_gt, n_pred, tp, precision, recall, f1, iou_sum, iou_n of each document of either side."""
-    both = _ranked(truth, "t").join(_ranked(predicted, "p"), ["doc", "q", "v", "rank"], "full_outer")
-    hit = F.col("t_index").isNotNull() & F.col("p_index").isNotNull()
-    boxed = hit & (F.col("t_index") == F.col("p_index")) & (F.size("p_box") == 4)
+def document_metrics(truth: DataFrame, predicted: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """doc, n_gt, n_pred, tp, precision, recall, f1, iou_sum, iou_n of each document of either side (and of documents).
+
+    The i-th prediction of a (query, value) takes the i-th truth of it; a missing index is page 0. Both sides move once, by
+    document: ranks, pairs and sums are made where a document's rows are. Documents without answers score 0.
+    """
+    side = lambda rows, s: rows.select("doc", F.lit(s).alias("side"), F.coalesce(norm(F.col("query")), F.lit("")).alias("q"), F.coalesce(norm(F.col("value")), F.lit("")).alias("v"), "pos", "box", F.coalesce("index", F.lit(0)).cast("long").alias("index"))
+    rows = side(truth, 0).unionByName(side(predicted, 1))
+    if documents is not None:
+        rows = rows.unionByName(documents.select("doc").distinct().withColumn("side", F.lit(2)), allowMissingColumns=True)
+    rows = rows.repartition("doc").withColumn("rank", F.row_number().over(Window.partitionBy("doc", "side", "q", "v").orderBy("pos")))
+    of = lambda s: F.max(F.when(F.col("side") == s, F.struct("box", "index")))
+    both = rows.groupBy("doc", "q", "v", "rank").agg(of(0).alias("t"), of(1).alias("p"))
+    hit = F.col("t").isNotNull() & F.col("p").isNotNull()
+    boxed = hit & (F.col("t.index") == F.col("p.index")) & (F.size("p.box") == 4)
     out = both.groupBy("doc").agg(
-        F.count("t_index").alias("n_gt"), F.count("p_index").alias("n_pred"), F.count_if(hit).alias("tp"),
-        F.sum(F.when(boxed, iou(F.col("t_box"), F.col("p_box")))).alias("iou_sum"), F.count_if(boxed).alias("iou_n"),
+        F.count("t").alias("n_gt"), F.count("p").alias("n_pred"), F.count_if(hit).alias("tp"),
+        F.sum(F.when(boxed, iou(F.col("t.box"), F.col("p.box")))).alias("iou_sum"), F.count_if(boxed).alias("iou_n"),
     )
     p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     r = F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt")).otherwise(0.0)

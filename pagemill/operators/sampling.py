@@ -67,6 +67,19 @@ def draw_slots(slots: DataFrame, pool_size: int, seed) -> DataFrame:
     return slots.withColumn("ordinal", h % pool_size)
 
 
+def draw_distinct(slots: DataFrame, pool: DataFrame, key: str, seed) -> DataFrame:
+    """PRJ-18: for each slot a row of the pool without replacement where the pool is large enough, else with replacement.
+
+    The slots are few (what one run makes); the pool's first rows by hash are taken, one for each, and repeat beyond it."""
+    n, size = slots.count(), pool.count()
+    first = pool.orderBy(order_key(seed, F.col(key)), key).limit(n)
+    ordinal = F.row_number().over(Window.orderBy(order_key(seed, F.col(key)), key)) - 1  # n rows at most
+    slots = slots.withColumn("ordinal", F.row_number().over(Window.orderBy("slot")) - 1)
+    if n > size:
+        slots = draw_slots(slots.drop("ordinal"), max(1, size), seed)
+    return slots.join(first.withColumn("ordinal", ordinal), "ordinal")
+
+
 def subset(names: Column, seed: Column, lo: int = 2, hi: int = 4) -> Column:
     """PRJ-17: a few scalar names (no []), chosen and counted by hash."""
     scalar = F.filter(names, lambda x: ~x.contains("[]"))

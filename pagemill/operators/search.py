@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Words of queries that are broadcast.
+MOST_WORDS = 200_000
+
+
 def lexical_top(queries: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     """ORD-04: for each of queries (qid, text) the n documents (id, text) that share most distinct words; ties by id.
 
-    An equi-join on words; the scores of a query are summed before the ranks."""
+    Few queries (up to MOST_WORDS words in all, counted first) are broadcast, so documents stay where they are and only rows of
+    common words move, summed in each task; more are met by an equi-join on words. Scores are summed before the ranks."""
     words = lambda frame, key: frame.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).filter("w != ''")
-    scores = words(queries, "qid").join(words(docs, "id"), "w").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
+    asked = words(queries, "qid")
+    asked = F.broadcast(asked) if asked.limit(MOST_WORDS + 1).count() <= MOST_WORDS else asked
+    scores = words(docs, "id").join(asked, "w").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= n)
 
@@ -22,6 +29,12 @@ def known_paths(ranked: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("pos").limit(n)
 
 
+def list_paths(docs: DataFrame, after: str = "", n: int = 0) -> DataFrame:
+    """PRJ-03: paths of the index in order, from the one after a given path, at most n (all for 0): pages of a long listing."""
+    out = docs.select("path").filter(F.col("path") > after).distinct().orderBy("path")
+    return out.limit(n) if n else out
+
+
 def details(index: DataFrame, filename: str) -> DataFrame:
     """PRJ-02: number and summary of each page of exactly one record."""
     found = index.filter(F.col("filename") == filename)

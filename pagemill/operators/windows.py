@@ -26,14 +26,11 @@ def document_windows(rows: DataFrame, budget: int = 3, stride: int = 2, cover_al
 
     Rows may stay uncovered where a window is shorter than the stride; with cover_all, windows end at the next start at least.
     """
-    docs = rows.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "images"))), lambda x: x["images"]).alias("c"))
+    total = F.sum("images").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    docs = rows.withColumn("total", total).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"]).alias("c"))
     docs = docs.withColumn("n", F.size("c"))
-    stop = f"""transform(sequence(0, n - 1, {stride}), s -> s + greatest({stride if cover_all else 1}, size(filter(
-        aggregate(slice(c, s + 1, n), named_struct('t', 0L, 'o', CAST(array() AS array<bigint>)),
-            (a, x) -> named_struct('t', a.t + x, 'o', concat(a.o, array(a.t + x)))).o, t -> t <= {budget}))))"""
-    if budget <= 64:  # no window has more rows than the budget, so longer slices need not be looked at
-        stop = stop.replace("slice(c, s + 1, n)", f"slice(c, s + 1, {budget + 1})")
-    docs = docs.withColumn("stops", F.expr(f"transform({stop}, x -> least(x, n))"))
+    stop = f"greatest(s + {stride if cover_all else 1}, size(filter(c, t -> t <= coalesce(get(c, s - 1), 0) + {budget})))"
+    docs = docs.withColumn("stops", F.expr(f"transform(sequence(0, n - 1, {stride}), s -> least(n, {stop}))"))
     out = docs.select("doc", "n", "stops", F.posexplode("stops").alias("window", "stop"))
     out = out.filter("window = 0 OR stops[greatest(window - 1, 0)] < n")
     return out.select("doc", "window", (F.col("window") * stride).alias("first"), "stop")

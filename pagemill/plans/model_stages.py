@@ -12,12 +12,13 @@ from collections.abc import Callable
 from hashlib import md5
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.encoding import parse_answers, reindex
 from pagemill.functions.text import normalize_label
 from pagemill.operators.windows import serving_windows
+from pagemill.tables import materialize
 
 
 def run(rows: DataFrame, call: Callable[[dict], dict], schema: str, partitions: int = 0) -> DataFrame:
@@ -48,10 +49,10 @@ def deterministic(name: str) -> Callable[[dict], str]:
 
 def summarize(pages: DataFrame, page_call, document_call) -> DataFrame:
     """UDF-03, UDF-04: pages (path, page, text) to (path, summary, pages): each page once, then each document once."""
-    by_page = run(pages, page_call, "page_summary string")
+    by_page = materialize(run(pages, page_call, "page_summary string"))  # read twice below, called once
     docs = by_page.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "page_summary"))).alias("pages"), F.first("error", ignorenulls=True).alias("page_error"))
     docs = docs.withColumn("prompt", F.array_join(F.transform("pages", lambda p: F.coalesce(p["page_summary"], F.lit(""))), "\n"))
-    out = run(docs.select("path", "prompt", "page_error"), document_call, "summary string")
+    out = materialize(run(docs.select("path", "prompt", "page_error"), document_call, "summary string"))
     return out.join(docs.select("path", "pages"), "path").select("path", "summary", "pages", F.coalesce("error", "page_error").alias("error"))
 
 
@@ -71,10 +72,18 @@ def ask(documents: DataFrame, queries: DataFrame, call, size: int = 3, stride: i
 
 
 def first_success(slots: DataFrame, attempts: int, call, schema: str) -> DataFrame:
-    """UDF-24: for each slot the first of so many attempts that succeeds; slots without one are left out."""
-    tried = run(slots.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))), call, schema)
-    rank = F.row_number().over(Window.partitionBy("slot").orderBy("attempt"))
-    return tried.filter("error IS NULL").withColumn("rn", rank).filter("rn = 1").drop("rn")
+    """UDF-24: for each slot the first of so many attempts that succeeds (call sees its number as attempt); slots without one
+    are left out. The attempts are made in the slot's task, one after another, none after a success."""
+
+    def tried(row: dict) -> dict:
+        for attempt in range(attempts - 1):
+            try:
+                return call(row | {"attempt": attempt}) | {"attempt": attempt}
+            except Exception:  # noqa: S112 - the next attempt is the answer; the last one's failure is told
+                continue
+        return call(row | {"attempt": attempts - 1}) | {"attempt": attempts - 1}
+
+    return run(slots, tried, f"{schema}, attempt int").filter("error IS NULL")
 
 
 def staged(docs: DataFrame, steps: list[tuple[str, Callable[[dict], dict], str]]) -> DataFrame:

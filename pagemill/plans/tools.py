@@ -7,8 +7,9 @@ import inspect
 import json
 import re
 import threading
+from collections import deque
 from collections.abc import Callable
-from typing import Any, get_origin
+from typing import Any, get_args, get_origin
 
 from pagemill.functions.rewriting import tool_call
 
@@ -16,26 +17,37 @@ from pagemill.functions.rewriting import tool_call
 TYPES = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array", dict: "object"}
 
 
-def json_type(annotation: Any) -> dict[str, str]:
-    """ARR-13: string where nothing is known."""
-    return {"type": TYPES.get(get_origin(annotation) or annotation, "string")}
+def json_type(annotation: Any) -> dict:
+    """ARR-13: lists with the type of their items; string where nothing is known."""
+    kind = get_origin(annotation) or annotation
+    out: dict = {"type": TYPES.get(kind, "string") if isinstance(kind, type) else "string"}
+    if get_origin(annotation) is list:
+        out["items"] = json_type((get_args(annotation) or (str,))[0])
+    return out
 
 
 def parse_docstring(text: str | None) -> tuple[str, dict[str, str]]:
-    """STR-24: summary, and descriptions of the arguments of a docstring with an `Args:` section."""
-    lines = inspect.cleandoc(text or "").split("\n")
-    head = next((i for i, x in enumerate(lines) if re.match(r"(Args|Arguments|Parameters|Returns|Raises|Yields|Examples?):\s*$", x)), len(lines))
+    """STR-24: the text before the first section, and descriptions of the arguments from the first section of them."""
+    sections: list[tuple[str, list[str]]] = [("", [])]
+    for line in inspect.cleandoc(text or "").split("\n"):
+        if re.fullmatch(r"[A-Za-z][A-Za-z ]*:\s*", line):
+            sections.append((line.strip()[:-1], []))
+        else:
+            sections[-1][1].append(line)
+    body = next((lines for title, lines in sections if title in ("Args", "Arguments", "Parameters")), [])
+    margin = min((len(x) - len(x.lstrip()) for x in body if x.strip()), default=0)
     args: dict[str, str] = {}
-    section, name = "", ""
-    for line in lines[head:]:
-        if m := re.match(r"(\w+):\s*$", line):
-            section, name = m.group(1), ""
-        elif section in ("Args", "Arguments", "Parameters") and (m := re.match(r" {2,4}(\w+)(?:\s*\([^)]*\))?:\s*(.*)", line)):
-            name = m.group(1)
-            args[name] = m.group(2).strip()
-        elif name and line.strip() and section in ("Args", "Arguments", "Parameters"):
-            args[name] += f" {line.strip()}"
-    return " ".join(x.strip() for x in lines[:head] if x.strip()), args
+    name = None
+    for line in (x[margin:].rstrip() for x in body):
+        if line and not line[0].isspace():
+            m = re.match(r"(\w+)(?:\s*\([^)]*\))?\s*:\s*(.*)", line)
+            name = m.group(1) if m else None
+            if m:
+                args[name] = m.group(2).strip()
+        elif name and line:
+            args[name] = f"{args[name]} {line.strip()}".strip()
+    return "\n".join(sections[0][1]).strip(), args
+
 
 
 class Registry:
@@ -89,14 +101,20 @@ class Agent:
 
 
 async def gather_limited(tasks: list[Callable], limit: int) -> list:
-    """UDF-02: results of coroutine functions in order, at most limit at a time."""
-    gate = asyncio.Semaphore(limit)
-
-    async def one(task):
-        async with gate:
-            return await task()
-
-    return await asyncio.gather(*map(one, tasks))
+    """UDF-02: results of coroutine functions in order. limit workers take the next task from a common queue; after a
+    failure the others stop and it is raised."""
+    waiting = deque(enumerate(tasks))
+    out: list = [None] * len(tasks)
+
+    async def worker():
+        while waiting:
+            place, task = waiting.popleft()
+            out[place] = await task()
+
+    async with asyncio.TaskGroup() as group:
+        for _ in range(max(1, min(limit, len(tasks)))):
+            group.create_task(worker())
+    return out
 
 
 def run_async(coroutine):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import md5
 from typing import Protocol
 
@@ -53,6 +57,20 @@ class BlobStore:
     def get(self, path: str) -> bytes:
         return self._read(f"{self.root}/{path}")
 
+    @contextmanager
+    def as_local(self, path: str) -> Iterator[str]:
+        """UDF-05: a local copy's name for the time of the block, with the blob's extension."""
+        with tempfile.TemporaryDirectory() as folder:
+            name = os.path.join(folder, path.rpartition("/")[2])
+            with open(name, "wb") as f:
+                f.write(self.get(path))
+            yield name
+
+    def paths(self) -> list[str]:
+        """Names of all blobs, in order."""
+        fs = self._fs(self.root)
+        return sorted(x.getPath().getName() for x in fs.listStatus(self._path(self.root)) if x.isFile())
+
     def remove(self, path: str) -> None:
         full = self._path(f"{self.root}/{path}")
         if not self._fs(self.root).exists(full):

@@ -41,9 +41,11 @@ def discover(files: DataFrame, sidecars: DataFrame, variants=("clear", "phone_ph
 
 def sidecars(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """SRC-08: (good, bad) rows of JSON files, one document each; bad ones with their text."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.withColumn("path", F.input_file_name())
-    return rows.filter("_corrupt IS NULL").drop("_corrupt"), rows.filter("_corrupt IS NOT NULL").select("path", "_corrupt")
+    texts = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    rows = texts.withColumn("doc", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    broken = F.col("doc._corrupt").isNotNull() | F.col("doc").isNull()
+    good = rows.filter(~broken).select("doc.*", "path").drop("_corrupt")
+    return good, rows.filter(broken).select("path", F.col("value").alias("_corrupt"))
 
 
 def index(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -5,15 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where it is unset and everything runs in one process (tests), a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def materialize(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    Tables lie in a folder of the application's name, which may go when it has ended; discard() drops one before.
+    """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/pagemill-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pagemill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
