@@ -2,19 +2,24 @@
 
 Method. Each text becomes the set of its hashed five-word shingles. Texts of equal sets form one class of copies,
 which takes part once, with its number of rows. A forest of TREES tries holds the signatures: tree t's key is a run of
-DEPTH min-hashes, and all signatures with the same prefix of that key meet. Prefixes start at full depth; the tree whose
-shortening gains the most recall for the fewest added pairs (counted over all data) is shortened until a pair at the
-threshold is found with the target recall. Pairs that meet are pruned by the signature estimate, far below the
-threshold, and then verified on the exact shingle sets. Each pair is verified only in the first tree where it meets.
+DEPTH min-hashes, and all signatures with the same prefix of that key meet (a prefix of d hashes is a node at depth d; nodes
+are met by a hash of their prefix rather than by a sort of all keys, which a shuffle would need as well). Prefixes start at
+full depth; the tree whose shortening gains the most recall for the fewest added pairs (counted over all data) is shortened
+until a pair at the threshold is found with the target recall. Pairs that meet are pruned by the signature estimate, far
+below the threshold (both bounds follow it), and then verified on the exact shingle sets. Each pair is verified only in the
+first tree where it meets.
 
 Scale. A bucket of more than BLOCK classes is split into blocks, and pairs of blocks are dealt to different tasks; what
 a task emits is one row per linked document, never a row per pair. Texts are shuffled only for documents that have a
 partner by estimate. Components come from alternating large-star and small-star steps over distributed edges that are
-written to the shared folder after each step.
+written to the shared folder after each step; the hubs among their vertices (a bounded number, by their degree) are
+broadcast, so no task gets a hub's edges.
 
 Definitions. Words are the runs between white space, in lower case. A text of 1 to 4 words is one shingle. Null and
 empty texts (and blank ones) link to nothing: class_id is their own doc_id, n_links 0. Rows with a null id have a null
-class_id and 0 links. Repeated rows with one id count as copies of each other. Empty tables give no rows.
+class_id and 0 links, and are no partners. Every row counts, repeated ones too: rows of one id with the same words are copies
+of each other, with different texts they are rows of their own that share an id (and the least id of their class). A class's
+id is its least doc_id, whatever its rows' order or ties. Very long texts are read whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +30,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import groups, mapped, materialize, per_group, prepare, table
+from pagemill.llm.common import discard, groups, mapped, materialize, per_group, prepare, table
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
+TREES, DEPTH = 24, 6
 TARGET_RECALL = 0.9999
-#: A pair at the threshold has an estimate below this with probability under 1e-7 (144 hashes: 5.4 standard deviations).
-ESTIMATE = 0.62
-BLOCK = 256
+#: A pair at the threshold has an estimate so many standard deviations below it with probability under 1e-7.
+DEVIATIONS = 5.4
+BLOCK = 512
+#: Components: at most so many vertices are hubs, of at least so many edges.
+HUBS, LEAST_HUB = 20_000, 64
 #: Distinct shingles whose incidence a task holds as one dense block.
 CHUNK = 4096
 
@@ -146,13 +153,25 @@ def recall(depths: list[int], threshold: float = THRESHOLD) -> float:
     return 1 - float(np.prod([1 - threshold**d for d in depths]))
 
 
+def least_depth(target: float = TARGET_RECALL, threshold: float = THRESHOLD) -> int:
+    """The longest prefix that reaches the target recall if all trees have it."""
+    for d in range(DEPTH, 0, -1):
+        if recall([d] * TREES, threshold) >= target:
+            return d
+    raise ValueError(f"{TREES} trees can't reach a recall of {target} at threshold {threshold}")
+
+
+def least_estimate(threshold: float = THRESHOLD) -> float:
+    return threshold - DEVIATIONS * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+
+
 def choose_depths(pairs: dict[tuple[int, int], int], target: float = TARGET_RECALL, threshold: float = THRESHOLD) -> list[int]:
     """Prefix length of each tree: shorten the one with most gain in log miss rate for an added pair until target is reached."""
-    depths = [DEPTH] * TREES
-    while recall(depths, threshold) < target and max(depths) > LEAST_DEPTH:
+    depths, least = [DEPTH] * TREES, least_depth(target, threshold)
+    while recall(depths, threshold) < target:
         def worth(t):
             d = depths[t]
-            if d == LEAST_DEPTH:
+            if d == least:
                 return -1.0
             gain = np.log((1 - threshold**d) / (1 - threshold ** (d - 1)))
             return gain / (1 + pairs.get((t, d - 1), 0) - pairs.get((t, d), 0))
@@ -164,29 +183,55 @@ def choose_depths(pairs: dict[tuple[int, int], int], target: float = TARGET_RECA
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (other rows at or above the threshold) for each row."""
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(_signed(rows))  # doc_id, mark (of the shingle set), sig
+    signed, found = _classes(_rows(docs, id_col, text_col), threshold)
+    found = found.select("mark", F.col("keeper.doc_id").alias("class_id"), "links")
+    # Rows without a set get a mark of their own for the join, so that they spread evenly.
+    keyed = signed.select("doc_id", F.coalesce("mark", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string"))).cast("binary")).alias("mark"))
+    joined = keyed.join(found.hint("merge"), "mark", "left")
+    named = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(named, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, with docs' columns: that of the least id (and least text hash). Rows without id or words stay."""
+    _, found = _classes(_rows(docs, id_col, text_col), threshold)
+    keepers = found.select(F.col("keeper.doc_id").alias(id_col), F.col("keeper.th").alias("keeper_th")).distinct()
+    columns, rows = docs.columns, docs.withColumn("keeper_th", F.xxhash64(text_col))
+    worded = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Repeated rows meet within tasks first, so many of one id and text are no hot key.
+    once = rows.filter(worded).dropDuplicates([id_col, "keeper_th"])
+    kept = once.join(keepers.hint("merge"), [id_col, "keeper_th"], "left_semi").select(*columns)
+    return kept.unionByName(rows.filter(~worded).select(*columns))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row is known by its id and a hash of its text, as an id may have several texts."""
+    prepare(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+
+def _classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th, mark, sig of each row; mark, keeper (the class's least doc_id and th) and links of each set."""
+    signed = materialize(_signed(rows))
     some = signed.filter("mark IS NOT NULL AND doc_id IS NOT NULL")
-    reps = materialize(some.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")))
-    depths = choose_depths(_pair_counts(reps), threshold=threshold)
-    partners = materialize(_partners(reps, depths))
+    sets = some.groupBy("mark").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    # Numbers of the sets; written once, they don't change.
+    reps = materialize(sets.select("mark", "first", "copies", "sig", F.monotonically_increasing_id().alias("rep")))
+    depths = choose_depths(_pair_counts(reps, least_depth(threshold=threshold)), threshold=threshold)
+    partners = materialize(_partners(reps, depths, least_estimate(threshold)))
     linked = materialize(_verified(rows, reps, partners, depths, threshold))
     links = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = components(linked.filter("a != b").select("a", "b"))
-    found = reps.select("mark", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    found = found.select("mark", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    # Rows without a set get a mark of their own for the join, so that they spread evenly.
-    keyed = signed.select("doc_id", F.coalesce("mark", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("mark"))
-    joined = keyed.join(materialize(found).hint("merge"), "mark", "left")
-    known = F.col("doc_id").isNotNull()
-    return joined.select("doc_id", F.when(known, F.coalesce("class", "doc_id")).alias("class_id"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    known = reps.select("mark", "rep", "first", "copies")
+    classes = components(linked.filter("a != b").select("a", "b")).join(known.select("rep", "first").hint("merge"), "rep")
+    least = classes.groupBy("class").agg(F.min("first").alias("keeper"))
+    classes = classes.select("rep", "class").join(least.hint("merge"), "class").select("rep", "keeper")
+    found = known.join(links, "rep", "left").join(classes, "rep", "left")
+    return signed, materialize(found.select("mark", F.coalesce("keeper", "first").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
 
 
 def _signed(rows: DataFrame) -> DataFrame:
     def sign(batch):
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         sets = shingle_sets(texts)
         full = [s for s in sets if len(s)]
         sigs = iter(signatures(full)) if full else iter(())
@@ -194,26 +239,26 @@ def _signed(rows: DataFrame) -> DataFrame:
         for s in sets:
             marks.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             out.append(next(sigs).tobytes() if len(s) else None)
-        return {"doc_id": ids, "mark": marks, "sig": out}
+        return {"doc_id": batch.column(0), "th": batch.column(1), "mark": marks, "sig": out}
 
-    return mapped(rows, sign, "doc_id bigint, mark binary, sig binary")
+    return mapped(rows, sign, f"doc_id {dict(rows.dtypes)['doc_id']}, th bigint, mark binary, sig binary")
 
 
-def _pair_counts(reps: DataFrame) -> dict[tuple[int, int], int]:
+def _pair_counts(reps: DataFrame, least: int) -> dict[tuple[int, int], int]:
     """Pairs that share a prefix, by tree and depth, over all classes of copies."""
 
     def emit(batch):
         sig = _sigs(batch.column(0))
-        keys = [tree_keys(sig, [d] * TREES) for d in range(LEAST_DEPTH, DEPTH + 1)]
-        slot = np.arange(TREES * len(keys)) .repeat(len(sig))
+        keys = [tree_keys(sig, [d] * TREES) for d in range(least, DEPTH + 1)]
+        slot = np.arange(TREES * len(keys)).repeat(len(sig))
         return {"slot": slot, "key": np.concatenate([k.T.ravel() for k in keys]).view(np.int64)}
 
     met = mapped(reps.select("sig"), emit, "slot int, key bigint").groupBy("slot", "key").count().filter("count > 1")
     sums = met.groupBy("slot").agg(F.sum(F.expr("count * (count - 1) / 2")).cast("long").alias("pairs")).collect()  # a row per slot
-    return {(r["slot"] % TREES, LEAST_DEPTH + r["slot"] // TREES): r["pairs"] for r in sums}
+    return {(r["slot"] % TREES, least + r["slot"] // TREES): r["pairs"] for r in sums}
 
 
-def _partners(reps: DataFrame, depths: list[int]) -> DataFrame:
+def _partners(reps: DataFrame, depths: list[int], estimate: float) -> DataFrame:
     """gk (tree and block pair), tree, side, rep: the representatives with a partner there by the estimate."""
 
     def emit(batch):
@@ -243,7 +288,7 @@ def _partners(reps: DataFrame, depths: list[int]) -> DataFrame:
                 i, j = np.nonzero(mask)
                 for s in range(0, len(i), 8192):
                     a, b = i[s : s + 8192], j[s : s + 8192]
-                    near = (sig[start + a] == sig[start + b]).mean(axis=1) >= ESTIMATE
+                    near = (sig[start + a] == sig[start + b]).mean(axis=1) >= estimate
                     keep[start + a[near]] = keep[start + b[near]] = True
         return {"gk": gk[keep], "tree": tree[keep], "side": side[keep], "rep": part.column("rep").to_numpy()[keep]}
 
@@ -264,8 +309,9 @@ def _meets(keys: np.ndarray, side: np.ndarray, tree: int) -> np.ndarray:
 def _verified(rows: DataFrame, reps: DataFrame, partners: DataFrame, depths: list[int], threshold: float) -> DataFrame:
     """a, b, links: a's links found in one group, and the least representative that it is linked with there."""
     wanted = partners.select("rep").distinct()
-    texts = rows.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    facts = reps.select("rep", "copies", "sig").join(wanted, "rep", "left_semi").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    facts = reps.select("rep", "copies", "sig", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).join(wanted, "rep", "left_semi")
+    # Copies of a wanted row carry the same text; one of them is kept.
+    facts = rows.join(facts.hint("merge"), ["doc_id", "th"]).dropDuplicates(["rep"]).select("rep", "copies", "sig", "text")
     full = partners.join(facts.hint("merge"), "rep")
 
     def verify(part):
@@ -331,19 +377,32 @@ def components(edges: DataFrame) -> DataFrame:
     cur = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     seen = None
     while True:
-        both = cur.union(cur.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = materialize(large.filter("u != v").distinct())
-        least = cur.groupBy("u").agg(F.min("v").alias("m"))
-        small = cur.join(least.hint("merge"), "u")
+        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, least, "v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, cur = cur, materialize(large.filter("u != v").distinct())
+        discard(old)
+        least = cur.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(cur, least, "true")
         small = small.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        cur = materialize(small.filter("u != v").distinct())
+        old, cur = cur, materialize(small.filter("u != v").distinct())
+        discard(old)
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return cur.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("class"))
+            return cur.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("class")).union(cur.select(F.col("v").alias("rep"), F.col("v").alias("class")).distinct())
         seen = now
 
 
+def _with_least(edges: DataFrame, least: DataFrame, wanted: str) -> DataFrame:
+    """The wanted edges (u, v) with m of their u (u, m, n: number of edges). Vertices of many edges come from a broadcast: with
+    E edges, fewer than HUBS of them can have more than E / HUBS."""
+    least = materialize(least)
+    total = least.agg(F.sum("n")).first()[0] or 0
+    hub = F.col("n") > max(LEAST_HUB, total // HUBS)
+    met = edges.filter(wanted).join(F.broadcast(least.filter(hub).select("u", "m")), "u", "left")
+    rest = met.filter("m IS NULL").select("u", "v").join(least.filter(~hub).select("u", "m").hint("merge"), "u")
+    return met.filter("m IS NOT NULL").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -112,9 +112,34 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)]
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(300 + i, 500) for i in range(90)]
     found = {r["rep"]: r["class"] for r in near_duplicates.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert set(found.values()) == {0, 100} and len(found) == 60 + 79
+    assert set(found.values()) == {0, 100, 300} and len(found) == 61 + 80 + 91 and found[0] == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(3))
+    rows = [("1", a), ("1", b), ("2", a + " end"), ("3", b + " end"), ("4", c), ("4", c), (None, c), ("5", None)]
+    found = sorted((r["doc_id"] or "", r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert found == [("", None, 0), ("1", "1", 1), ("1", "1", 1), ("2", "1", 1), ("3", "1", 1), ("4", "4", 1), ("4", "4", 1), ("5", "5", 0)]
+
+
+def test_near_duplicates_at_a_lower_threshold(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+        other = list(words)
+        for k in range(4):
+            other[12 + 30 * k] = "x"
+        texts += [" ".join(words), " ".join(other)]
+        sets = [set(near_duplicates.shingles(t).tolist()) for t in texts[-2:]]
+        assert 0.5 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.75
+    found = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=0.5).collect()
+    assert all(r["n_links"] == 1 for r in found)
+    with pytest.raises(ValueError):
+        near_duplicates.least_depth(threshold=0.2)
 
 
 def test_leaks_with_other_values(spark):
