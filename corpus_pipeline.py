@@ -19,33 +19,32 @@ LEAST_KNOWN = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised."""
+    """Keeps the documents whose language is recognised; texts that are null or have no letter go. Repeated rows and null ids
+    stay as they are."""
     filters = language_id.fit(docs)
     found = language_id.identify(docs, filters, keep=COLUMNS).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("known") >= LEAST_KNOWN))
     return found.select(*[F.col(f"k_{c}").alias(c) for c in COLUMNS])
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each class; rows without id stay."""
-    classes = materialize(near_duplicates.near_duplicates(docs))
-    gone = classes.filter("doc_id != class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each class: that of the least id. Repeated rows are one; rows without id or words stay."""
+    return near_duplicates.keep_one(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents with a leaked benchmark item."""
+    """Drops the documents with a leaked benchmark item (all rows of their id); rows without id or text stay."""
     leaked = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(leaked.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts; every document stays."""
+    """Masks personal data in the texts; every row stays, n_chars is the new text's (null: null)."""
     masked = pii.redact(docs.select(*COLUMNS), pii.fit(docs))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences; null texts are empty ones."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
