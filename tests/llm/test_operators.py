@@ -154,6 +154,113 @@ def test_leaks_with_other_values(spark):
         assert found.keys() & {1, 2, 3} == {1} and found[1] == 7
 
 
+def test_leaks_in_other_case_with_other_names_and_units(spark):
+    item = "A train leaves Paris at 10 and goes 300 km to Lyon while another leaves Paris at 12 so when do they meet"
+    texts = {
+        1: item, 2: item.lower(), 3: item.upper(), 4: item.title(), 5: item.replace("Paris", "New York").replace("Lyon", "Rio Grande City"),
+        6: item.replace("300 km", "190 miles"), 7: item.replace("300 km", "300 hours"), 8: item.replace("leaves Paris at 12", "leaves Rome at 12"),
+        9: item.replace("300 km", "300km"), 10: item.replace("km", "\ue000").replace("Paris", "\ue002x"),
+    }
+    rows = [(i, f"Some words first, then {t} and then more") for i, t in texts.items()] + [(11, "nothing"), (11, item), (11, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string").withColumn("start", F.lit("x")).withColumn("doc_id", F.lit(1))
+    found = {r["doc_id"]: r["cover_percent"] for r in decontamination.leaks(docs.withColumn("item_id", F.lit(3)).withColumn("hash", F.lit(0)), items).collect()}
+    # Hours for kilometres leave the windows before and behind it; another name in one of two places, one of the halves.
+    assert {1, 2, 3, 4, 5, 6, 9, 11} <= found.keys() and all(found[i] == 100 for i in (1, 2, 3, 4, 6, 9, 11)) and found[5] >= 50
+    assert found.get(7, 0) < 100 and found.get(8, 0) < 100 and found.get(10, 0) < 100
+
+
+def test_leaks_don_t_add_up_over_contradicting_alignments(spark):
+    item = "take the 5 red boxes from the old shelf and put the 7 blue boxes under the long table near the door"
+    half = item.split(" and ")
+    docs = {1: f"{half[0].replace('5', '8')} and then rest for a while and put the 7 blue boxes under it", 2: " or ".join([half[0].replace("5", "9"), half[0].replace("5", "8"), half[0].replace("5", "6")])}
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r["n_windows"] for r in decontamination.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), items).collect()}
+    assert all(n <= 14 for n in found.values()) and 2 not in found
+
+
+def plain_canonical(text):
+    import regex
+
+    units = "|".join(sorted((u for x in decontamination.UNIT_KINDS.values() for u in x.split()), key=lambda u: (-len(u), u)))
+    if regex.search(r"\d", text):
+        text = regex.sub(rf"(?<!\S)[^\s\p{{L}}\d]*(\d[\d.,]*)\s{{0,2}}({units})(?![\p{{L}}\p{{N}}])", "\ue000\\1 \ue001\\2", text, flags=regex.I)
+        text = regex.sub(r"(?<!\S)[^\s\p{L}\d\ue000]*(\d[^\s\p{L}\ue001]*)(?!\S)", "\ue000\\1 ", text)
+        text = regex.sub(r"(?<=\d)[^\s\p{L}\p{N}]+(?=\d)", "", text)
+    text = regex.sub(r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] \p{Lu}\p{Ll}+ )", "\ue003", text)
+    text = regex.sub("(?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+(?:\ue003\\p{Lu}\\p{Ll}+)*)(?![\\p{L}\\p{N}])", "\ue002\\1", text)
+    return [x for x in regex.split(r"[^\p{L}\p{N}\ue000-\ue003]+", text.lower()) if x]
+
+
+def plain_leaks(docs, items):
+    """The definition, pair by pair and place by place."""
+    kinds = {u: k for k, x in decontamination.UNIT_KINDS.items() for u in x.split()}
+    typed = lambda v: ["\ue001" + kinds[x[1:]] if x[0] == "\ue001" else x[0] if x[0] in "\ue000\ue002" else x for x in v]
+    bare = lambda v: [w for x in v for w in x.lstrip("\ue000\ue001\ue002").split("\ue003")]
+    right = lambda p: len(set(p)) == len({a for a, _ in p}) == len({b for _, b in p})
+    out = {}
+    for d, doc in docs.items():
+        dv = plain_canonical(doc)
+        dt, dr = typed(dv), bare(dv)
+        for i, item in items.items():
+            iv = plain_canonical(item)
+            it, ir = typed(iv), bare(iv)
+            found = []
+            k = min(8, len(ir))
+            places = {a for a in range(len(ir) - k + 1) for b in range(len(dr) - k + 1) if ir[a : a + k] == dr[b : b + k]}
+            found.append((len(places), len(ir)))
+            k = min(8, len(it))
+            starts = range(len(it) - k + 1)
+            literals = [sum(x[0] not in "\ue000\ue001\ue002" for x in it[a : a + k]) for a in starts]
+            good = [n >= 4 or n == len(it) or len(it) < 8 and n >= 3 for n in literals]
+            anchor = literals.index(max(literals)) if len(it) >= 8 and 1 <= max(literals) <= 3 else None
+            runs = []
+            for shift in range(-len(it), len(dt) + 1):
+                fits = lambda a: 0 <= a + shift and dt[a + shift : a + shift + k] == it[a : a + k]  # noqa: B023, E731
+                sure = [a for a in starts if good[a] and fits(a) or len(it) < 8 and not good[a] and literals[a] != len(it) and fits(a) and len(dt) == len(it)]
+                if not sure and not (anchor is not None and fits(anchor)):
+                    continue
+                at = lambda x: dv[x + shift] if 0 <= x + shift < len(dv) else None  # noqa: B023, E731
+                equal = [at(x) is not None and (dt[x + shift] == it[x] or at(x).lstrip("\ue000\ue001\ue002") == iv[x].lstrip("\ue000\ue001\ue002")) for x in range(len(it))]
+                full = sorted({*sure, *(a for a in range(max(1, len(it) - 7)) if (sure or all(equal)) and all(equal[a : a + 8]))})
+                pairs = lambda s: [(iv[x], at(x)) for x in sorted({a + j for a in s for j in range(k)}) if iv[x][0] in "\ue000\ue001\ue002"]  # noqa: B023, E731
+                chosen = full if right(pairs(full)) else sure if right(pairs(sure)) else []
+                if chosen:
+                    runs.append((len(chosen), -shift, chosen, pairs(chosen)))
+            if runs and not right([p for r in runs for p in r[3]]):
+                runs = [max(runs)]
+            found.append((len({a for r in runs for a in r[2]}), len(it)))
+            cover = max((round(100 * n / max(1, total - 7), 3) for n, total in found if 100 * n / max(1, total - 7) >= 50 or n >= 12), default=None)
+            if cover is not None:
+                out[d, i] = cover
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("the a box red train goes far when then it was over under long old door of time".split())
+    name, number = lambda: rng.choice(["Anna", "Paris", "New York", "Karl"]), lambda: str(rng.randint(1, 30))
+    unit = lambda: f"{number()} {rng.choice(['km', 'kg', 'hours', 'miles'])}"
+    say = lambda n, share: " ".join(word() if rng.random() > share else rng.choice((name, number, unit))() for _ in range(n))
+    items = {i: say(rng.choice((1, 2, 4, 6, 9, 14, 25)), rng.choice((0, 0.2, 0.5, 0.9))) for i in range(40)}
+    docs = {}
+    for d in range(240):
+        text = items[rng.randrange(40)].split()
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):
+            at = rng.randrange(len(text))
+            text[at] = rng.choice((word(), number(), text[at].upper(), text[at].title(), "Karl"))
+        if rng.random() < 0.2:
+            text = [x.upper() for x in text]
+        if rng.random() < 0.3:
+            text = text[len(text) // 2 :]
+        docs[d] = " ".join([say(rng.randint(0, 12), 0.2), *text, say(rng.randint(0, 12), 0.2), *(items[rng.randrange(40)].split() if rng.random() < 0.3 else [])])
+    tables = [spark.createDataFrame(list(x.items()), f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id"))]
+    wanted = plain_leaks(docs, items)
+    for limit in (decontamination.BROADCAST_WINDOWS, 0):
+        found = {(r["doc_id"], r["item_id"]): r["cover_percent"] for r in decontamination.leaks(*tables, broadcast_limit=limit).collect()}
+        assert found == wanted and len(wanted) > 100
+
+
 def test_leaks_of_items_dense_in_values(spark):
     items = {
         1: "12 15 18 21 24 27 30 33 36 39 42 45",
