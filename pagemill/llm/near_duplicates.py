@@ -37,7 +37,7 @@ TREES, DEPTH = 24, 6
 TARGET_RECALL = 0.9999
 #: A pair at the threshold has an estimate so many standard deviations below it with probability under 1e-7.
 DEVIATIONS = 5.4
-BLOCK = 512
+BLOCK = 256
 #: Components: at most so many vertices are hubs, of at least so many edges.
 HUBS, LEAST_HUB = 20_000, 64
 #: Distinct shingles whose incidence a task holds as one dense block.
