@@ -2,15 +2,16 @@
 
 A page is read once into leaf blocks: the runs of text between block-level tags, each with its ancestors' tags, class
 and id words, and link characters. The CRF's labels are main and other; its features are ancestor tags and names, the
-depth, the block's length, links, punctuation and place, and words of small print; a transition weight joins neighbours.
-Viterbi decoding gives the labels, and the main blocks are joined by line feeds.
+innermost tag and its nearest names, the block's length, links and punctuation, and words of small print; a transition
+weight joins neighbours. Viterbi decoding gives the labels, and the main blocks are joined by line feeds.
 
 Training: labelled pages of many layouts made by labelled_pages() (article, headings, lists and tables in it; menus,
-headers, footers, sidebars, notices, adverts, forms and comments around and inside it), by averaged perceptron updates
-of the CRF's weights on decoded sequences. No page of the table is needed; own labelled pages can be given instead.
+headers, footers, sidebars, notices, adverts, forms and comments around and inside it), by the labels' conditional
+likelihood (forward and backward sums). No page of the table is needed; own labelled pages can be given instead.
 
 Null, empty and text-free pages have an empty text. Repeated rows give a row each; empty tables give none; other columns
-are ignored. Texts of script, style and similar elements and comments are never blocks. Cut-off markup at the end of a
+are ignored. Texts of scripts, styles, form controls, templates and comments are never blocks; formulas, drawings and the
+texts of embedded objects are text like any other. Very long and deeply nested pages are read in one pass, in linear time. Cut-off markup at the end of a
 page is dropped, a cut-off character reference stays as it is. A line break tag counts as white space in its block.
 """
 
@@ -20,7 +21,9 @@ import html as html_lib
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
+from math import exp, log1p
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,8 @@ from pagemill.llm.common import mapped, prepare, table
 
 BITS = 14
 PAGES, SEED, EPOCHS = 400, 11, 8
+#: Training: step size, penalty on the weights.
+RATE, PENALTY = 0.3, 1e-3
 
 #: Element names of HTML by their role here.
 BLOCKS = frozenset(
@@ -37,8 +42,9 @@ BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li legend main menu nav ol optgroup option p pre search section select summary "
     "table tbody td tfoot th thead title tr ul button textarea iframe noscript template".split()
 )
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select button datalist".split())
-RAW = frozenset(["script", "style", "textarea", "title", "iframe", "noscript"])
+SILENT = frozenset("script style template iframe head title textarea select button datalist".split())
+RAW = frozenset(["script", "style", "textarea", "title", "iframe"])
+SECTIONS = frozenset("article main nav header footer aside form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -46,32 +52,49 @@ _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+class Node:
+    """An open element, as far as its blocks' features need it: what it adds to its ancestors' features, and what holds of all."""
+
+    __slots__ = ("article", "added", "last", "names", "parent", "plain", "z")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...], added: tuple[int, ...]):
+        self.parent, self.last, self.added, self.z = parent, tag, added, None
+        self.names = words or (parent.names if parent else ())  # of the nearest element that has some
+        self.article = tag in ("article", "main") or bool(parent and parent.article)
+        self.plain = not words and tag not in SECTIONS and (parent is None or parent.plain)
+
+
 class Block:
-    __slots__ = ("links", "names", "parts", "path")
+    __slots__ = ("links", "node", "parts")
 
-    def __init__(self, path, names):
-        self.path, self.names, self.parts, self.links = path, names, [], 0
+    def __init__(self, node):
+        self.node, self.parts, self.links = node, [], 0
 
     @property
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]:
-    """Text, ancestors' tags, their name words and the number of link characters of each leaf block, in page order."""
+@lru_cache(maxsize=50_000)
+def _feature(name: str) -> int:
+    return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
+
+
+def blocks(page: str | None) -> list[tuple[str, Node, int]]:
+    """Text, innermost element and number of link characters of each leaf block, in page order. Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
-    names: tuple[str, ...] = ()
+    root = node = Node(None, "", (), ())
+    stack: list[tuple[str, tuple[str, ...], Node]] = []  # tag, name words and the element around it
+    open_tags, open_names = Counter(), Counter()
     silent = links = at = 0
-    current = Block(path, names)
+    current = Block(root)
     page = page or ""
 
     def close():
         nonlocal current
         if current.parts:
             out.append(current)
-        current = Block(path, names)
+        current = Block(node)
 
     def said(raw):
         if raw and not silent:
@@ -80,14 +103,18 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...]
             if links:
                 current.links += len(raw.strip())
 
-    def leave(k):
-        nonlocal silent, links, path, names
-        for tag, _ in stack[k:]:
-            silent -= tag in SILENT
-            links -= tag == "a"
-        del stack[k:]
-        path = tuple(t for t, _ in stack)
-        names = tuple(w for _, ws in stack for w in ws)
+    def leave(tag):
+        """Close the innermost element of this tag, and all within it."""
+        nonlocal silent, links, node
+        while stack:
+            own, words, node = stack.pop()
+            open_tags[own] -= 1
+            for w in words:
+                open_names[w] -= 1
+            silent -= own in SILENT
+            links -= own == "a"
+            if own == tag:
+                return
 
     while True:
         start = page.find("<", at)
@@ -109,25 +136,25 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...]
             said(" ")
             continue
         if ends:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                leave(k)
+            if open_tags[tag]:
+                leave(tag)
             if tag in BLOCKS:
                 close()
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag in BLOCKS:  # elements that these end
-            if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                leave(len(stack) - 1)
-            k = next((i for i, (t, _) in enumerate(stack) if t == "p"), None)
-            if tag in BLOCKS and k is not None:
-                leave(k)
+        if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # elements that these end
+            leave(tag)
+        if tag in BLOCKS and open_tags["p"]:
+            leave("p")
         if tag not in VOID and not m.group(3).endswith("/"):
             words = tuple(w for x in _NAMES.findall(m.group(3)) for w in _SPLIT.split("".join(x).lower()) if w)
-            stack.append((tag, words))
+            added = () if open_tags[tag] or tag in ("html", "body") else (_feature(f"tag {tag}"),)  # pages may leave these out
+            added += tuple(_feature(f"name {w}") for w in dict.fromkeys(words) if not open_names[w])
+            stack.append((tag, words, node))
+            open_tags[tag] += 1
+            open_names.update(words)
+            node = Node(node, tag if tag not in ("html", "body") else "", words, added)
             silent += tag in SILENT
             links += tag == "a"
-            path += (tag,)
-            names += words
         if tag in BLOCKS:
             close()
         if tag in RAW and not m.group(3).endswith("/"):
@@ -136,33 +163,37 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...]
                 break
             at = end.start()
     close()
-    return [(b.text, b.path, b.names, b.links) for b in out if b.text]
+    return [(t, b.node, b.links) for b in out if (t := b.text)]
 
 
 _SMALL = re.compile(r"©|\bcookies?\b|all rights reserved|privacy|subscribe|newsletter|sign up|log ?in\b|advert|sponsored|reply|comments?\b|share this|related|read more|terms of", re.I)
 
 
-def features(items, i: int) -> tuple[int, ...]:
-    """Hashed features of one block."""
-    text, path, names, links = items[i]
+def own_features(item) -> tuple[int, ...]:
+    """Hashed features of one block but for its ancestors' tags and names."""
+    text, node, links = item
     n = len(text)
     words = text.count(" ") + 1
     own = (min(8, n.bit_length()), round(4 * links / n), min(7, words.bit_length()), text[-1] in ".!?…:;", n < 400 and bool(_SMALL.search(text)))
-    return _hashed(path, names, own)
+    return _hashed(node.last, node.names, node.article, node.plain, own)
 
 
 @lru_cache(maxsize=20_000)
-def _hashed(path, names, own) -> tuple[int, ...]:
+def _hashed(last, names, article, plain, own) -> tuple[int, ...]:
     length, linked, words, ended, small = own
-    path = tuple(t for t in path if t not in ("html", "body"))  # pages may leave these out
-    last = path[-1] if path else ""
     found = ["bias", f"len {length}", f"links {linked}", f"words {words}", f"ended {ended}", f"small {small}"]
-    found += [f"tag {t}" for t in sorted(set(path))] + [f"name {w}" for w in sorted(set(names))]
-    found += [f"last {last}", f"article {'article' in path or 'main' in path}", f"pair {last} {linked}"]
-    found += [f"inner {last} {w}" for w in sorted(set(names))]
-    if not names and not set(path) & {"article", "main", "nav", "header", "footer", "aside", "form"}:
-        found += ["plain", f"plain {length} {ended}"]
-    return tuple(zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in found)
+    found += [f"last {last}", f"article {article}", f"pair {last} {linked}", *(f"inner {last} {w}" for w in sorted(set(names)))]
+    found += ["plain", f"plain {length} {ended}"] if plain else []
+    return tuple(_feature(x) for x in found)
+
+
+def features(item) -> tuple[int, ...]:
+    """All hashed features of one block."""
+    out, node = list(own_features(item)), item[1]
+    while node is not None:
+        out += node.added
+        node = node.parent
+    return tuple(out)
 
 
 class Model:
@@ -172,14 +203,28 @@ class Model:
         self.weights, self.pairs = weights, pairs
         self._list: list[float] | None = None
 
-    def decode(self, items) -> list[int]:
-        """Labels of highest joint score (Viterbi)."""
+    def scores(self, items) -> list[float]:
+        """Each block's score for main. An element's share is that of the element around it and of what it adds; it is kept
+        with the element, so blocks are scored by one model alone."""
         if self._list is None:
             self._list = self.weights.tolist()
-        w, (oo, om), (mo, mm) = self._list, *self.pairs.tolist()
+        w, out = self._list, []
+        for item in items:
+            node, above = item[1], []
+            while node is not None and node.z is None:
+                above.append(node)
+                node = node.parent
+            z = node.z if node is not None else 0.0
+            for node in reversed(above):
+                z = node.z = z + sum(w[f] for f in node.added)
+            out.append(z + sum(w[f] for f in own_features(item)))
+        return out
+
+    def decode(self, items) -> list[int]:
+        """Labels of highest joint score (Viterbi); of equal ones other is taken."""
+        (oo, om), (mo, mm) = self.pairs.tolist()
         scores, back = (0.0, 0.0), []
-        for i in range(len(items)):
-            z = sum(w[f] for f in features(items, i))
+        for i, z in enumerate(self.scores(items)):
             if i:
                 a, b = scores[0] + oo >= scores[1] + mo, scores[0] + om >= scores[1] + mm
                 back.append((0 if a else 1, 0 if b else 1))
@@ -197,27 +242,52 @@ class Model:
         return {"weights": self.weights, "pairs": self.pairs, "_list": None}
 
 
+def _added(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    return max(a, b) + log1p(exp(-abs(a - b)))
+
+
+def marginals(z: list[float], pairs: list[list[float]]) -> tuple[list[float], list[list[float]], float]:
+    """By forward and backward sums: each block's probability of main, expected numbers of label pairs, and the log of all labellings' sum."""
+    n = len(z)
+    ahead, behind = [(0.0, z[0])], [(0.0, 0.0)] * n
+    for i in range(1, n):
+        o, m = ahead[-1]
+        ahead.append((_added(o + pairs[0][0], m + pairs[1][0]), _added(o + pairs[0][1], m + pairs[1][1]) + z[i]))
+    for i in range(n - 2, -1, -1):
+        o, m = behind[i + 1][0], behind[i + 1][1] + z[i + 1]
+        behind[i] = (_added(pairs[0][0] + o, pairs[0][1] + m), _added(pairs[1][0] + o, pairs[1][1] + m))
+    total = _added(*ahead[-1])
+    main = [exp(ahead[i][1] + behind[i][1] - total) for i in range(n)]
+    both = [[0.0, 0.0], [0.0, 0.0]]
+    for i in range(1, n):
+        for a in (0, 1):
+            for b in (0, 1):
+                both[a][b] += exp(ahead[i - 1][a] + pairs[a][b] + (z[i] if b else 0.0) + behind[i][b] - total)
+    return main, both, total
+
+
 def train(pages: list[tuple[list, list[int]]], epochs: int = EPOCHS) -> Model:
-    """Averaged structured perceptron on (blocks, labels)."""
+    """Conditional likelihood of the labels of (blocks, labels), by steps page by page (sizes by AdaGrad) with a penalty."""
     w, pairs = np.zeros(1 << BITS), np.zeros((2, 2))
-    total_w, total_pairs, steps = np.zeros(1 << BITS), np.zeros((2, 2)), 0
+    seen_w, seen_pairs = np.full(1 << BITS, 1e-2), np.full((2, 2), 1e-2)
     order = random.Random(SEED)
-    pages = list(pages)
+    pages = [([np.array(features(x)) for x in items], gold) for items, gold in pages if items]
     for _ in range(epochs):
         order.shuffle(pages)
-        for items, gold in pages:
-            model = Model(w, pairs)
-            guess = model.decode(items)
-            for i, (g, y) in enumerate(zip(guess, gold)):
-                if g != y:
-                    np.add.at(w, list(features(items, i)), 1.0 if y else -1.0)
-                if i and (guess[i - 1], g) != (gold[i - 1], y):
-                    pairs[gold[i - 1], y] += 1
-                    pairs[guess[i - 1], g] -= 1
-            total_w += w
-            total_pairs += pairs
-            steps += 1
-    return Model(total_w / max(1, steps), total_pairs / max(1, steps))
+        for rows, gold in pages:
+            main, both, _ = marginals([float(w[f].sum()) for f in rows], pairs.tolist())
+            flat = np.concatenate(rows)
+            gap = np.repeat([y - p for y, p in zip(gold, main)], [len(f) for f in rows])
+            used, where = np.unique(flat, return_inverse=True)
+            g = np.bincount(where, gap) - PENALTY * w[used]
+            seen_w[used] += g * g
+            w[used] += RATE * g / np.sqrt(seen_w[used])
+            g = -np.array(both) - PENALTY * pairs
+            np.add.at(g, (gold[:-1], gold[1:]), 1.0)
+            seen_pairs += g * g
+            pairs += RATE * g / np.sqrt(seen_pairs)
+    return Model(w, pairs)
 
 
 def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, str]]:
