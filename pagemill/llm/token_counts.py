@@ -6,11 +6,11 @@ documents are ever made.
 
 Plan: (1) tasks count pre-tokens, one shuffle sums them; (2) the tokenizer sees each distinct pre-token once, and the
 table (pretoken, freq, pieces) is written to the shared folder; (3) documents take the counts of the HEAD_SIZE most
-frequent pre-tokens from a broadcast dictionary of that bounded size, and only their other pre-tokens are shuffled, to
-the join with the table. Frequent (hot) pre-tokens thus never reach the join.
+frequent pre-tokens from a broadcast dictionary of that bounded size (long ones stand there by a digest), and only their
+other pre-tokens are shuffled, to the join with the table. Frequent (hot) pre-tokens thus never reach the join.
 
-Null texts count as empty (0 tokens, 0 bytes). Repeated rows and null ids give a row each. Empty tables give no rows.
-Other columns are ignored.
+Null texts count as empty (0 tokens, 0 bytes). Repeated rows and null ids give a row each. Very long texts and pre-tokens
+are counted whole, a text at a time. Empty tables give no rows. Other columns are ignored. Ties in frequency don't matter.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import arrow_schema, mapped, materialize, prepare, table
 
-#: Most entries of the broadcast dictionary, and the longest pre-token that it may hold: 200,000 * 48 characters.
+#: Most entries of the broadcast dictionary, and the longest pre-token that stands there as it is: 200,000 * 65 characters.
 HEAD_SIZE, HEAD_CHARS = 200_000, 48
 #: Distinct pre-tokens that a task holds before it passes its partial counts on.
 FLUSH = 300_000
@@ -78,7 +79,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             for doc_id, text in zip(ids, batch.column(1).to_pylist()):
                 known = 0
                 for word, freq in Counter(pretokens(text)).items():
-                    n = get(word)
+                    n = get(word if len(word) <= HEAD_CHARS else _digest(word))
                     if n is None:
                         for column, value in zip(out, (rid, None, None, 0, word, freq)):
                             column.append(value)
@@ -128,16 +129,22 @@ def _vocabulary(rows: DataFrame, model_path: str) -> DataFrame:
 def _head(vocabulary: DataFrame) -> dict[str, int]:
     """The most frequent pre-tokens: those above the frequency (in steps of an eighth power of 2) that keeps the bound."""
     level = F.floor(F.log2("freq") * 8)
-    short = vocabulary.filter(F.length("pretoken") <= HEAD_CHARS).withColumn("level", level)
+    rows = vocabulary.withColumn("level", level)
     least, held = None, 0
-    for row in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some 500 levels at most
+    for row in sorted(rows.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some 500 levels at most
         held += row["count"]
         if held > HEAD_SIZE:
             break
         least = row["level"]
     if least is None:
         return {}
-    return {r["pretoken"]: r["pieces"] for r in short.filter(F.col("level") >= least).select("pretoken", "pieces").toLocalIterator()}
+    key = F.when(F.length("pretoken") <= HEAD_CHARS, F.col("pretoken")).otherwise(F.concat(F.lit("\n"), F.sha2("pretoken", 256)))
+    return {r["key"]: r["pieces"] for r in rows.filter(F.col("level") >= least).select(key.alias("key"), "pieces").toLocalIterator()}
+
+
+def _digest(word: str) -> str:
+    """What stands for a long pre-token; no pre-token starts with a line feed and goes on."""
+    return "\n" + sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
