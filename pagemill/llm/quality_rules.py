@@ -6,7 +6,8 @@ boilerplate (licence, cookie and copyright phrases, and lines that repeat an ear
 against all of them decide, after the base rules.
 
 Null and empty texts have no words and fail the base rules (fewer than 50 words). Repeated rows each get a row, null ids
-stay. Empty tables give no rows. Other columns are ignored.
+stay. Of equal lines the first is kept. Very long texts are read whole, within one row's arrays. Empty tables give no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ BOILERPLATE = (
 )
 END = ".!?…:;\"'”’»)]"
 PHRASES = "(?i)(?<!\\w)(?:" + "|".join(p.replace("(", "\\(").replace(")", "\\)") for p in BOILERPLATE) + ")"
-#: Up to so many different repeated windows are looked up one by one, more by a sort.
-FEW = 16
+#: Up to so many different repeated windows at so many places are looked up one by one, more by a sort.
+FEW, FEW_PLACES = 16, 64
 
 
 def _others(text, chars: str):
@@ -51,27 +52,34 @@ def good_line(line, marked):
     return ended & (~marked | (symbols & shouts & parts & ~line.rlike(PHRASES)))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line_chars, kept_chars, base_failed, kept."""
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept_percent: int = MIN_KEPT_PERCENT, cleaned: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line_chars, kept_chars, base_failed, kept.
+
+    With cleaned, also the text of the kept lines, joined by line feeds (for rejected documents too).
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", F.array_remove(F.split("text", BLANK), "").alias("w"), F.filter(F.split("text", "\n"), lambda x: x.rlike("\\S")).alias("lines"), F.col("text").rlike(f"[{SYMBOLS}!{SEPARATORS}]|{PHRASES}").alias("marked"))
     rows = rows.select("*", F.size("w").alias("n"), F.expr("length(bin(size(w)))").alias("bits"), F.array_distinct("lines").alias("own"))
-    # Hashes of the windows. Where some are equal, the repeated ones are found: few by lookup, many by a sort of hash and
-    # start in one long, which makes equal windows neighbours. Hashes only propose; neighbours' words are compared.
+    # Hashes of the windows. Where some are equal, the repeated ones are found: few by lookup and by coming together, many by a
+    # sort of hash and start in one long, which makes equal windows neighbours. Hashes only propose; words are compared.
     starts = "CASE WHEN n < 3 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, n - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"
     rows = rows.withColumn("h", F.expr(starts)).withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
     twice = "CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array(h) ELSE CAST(array() AS array<bigint>) END"
     rows = rows.withColumn("s", F.expr(twice))
     rows = rows.withColumn("r", F.expr("CASE WHEN size(s) > 0 THEN array_distinct(filter(s, (x, j) -> j > 0 AND s[j - 1] = x)) ELSE s END"))
-    rows = rows.withColumn("q", F.expr(f"CASE WHEN size(r) > {FEW} THEN sort_array(transform(h, (x, i) -> shiftleft(x, bits) | CAST(i AS bigint))) ELSE CAST(array() AS array<bigint>) END"))
-    few = "transform(filter(transform(h, (x, i) -> CASE WHEN array_contains(r, x) THEN CAST(i AS bigint) END), x -> x IS NOT NULL), x -> x)"
+    few = "filter(transform(h, (x, i) -> CASE WHEN array_contains(r, x) THEN CAST(i AS bigint) END), x -> x IS NOT NULL)"
+    rows = rows.withColumn("f", F.expr(f"CASE WHEN size(r) BETWEEN 1 AND {FEW} THEN {few} ELSE CAST(array() AS array<bigint>) END"))
+    rows = rows.withColumn("q", F.expr(f"CASE WHEN size(r) > {FEW} OR size(f) > {FEW_PLACES} THEN sort_array(transform(h, (x, i) -> shiftleft(x, bits) | CAST(i AS bigint))) ELSE CAST(array() AS array<bigint>) END"))
+    equal = "h[CAST(x AS int)] = h[CAST(y AS int)]" + "".join(f" AND w[CAST(x AS int) + {k}] = w[CAST(y AS int) + {k}]" for k in range(3))
+    few = f"filter(f, x -> exists(f, y -> y <> x AND {equal}))"
     same = "shiftrightunsigned({0}, bits) = shiftrightunsigned({1}, bits) AND w[CAST({0} & mask AS int)] = w[CAST({1} & mask AS int)] AND w[CAST({0} & mask AS int) + 1] = w[CAST({1} & mask AS int) + 1] AND w[CAST({0} & mask AS int) + 2] = w[CAST({1} & mask AS int) + 2]"
     before, after = same.format("q[j - 1]", "x"), same.format("x", "q[j + 1]")
     many = f"sort_array(filter(transform(q, (x, j) -> CASE WHEN (j > 0 AND {before}) OR (j < size(q) - 1 AND {after}) THEN x & mask END), x -> x IS NOT NULL))"
-    rows = rows.withColumn("p", F.expr(f"CASE WHEN size(r) = 0 THEN r WHEN size(r) <= {FEW} THEN {few} ELSE {many} END"))
+    rows = rows.withColumn("p", F.expr(f"CASE WHEN size(r) = 0 THEN r WHEN size(q) = 0 THEN {few} ELSE {many} END"))
     covered = "aggregate(transform(p, (x, j) -> CASE WHEN j = size(p) - 1 THEN 3L ELSE least(3L, p[j + 1] - x) END), 0L, (a, x) -> a + x)"
     word_chars = F.length(F.array_join("w", "")).cast("long")
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    good = F.filter("own", lambda x: good_line(x, F.col("marked")))
     out = rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
@@ -80,7 +88,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         (F.size("lines") - F.size("own")).cast("long").alias("n_dup_lines"),
         F.expr(covered).alias("n_repeat_words"),
         chars(F.col("lines")).alias("line_chars"),
-        chars(F.filter("own", lambda x: good_line(x, F.col("marked")))).alias("kept_chars"),
+        chars(good).alias("kept_chars"),
+        *([F.array_join(good, "\n").alias("cleaned")] if cleaned else []),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
