@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -70,6 +72,7 @@ def test_token_counts_equal_library(spark, odd):
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab \n▁\té漢\r.<s>　") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [t for _, t in ROWS]
+    texts += [f"{'=' * 300} a{i} {'https://example.org/' * 9}\n{'é' * 60}" for i in range(200)]  # long pre-tokens in many texts
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, path).collect()} == {i: len(own.encode(t or "")) for i, t in enumerate(texts)}
 
@@ -443,6 +446,13 @@ def test_quality_equals_brute_force(spark):
         assert r["n_symbols"] == sum(t.count(c) for c in "#*$%&|<>") and r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
 
 
+def test_quality_cleaned_text(spark):
+    lines = ["This is a good line of some words.", "Home | News | Sport | About us | More", "This is a good line of some words.", "All rights reserved by them.", "Short one", "#### $$$$ ||||", "So is this!"]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in quality_rules.quality(df, cleaned=True).collect()}
+    assert found[1]["cleaned"] == "\n".join([lines[0], lines[4], lines[6]]) and found[2]["cleaned"] == "" and found[1]["kept_chars"] == sum(len(lines[i]) for i in (0, 4, 6))
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
@@ -530,6 +540,34 @@ def canonical(rows):
     return out
 
 
+def test_html_other_pages():
+    model = html_extraction.fit()
+    page = "<article><h1>T here is</h1><p>Let <math>x=2</math> be given, <svg><text>label</text></svg> and <object>fallback words</object> too.</p><noscript><p>Without scripts too it is.</p></noscript><form><p>Your name here</p></form></article>"
+    assert html_extraction.main_text(page, model) == "T here is\nLet x=2 be given, label and fallback words too.\nWithout scripts too it is."
+    page = """<html><body class="home page"><div id="masthead" role="banner"><div class="logo">Site</div></div><div role="navigation" class="nav-menu"><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>
+    <div id="content"><div class="entry-content post"><h2>A day at the river</h2><p>We went to the river in the morning. It was cold there.</p><p>Then the sun came out, and all of us stayed until night.</p></div>
+    <div id="comments" class="comments"><h3>2 comments</h3><p>Great text, thanks for it!</p></div></div><div class="sidebar widget"><p>Read other texts.</p></div><div id="footer" class="site-footer">© 2020 Site</div></body></html>"""
+    assert html_extraction.main_text(page, model) == "A day at the river\nWe went to the river in the morning. It was cold there.\nThen the sun came out, and all of us stayed until night."
+    for deep in ("<article>" + "".join(f"<div class=c{k}>y " for k in range(20_000)) + "</b>" * 20_000, "<p>" + "<i>" * 50_000 + "x" + "</i>" * 50_000):
+        start = time.time()
+        html_extraction.main_text(deep, model)
+        assert time.time() - start < 5
+
+
+def test_html_field_equals_enumeration():
+    rng = random.Random(3)
+    for n in (1, 2, 5, 8):
+        z, pairs = [rng.gauss(0, 2) for _ in range(n)], [[rng.gauss(0, 2) for _ in range(2)] for _ in range(2)]
+        score = {y: sum(a * b for a, b in zip(z, y)) + sum(pairs[a][b] for a, b in zip(y, y[1:])) for y in itertools.product((0, 1), repeat=n)}
+        total = np.logaddexp.reduce(list(score.values()))
+        main, both, log_sum = html_extraction.marginals(z, pairs)
+        assert log_sum == pytest.approx(total) and main == pytest.approx([sum(np.exp(s - total) for y, s in score.items() if y[i]) for i in range(n)])
+        assert sum(map(sum, both)) == pytest.approx(n - 1) and both[1][0] == pytest.approx(sum(np.exp(s - total) * sum(x == (1, 0) for x in zip(y, y[1:])) for y, s in score.items()))
+        model = html_extraction.Model(np.zeros(1), np.array(pairs))
+        model.scores = lambda items: items
+        assert tuple(model.decode(z)) == max(score, key=score.get)
+
+
 def test_chat_roles_and_boundaries_of_logs(spark):
     turns, model = chat_model(spark)
     given = {}
