@@ -221,8 +221,7 @@ def win07_top_facts(spark, d):
 
 @query(f"""WITH {_LINES}, f AS (SELECT doc, query, min(pos) AS p FROM lines GROUP BY ALL) SELECT doc, query, (dense_rank() OVER (PARTITION BY doc ORDER BY p) - 1) % 14 AS color FROM f""")
 def win08_color_rank(spark, d):
-    firsts = lines(spark, d).groupBy("doc", "query").agg(F.min("pos").alias("p"))
-    return firsts.select("doc", "query", ((F.dense_rank().over(Window.partitionBy("doc").orderBy("p")) - 1) % 14).cast("long").alias("color"))
+    return windows.first_rank(lines(spark, d))
 
 
 @query(f"""WITH {_LINES}, o AS (SELECT *, coalesce(sum(images) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM lines)
@@ -261,7 +260,7 @@ def agg10_class_numbers(spark, d):
 @query("SELECT CASE WHEN n_chars > 20000 THEN 'too_long' WHEN lang NOT IN ('en', 'fr') THEN 'off_type' ELSE 'saved' END AS status, count(*) AS n FROM documents GROUP BY 1")
 def agg11_status(spark, d):
     status = F.when(F.col("n_chars") > 20000, "too_long").when(~F.col("lang").isin("en", "fr"), "off_type").otherwise("saved")
-    return table(spark, d, "documents").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return facts.status_counts(table(spark, d, "documents"), status)
 
 
 @query("SELECT count(*) AS count, count(*) FILTER (toxic = 0) AS clean, count(*) FILTER (toxic = 1) AS augmented FROM labels")
@@ -271,8 +270,8 @@ def agg12_manifest(spark, d):
 
 @query("SELECT user_id AS doc, hour(ts) AS page, count(*) AS n, min(event_id) AS least_event, max(event_id) AS last_event FROM events GROUP BY ALL")
 def agg13_fields_by_page(spark, d):
-    rows = _event_facts(spark, d).groupBy("doc", "page").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return rows.select("doc", "page", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("least_event"), F.element_at("ids", -1).alias("last_event"))
+    rows = facts.rows_by_page(_event_facts(spark, d), "event_id")
+    return rows.select("doc", "page", F.size("items").cast("long").alias("n"), F.element_at("items", 1).alias("least_event"), F.element_at("items", -1).alias("last_event"))
 
 
 @query("SELECT unnest(['p', 'li', 'a']) AS tag, unnest([sum(len(regexp_extract_all(html, '(?i)<p[\\s>]'))), sum(len(regexp_extract_all(html, '(?i)<li[\\s>]'))), sum(len(regexp_extract_all(html, '(?i)<a[\\s>]')))])::bigint AS n FROM pages")
@@ -282,7 +281,7 @@ def agg14_tag_counts(spark, d):
 
 @query("SELECT DISTINCT source FROM documents")
 def agg15_sources(spark, d):
-    return table(spark, d, "documents").select("source").distinct()
+    return facts.distinct_values(table(spark, d, "documents"), "source")
 
 
 _AMOUNTS = """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(CAST(round(l_extendedprice * 100) AS bigint) AS decimal(28, 0)) AS cents, l_returnflag AS u, l_linenumber % 3 AS s, l_quantity < 10 AS neg FROM lineitem)"""
@@ -401,7 +400,7 @@ def set01_union(spark, d):
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def set04_difference(spark, d):
     returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").select("p_partkey").join(returned, "p_partkey", "left_anti")
+    return sampling.without(table(spark, d, "part").select("p_partkey"), returned, "p_partkey")
 
 
 @query("""WITH s AS (SELECT source, row_number() OVER (ORDER BY md5('42|' || source), source) <= round_even(0.25 * count(*) OVER (), 0) AS test FROM (SELECT DISTINCT source FROM documents))
@@ -409,7 +408,7 @@ SELECT doc_id, test FROM documents JOIN s USING (source)""")
 def join08_membership(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     held = sampling.exact_share(docs.select("source").distinct(), "source", 0.25, 42).filter("chosen").select("source")
-    return docs.join(held, "source", "left_semi").select("doc_id", F.lit(True).alias("test")).union(docs.join(held, "source", "left_anti").select("doc_id", F.lit(False).alias("test")))
+    return sampling.members(docs, held, "source").select("doc_id", "test")
 
 
 @query("""SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS cls,

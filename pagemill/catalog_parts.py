@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.catalog import _LINES, lines, query, snapshots
@@ -35,8 +34,7 @@ def win05_template_chunks(spark, d):
 
 @query(f"WITH {_LINES} SELECT doc, pos, CAST(coalesce(sum(images) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS first_image FROM lines")
 def win09_image_offsets(spark, d):
-    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return lines(spark, d).select("doc", F.col("pos").cast("long").alias("pos"), F.coalesce(F.sum("images").over(before), F.lit(0)).cast("long").alias("first_image"))
+    return windows.image_offsets(lines(spark, d)).select("doc", F.col("pos").cast("long").alias("pos"), "first_image")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS period, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS n_members,
@@ -78,7 +76,7 @@ def ded06_cached_labels(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def join09_open_slots(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return sampling.without(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT pos, path FROM (SELECT unnest([0, 1, 2, 3, 4]) AS pos, unnest(['doc3', 'gone', 'doc1', 'doc10', 'doc2']) AS path) WHERE path IN (SELECT 'doc' || doc_id FROM documents) ORDER BY pos LIMIT 3")
@@ -90,7 +88,7 @@ def join10_known_paths(spark, d):
 
 @query("SELECT doc_id AS number, 'doc' || doc_id AS filename FROM documents WHERE n_chars IS NOT NULL")
 def prj01_index_projection(spark, d):
-    return table(spark, d, "documents").filter("n_chars IS NOT NULL").select(F.col("doc_id").alias("number"), F.concat(F.lit("doc"), "doc_id").alias("filename"))
+    return search.index_rows(table(spark, d, "documents"), "doc_id", F.concat(F.lit("doc"), "doc_id"), F.col("n_chars").isNotNull())
 
 
 @query("SELECT 'conv1' AS filename, row_number() OVER (ORDER BY turn) - 1 AS page, role AS summary FROM conversations WHERE conv_id = 1")
@@ -134,7 +132,7 @@ def prj18_draw_slots(spark, d):
 
 @query("SELECT doc_id, CASE WHEN source = 'web' THEN 'train' ELSE 'test' END AS part FROM documents")
 def ord07_split_by_column(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("source") == "web", "train").otherwise("test").alias("part"))
+    return sampling.split_by(table(spark, d, "documents"), F.col("source") != "web").select("doc_id", "part")
 
 
 @query("SELECT event_id FROM events ORDER BY md5('45|' || event_id), event_id")
@@ -149,14 +147,12 @@ def ord09_exact_flags(spark, d):
 
 @query(f"WITH {_LINES} SELECT doc, string_agg(query, ',' ORDER BY md5('5|' || query)) AS queries FROM (SELECT DISTINCT doc, query FROM lines) GROUP BY doc")
 def ord11_shuffled_queries(spark, d):
-    keyed = F.struct(sampling.order_key(5, F.col("query")).alias("h"), "query")
-    return lines(spark, d).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_set(keyed)), lambda x: x["query"]), ",").alias("queries"))
+    return sampling.shuffled_distinct(lines(spark, d), "query", 5).select("doc", F.array_join("items", ",").alias("queries"))
 
 
 @query(f"WITH {_LINES} SELECT doc, string_agg(query, ',' ORDER BY p) AS queries FROM (SELECT doc, query, min(pos) AS p FROM lines GROUP BY ALL) GROUP BY doc")
 def set03_ordered_distinct(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "query")))
-    return lines(spark, d).groupBy("doc").agg(F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["query"])), ",").alias("queries"))
+    return windows.ordered_distinct(lines(spark, d)).select("doc", F.array_join("items", ",").alias("queries"))
 
 
 @query("""SELECT p_partkey, regexp_replace('rows[' || p_size || '].a', '\\[[0-9]+\\]', '[]') AS logical, 'Net Income ' || p_size AS concept, '[data-field^="rows["][data-field$=".a"]' AS css, p_brand AS inner_text,

@@ -51,22 +51,31 @@ def currency_of(measures: Column) -> Column:
     return F.when(F.size(found) > 0, F.substring_index(F.get(found, F.lit(0)), ":", -1))
 
 
+def let(x: Column, body) -> Column:
+    """body(x) with x computed once, however often body uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def shifted(number: Column, places: Column) -> Column:
     """A plain decimal number's text times a power of ten, exact for any number of digits, without zeros around it.
 
     Moves the point in the text, so there is no type whose range could end the job. Signs are kept, zero has none.
     """
     digits = F.regexp_replace(number, "^[+-]", "")
-    whole, part = F.substring_index(digits, ".", 1), F.when(F.instr(digits, ".") > 0, F.substring_index(digits, ".", -1)).otherwise(F.lit(""))
-    zeros = F.repeat(F.lit("0"), F.abs(places))
-    right, left = F.concat(part, zeros), F.concat(zeros, whole)
-    up = F.concat(whole, F.left(right, places), F.lit("."), F.substr(right, places + 1))
-    down = F.concat(F.left(left, F.length(left) + places), F.lit("."), F.right(left, -places), part)
-    moved = F.when(places > 0, up).when(places < 0, down).otherwise(F.concat(whole, F.lit("."), part))
-    moved = F.regexp_replace(moved, "^0+(?=[0-9])", "")
-    plain = F.concat(F.when(F.substring_index(moved, ".", 1) == "", F.lit("0")).otherwise(F.substring_index(moved, ".", 1)), F.lit("."), F.rtrim(F.substring_index(moved, ".", -1), F.lit("0")))
-    plain = F.regexp_replace(plain, "\\.$", "")
-    return F.when(number.startswith("-") & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
+    split = F.split(digits, "\\.")
+    parts = F.struct(F.get(split, F.lit(0)).alias("whole"), F.coalesce(F.get(split, F.lit(1)), F.lit("")).alias("part"), F.repeat(F.lit("0"), F.abs(places)).alias("zeros"), places.alias("k"), number.startswith("-").alias("minus"))
+
+    def moved(p: Column) -> Column:
+        right, left = F.concat(p["part"], p["zeros"]), F.concat(p["zeros"], p["whole"])
+        whole = F.when(p["k"] > 0, F.concat(p["whole"], F.left(right, p["k"]))).when(p["k"] < 0, F.left(left, F.length(left) + p["k"])).otherwise(p["whole"])
+        part = F.when(p["k"] > 0, F.substr(right, p["k"] + 1)).when(p["k"] < 0, F.concat(F.right(left, -p["k"]), p["part"])).otherwise(p["part"])
+        return F.struct(F.ltrim(whole, F.lit("0")).alias("whole"), F.rtrim(part, F.lit("0")).alias("part"), p["minus"].alias("minus"))
+
+    def said(p: Column) -> Column:
+        size = F.concat(F.when(p["whole"] == "", F.lit("0")).otherwise(p["whole"]), F.when(p["part"] == "", F.lit("")).otherwise(F.concat(F.lit("."), p["part"])))
+        return F.concat(F.when(p["minus"] & ((p["whole"] != "") | (p["part"] != "")), F.lit("-")).otherwise(F.lit("")), size)
+
+    return let(parts, lambda p: let(moved(p), said))
 
 
 def canonical_value(raw: Column, scale: Column, sign: Column, fmt: Column, measures: Column) -> Column:
@@ -74,20 +83,27 @@ def canonical_value(raw: Column, scale: Column, sign: Column, fmt: Column, measu
     and MOST_PLACES (a value's text is that long). Any number of digits is exact. A percent sign is dropped unscaled."""
     t = F.translate(F.coalesce(raw, F.lit("")), BLANKS, "")
     t = F.when(F.coalesce(F.instr(fmt, "comma-decimal"), F.lit(0)) > 0, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
-    t = F.regexp_replace(F.translate(t, "%", ""), r"^\$+", "")
-    power = F.coalesce(F.nullif(F.regexp_extract(t, r"[eE]([+-]?[0-9]{1,4})$", 1), F.lit("")).try_cast("int"), F.lit(0))
-    number = F.regexp_replace(t, r"[eE][+-]?[0-9]{1,4}$", "")
-    places = F.when(F.coalesce(scale, F.lit("")) == "", F.lit(0)).otherwise(F.trim(scale).try_cast("int")) + power
-    valid = number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$") & (F.abs(places) <= MOST_PLACES)
-    turned = F.when(sign == "-", F.when(number.startswith("-"), F.substr(number, F.lit(2))).otherwise(F.concat(F.lit("-"), F.regexp_replace(number, "^[+]", "")))).otherwise(number)
-    num = F.when(valid, shifted(turned, places))
-    currency, shares = currency_of(measures), F.array_contains(measures, "xbrli:shares")
-    return (
-        F.when(currency.isNotNull() & shares, F.concat(currency, F.lit(" "), num, F.lit(" per share")))
-        .when(currency.isNotNull(), F.concat(currency, F.lit(" "), num))
-        .when(shares, F.concat(num, F.lit(" shares")))
-        .otherwise(num)
-    )
+    t = F.ltrim(F.translate(t, "%", ""), F.lit("$"))
+    given = F.when(F.coalesce(scale, F.lit("")) == "", F.lit(0)).otherwise(F.trim(scale).try_cast("int"))
+
+    def value(x: Column) -> Column:
+        power = F.coalesce(F.substring_index(F.lower(x), "e", -1).try_cast("int"), F.lit(0))
+        powered = x.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)[eE][+-]?[0-9]{1,4}$")
+        number = F.when(powered, F.substring_index(F.lower(x), "e", 1)).otherwise(x)
+        parts = F.struct(number.alias("number"), (given + F.when(powered, power).otherwise(F.lit(0))).alias("places"))
+        return let(parts, scaled)
+
+    def scaled(p: Column) -> Column:
+        number = p["number"]
+        turned = F.when(sign == "-", F.when(number.startswith("-"), F.substr(number, F.lit(2))).otherwise(F.concat(F.lit("-"), F.ltrim(number, F.lit("+"))))).otherwise(number)
+        return F.when(number.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$") & (F.abs(p["places"]) <= MOST_PLACES), shifted(turned, p["places"]))
+
+    def with_unit(num: Column) -> Column:
+        currency, shares = currency_of(measures), F.array_contains(measures, "xbrli:shares")
+        after = F.when(shares, F.when(currency.isNotNull(), F.lit(" per share")).otherwise(F.lit(" shares"))).otherwise(F.lit(""))
+        return F.when(num.isNotNull(), F.concat(F.coalesce(F.concat(currency, F.lit(" ")), F.lit("")), num, after))
+
+    return let(let(t, value), with_unit)
 
 
 def magnitude(value: Column) -> Column:

@@ -74,6 +74,21 @@ def tag_counts(rows: DataFrame, html: str, tags: tuple[str, ...]) -> DataFrame:
     return sums.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(t).cast("long").alias("n")) for t in tags])).alias("x")).select("x.*")
 
 
+def status_counts(rows: DataFrame, status: Column) -> DataFrame:
+    """AGG-11: rows by status."""
+    return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rows_by_page(rows: DataFrame, value: str, doc: str = "doc", page: str = "page") -> DataFrame:
+    """AGG-13: the values of each page of a document in order."""
+    return rows.groupBy(doc, page).agg(F.array_sort(F.collect_list(value)).alias("items"))
+
+
+def distinct_values(rows: DataFrame, column: str) -> DataFrame:
+    """AGG-15, SET-05: a column's values, each once (nulls too)."""
+    return rows.select(column).distinct()
+
+
 def completeness(frame: DataFrame, wanted: list[str]) -> list[str]:
     """AGG-16: columns that are missing."""
     return [c for c in wanted if c not in frame.columns]

@@ -51,6 +51,27 @@ def shuffled(rows: DataFrame, seed, epoch: int, *keys: str) -> DataFrame:
     return rows.orderBy(order_key(int(seed) + epoch, *[F.col(k) for k in keys]), *keys)
 
 
+def split_by(rows: DataFrame, test: Column) -> DataFrame:
+    """ORD-07: rows with part: test where the condition holds, else train (also where it is null)."""
+    return rows.withColumn("part", F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train"))
+
+
+def shuffled_distinct(rows: DataFrame, item: str, seed, doc: str = "doc") -> DataFrame:
+    """ORD-11: (doc, items): each document's distinct items in an order by hash."""
+    keyed = F.struct(order_key(seed, F.col(item)).alias("h"), F.col(item).alias("x"))
+    return rows.groupBy(doc).agg(F.transform(F.array_sort(F.collect_set(keyed)), lambda s: s["x"]).alias("items"))
+
+
+def members(rows: DataFrame, held: DataFrame, key: str, name: str = "test") -> DataFrame:
+    """JOIN-08: rows with a flag: their key is among held's."""
+    return rows.join(held.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def without(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """JOIN-09, SET-04: rows whose key isn't among done's; rows with a null key stay."""
+    return rows.join(done.select(key), key, "left_anti")
+
+
 def chunk_of(pos: Column, size: int) -> Column:
     """ORD-12."""
     return F.floor(pos / size)

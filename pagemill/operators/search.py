@@ -35,6 +35,16 @@ def list_paths(docs: DataFrame, after: str = "", n: int = 0) -> DataFrame:
     return out.limit(n) if n else out
 
 
+def index_rows(docs: DataFrame, number: str, name, wanted) -> DataFrame:
+    """PRJ-01: number and filename of the documents that an index lists."""
+    return docs.filter(wanted).select(F.col(number).alias("number"), name.alias("filename"))
+
+
+def frequent(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """PRJ-15: keys of at least so many rows, with their number."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
 def details(index: DataFrame, filename: str) -> DataFrame:
     """PRJ-02: number and summary of each page of exactly one record."""
     found = index.filter(F.col("filename") == filename)

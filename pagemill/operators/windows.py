@@ -75,6 +75,24 @@ def in_windows(windows: DataFrame, fields: DataFrame) -> DataFrame:
     return windows.withColumn("page", F.explode(F.sequence("first", "last"))).join(fields, ["doc", "page"])
 
 
+def first_rank(rows: DataFrame, item: str = "query", doc: str = "doc", pos: str = "pos", cycle: int = 14) -> DataFrame:
+    """WIN-08: (doc, item, color): the rank of a document's items by first appearance, modulo the number of colours."""
+    firsts = rows.groupBy(doc, item).agg(F.min(pos).alias("first"))
+    return firsts.select(doc, item, ((F.dense_rank().over(Window.partitionBy(doc).orderBy("first")) - 1) % cycle).cast("long").alias("color"))
+
+
+def image_offsets(rows: DataFrame, doc: str = "doc", pos: str = "pos", images: str = "images") -> DataFrame:
+    """WIN-09: rows with the number of images before them in their document."""
+    before = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("first_image", F.coalesce(F.sum(images).over(before), F.lit(0)).cast("long"))
+
+
+def ordered_distinct(rows: DataFrame, item: str = "query", doc: str = "doc", pos: str = "pos") -> DataFrame:
+    """SET-03: (doc, items): a document's items in order of first appearance."""
+    ordered = F.array_sort(F.collect_list(F.struct(pos, item)))
+    return rows.groupBy(doc).agg(F.array_distinct(F.transform(ordered, lambda x: x[item])).alias("items"))
+
+
 def top_facts(facts: DataFrame, keep: int = 20) -> DataFrame:
     """WIN-07: of rows (window, pos, name, period, value) the first of each (name, period, value), then per window values
     with a blank first, larger numbers first, in order."""

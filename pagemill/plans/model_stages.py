@@ -14,6 +14,7 @@ from hashlib import md5
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagemill.functions.encoding import parse_answers, reindex
 from pagemill.functions.text import normalize_label
@@ -23,19 +24,21 @@ from pagemill.tables import materialize
 
 def run(rows: DataFrame, call: Callable[[dict], dict], schema: str, partitions: int = 0) -> DataFrame:
     """UDF-01, UDF-34: rows with the columns of schema (from call, for a row as a dict) and error."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).fieldNames()
     kept = rows.columns
 
     def stage(frames):
         for frame in frames:
-            found = []
+            found, nothing = [], dict.fromkeys([*names, "error"])
             for row in frame.to_dict("records"):
                 try:
-                    found.append(call(row) | {"error": None})
+                    found.append(nothing | call(row))
                 except Exception as e:  # a row's failure is data here
-                    found.append({"error": f"{type(e).__name__}: {e}"})
-            extra = pd.DataFrame(found, columns=[*names, "error"], index=frame.index)
-            yield pd.concat([frame, extra], axis=1)
+                    found.append(nothing | {"error": f"{type(e).__name__}: {e}"})
+            # As plain objects: strings held by Arrow in several chunks can't be put into a batch.
+            extra = pd.DataFrame(found, columns=[*names, "error"], index=frame.index, dtype=object)
+            texts = {c: frame[c].astype(object) for c in frame.columns if isinstance(frame[c].dtype, pd.StringDtype)}
+            yield pd.concat([frame.assign(**texts), extra], axis=1)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {schema}, error string"
     rows = rows.repartition(partitions) if partitions else rows
