@@ -41,6 +41,12 @@ def first_rows(rows: DataFrame, n: int, *order) -> DataFrame:
     return rows.orderBy(*order).limit(n) if n else rows.orderBy(*order)
 
 
+def rows_at(rows: DataFrame, positions: list[int], *order) -> DataFrame:
+    """SRC-04: the rows at given places (from 0) in order, with their place; at most the rows up to the last place are ranked."""
+    first = rows.orderBy(*order).limit(max(positions, default=-1) + 1)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1).filter(F.col("place").isin(*positions))
+
+
 def bernoulli(share: float, seed, *keys: Column) -> Column:
     """ORD-10: an independent draw for each key."""
     return F.conv(F.substring(order_key(seed, *keys), 1, 8), 16, 10).cast("double") / 4294967296.0 < share

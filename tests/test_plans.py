@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import numeric, rewriting, text
 from pagemill.operators import metrics, sampling, windows
-from pagemill.plans import agent_tools, fetching, generation, model_stages
+from pagemill.plans import agent_tools, fetching, generation, model_stages, rendering
 from pagemill.plans.tools import gather_limited, json_type, parse_docstring
 from pagemill.sources import files, sinks
 from pagemill.sources.blobs import BlobStore
@@ -260,3 +260,57 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(df, f"file://{tmp_path}/jj")
     assert spark.read.json(f"file://{tmp_path}/jj").count() == 10
     assert value(spark, sinks.output_name(F.lit("a"), F.lit("clear"), F.lit(7))) == "a_clear_0007"
+
+
+def test_rendered_fields_and_warps(spark):
+    docs = spark.createDataFrame([("a",), ("bad",)], "doc string")
+
+    def draw(row):
+        if row["doc"] == "bad":
+            raise ValueError("no layout")
+        field = lambda name, page: {"name": name, "value": "v", "page": page, "bbox": [0.2, 0.2, 0.4, 0.4]}
+        return {"pdf": b"clean", "fields": [field("x", 1), field("y", 0)]}
+
+    out = rendering.render(docs, draw)
+    assert {r["doc"]: r["error"] for r in out.collect()} == {"a": None, "bad": "ValueError: no layout"}
+    assert [(r["name"], r["page"]) for r in rendering.field_rows(out).orderBy("pos").collect()] == [("x", 1), ("y", 0)]
+    plan = out.drop("error").filter("doc = 'a'").crossJoin(spark.createDataFrame([("fax", True), ("fax", False), ("oil", True), ("clean_scan", True)], "profile string, geometric boolean"))
+    plan = plan.withColumn("quality", F.lit(0.3)).withColumn("seed", F.lit("s")).withColumn("n_pages", F.lit(2))
+
+    def change(row):
+        if row["profile"] == "clean_scan":
+            raise OSError("broken")
+        return bytes(row["pdf"]) + b"+"
+
+    found = {(r["profile"], r["geometric"]): r for r in rendering.augmented(plan, change, lambda row, m: b"warped%d" % len(m)).collect()}
+    assert bytes(found["fax", True]["pdf"]) == b"warped2+" and [f["name"] for f in found["fax", True]["fields"]] == ["y", "x"] and found["fax", True]["fields"][0]["bbox"] != [0.2, 0.2, 0.4, 0.4]
+    assert bytes(found["fax", False]["pdf"]) == b"clean+" and found["fax", False]["fields"][0]["bbox"] == [0.2, 0.2, 0.4, 0.4]
+    for key in (("oil", True), ("clean_scan", True)):
+        assert not found[key]["aug_ok"] and bytes(found[key]["pdf"]) == b"clean" and found[key]["error"]
+
+
+def test_element_boxes(spark):
+    box = "struct<x:double,y:double,width:double,height:double>"
+    rows = [("d", "own", False, 10.0, 110.0, 20.0, 10.0, []), ("d", "union", False, 0.0, 0.0, 0.0, 0.0, [(0.0, 0.0, 10.0, 10.0), (30.0, 20.0, 20.0, 30.0), (0.0, 0.0, 0.0, 0.0)]), ("d", "hidden", True, 1.0, 1.0, 1.0, 1.0, []), ("d", "none", False, 0.0, 0.0, 0.0, 0.0, None)]
+    elements = spark.createDataFrame(rows, f"doc string, id string, hidden boolean, x double, y double, width double, height double, children array<{box}>")
+    pages = spark.createDataFrame([("d", [0.0, 100.0], 100.0, [100.0, 50.0])], "doc string, starts array<double>, width double, heights array<double>")
+    assert {r["id"]: (r["page"], r["box"]) for r in rendering.element_boxes(elements, pages).collect()} == {"own": (1, [0.1, 0.2, 0.3, 0.4]), "union": (0, [0.0, 0.0, 0.5, 0.5])}
+
+
+def test_small_stages(spark):
+    say = lambda *x: value(spark, rendering.field_value(*[F.lit(v).cast("string") for v in x]))
+    assert (say("a", "b", "c"), say("", "b", "c"), say(None, "", "c"), say(None, None, None)) == ("a", "b", "c", "")
+    docs = spark.createDataFrame([("a", [b"1", b"2"]), ("b", [])], "doc string, images array<binary>")
+    assert {r["doc"]: (r["pdf"] and bytes(r["pdf"]), r["error"]) for r in rendering.joined_pages(docs, b"|".join).collect()} == {"a": (b"1|2", None), "b": (None, "ValueError: no images")}
+    files = spark.createDataFrame([("a", b"x"), ("b", b"")], "path string, content binary")
+    assert {r["path"]: r["image"] and bytes(r["image"]) for r in rendering.first_pages(files, lambda c: c + b"!" if c else None).collect()} == {"a": b"x!", "b": None}
+    made = []
+    client = rendering.client_of({"local": lambda: made.append(1) or "client"})
+    assert client("local") == client("local") == "client" and made == [1]
+    with pytest.raises(ValueError):
+        client("other")
+    assert [value(spark, rendering.whole_number(F.lit(x).cast("string"))) for x in ("7", "x", None)] == [7, 0, 0]
+    assert rendering.with_split(docs, "train").first()["split"] == "train"
+    assert [(r["place"], r["id"]) for r in sampling.rows_at(spark.range(100), [3, 1], "id").orderBy("place").collect()] == [(1, 1), (3, 3)]
+    part = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, None, "x")], "k int, doc string, q string")
+    assert {r["k"]: r["part"] for r in sampling.split_by(part, F.col("q") == "x").collect()} == {1: "train", 2: "test", 3: "test"}
