@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm import quality_rules
 from pagemill.llm.chat_format import op10_chat_format
 from pagemill.llm.decontamination import op3_decontamination
+from pagemill.llm.fingerprints import op12_fingerprints
 from pagemill.llm.html_extraction import op9_html_extraction
 from pagemill.llm.language_id import op7_language_id
 from pagemill.llm.near_duplicates import op2_ngram_jaccard
@@ -22,7 +23,7 @@ from pagemill.llm.toxicity import op4_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_pii, op6_quality_rules,
-        op7_language_id, op8_packing, op9_html_extraction, op10_chat_format,
+        op7_language_id, op8_packing, op9_html_extraction, op10_chat_format, op12_fingerprints,
     )
     return {f.__name__: f for f in found}
 
