@@ -1,11 +1,11 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, kept as packed low-order bits.
 
 A text's word shingles (five words; the whole text where it has fewer) are hashed once. The upper bits of a hash are its
-bin, the least hash of a bin its value, of which eight bits are kept. An empty bin takes the value of the first filled bin
+bin, the least hash of a bin its value, of which four bits are kept. An empty bin takes the value of the first filled bin
 of its own probe order, a permutation of all bins: (a * t + b) mod bins with odd a, both by a rule from the bin's number. So
 equal texts have equal fingerprints, and two texts agree in a bin with the probability of their sets' similarity J, plus
-chance (1/256), which `likeness` takes off: J = (P - 1/256) / (1 - 1/256), 0 at least. With 256 bins its standard deviation
-is about sqrt(J (1 - J) / 256), 0.032 at most.
+chance (1/16), which `likeness` takes off: J = (P - 1/16) / (1 - 1/16), 0 at least. With 512 bins its standard deviation is
+0.024 at most for texts of some hundred words, and more for short ones, whose bins are filled from few shingles.
 
 Everything is DataFrame expressions. Shingles never leave their row. The next document is found in parts of rows that
 follow the ids (one shuffle of texts); the last row of each part is finished with the first of the next part's.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import materialize, table
 from pagemill.llm.ordering import order_parts, part_count
 
-#: Bins (2^8) and bits kept of each; a long holds 8 bins.
-BIN_BITS, KEPT_BITS = 8, 8
+#: Bins (2^9) and bits kept of each; a long holds 16 bins.
+BIN_BITS, KEPT_BITS = 9, 4
 BINS, WORD_BINS = 1 << BIN_BITS, 64 // KEPT_BITS
 SHINGLE = 5
 #: Probes that are tried one by one; beyond, or with fewer filled bins than FEW, the filled bins are searched for the first.
@@ -47,7 +47,7 @@ def _array(values) -> str:
 
 
 def with_signature(rows: DataFrame, text: str, into: str, size: int = SHINGLE) -> DataFrame:
-    """rows with a column of the packed bins of column text (not null): array of BINS / 8 longs."""
+    """rows with a column of the packed bins of column text (not null): array of BINS / 16 longs."""
     columns = rows.columns
     ends = _array(f"{((b << REST) | LOW)}L" for b in range(-BINS // 2, BINS // 2))
     rows = rows.withColumn("_w", F.array_remove(F.split(text, "\\s+"), ""))
@@ -82,7 +82,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(signature: str) -> Column:
-    """The packed bins as hexadecimal digits, two for each bin."""
+    """The packed bins as hexadecimal digits, one for each bin."""
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
