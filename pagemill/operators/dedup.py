@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS = 9
+from pagemill.operators import hamming
 
 
 def sign_hash(vector: Column) -> Column:
@@ -13,42 +13,89 @@ def sign_hash(vector: Column) -> Column:
     return F.aggregate(F.slice(vector, 1, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
 
 
-def near_pairs(rows: DataFrame, limit: int = 8, bands: int = BANDS) -> DataFrame:
+def _hashes(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct hashes (k, hash) of each class, and how many the largest class has."""
+    found = rows.filter("hash IS NOT NULL").select(hamming.class_key().alias("k"), F.col("hash").cast("long").alias("hash")).distinct()
+    return found, found.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+
+
+def near_pairs(rows: DataFrame, limit: int = 8, bands: list[hamming.Band] | None = None) -> DataFrame:
     """JOIN-12: (cls, a, b, distance) with a < b of rows (cls, id, hash) within limit bits.
 
-    With more bands than differing bits, one band is equal (pigeonhole), so equal (class, band) is a lossless join key.
-    A pair is kept in its first equal band only, so no distinct is needed.
+    Distinct hashes are met by an index of bands, chosen for the limit and the size of the largest class; only then are
+    hashes replaced by the ids that have them. Classes that are null are one class; rows without id or hash have no pair,
+    and rows of one id none with each other.
     """
-    if bands <= limit:
-        raise ValueError("bands must exceed the distance")
-    edges = [64 * i // bands for i in range(bands + 1)]
-    band = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    keyed = rows.select("cls", "id", "hash", F.posexplode(F.array(*[band(F.col("hash"), i) for i in range(bands)])).alias("band", "bits"))
-    a, b = (keyed.select("cls", "band", "bits", F.col("id").alias(n), F.col("hash").alias(f"{n}_hash")) for n in ("a", "b"))
-    x = F.col("a_hash").bitwiseXOR(F.col("b_hash"))
-    met = a.join(b, ["cls", "band", "bits"]).filter("a < b").withColumn("distance", F.bit_count(x)).filter(F.col("distance") <= limit)
-    first = F.lit(bands)
-    for i in reversed(range(bands)):
-        first = F.when(band(F.col("a_hash"), i) == band(F.col("b_hash"), i), i).otherwise(first)
-    return met.filter(first == F.col("band")).select("cls", "a", "b", F.col("distance").cast("long").alias("distance"))
-
-
-def greedy_keep(rows: DataFrame, limit: int = 8) -> DataFrame:
-    """DED-01: rows with `kept`: in order of id, an item is kept iff no kept item before it is within limit.
-
-    By rounds over the pairs: an item all of whose earlier neighbours are decided is decided, so each round is one join and
-    no class is gathered in one task. Rounds end when nothing is open.
+    hashes, largest = _hashes(rows)
+    near = hamming.near_hashes(hashes, limit, bands or hamming.plan(limit, largest))
+    same = hashes.select("k", F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).cast("long").alias("distance"))
+    own = rows.filter("id IS NOT NULL AND hash IS NOT NULL").select(hamming.class_key().alias("k"), "cls", "id", F.col("hash").cast("long").alias("hash"))
+    one = own.select("k", "cls", F.col("id").alias("i"), F.col("hash").alias("a"))
+    two = own.select("k", F.col("id").alias("j"), F.col("hash").alias("b"))
+    met = near.unionByName(same).join(one, ["k", "a"]).join(two, ["k", "b"])
+    met = met.filter((F.col("i") < F.col("j")) | ((F.col("i") > F.col("j")) & (F.col("a") != F.col("b"))))
+    return met.select("cls", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+
+
+#: Pairs of a class that one task decides; classes with more are decided in rounds.
+MOST_PAIRS = 200_000
+
+
+def _decided(frame):
+    """kept of the hashes of one class: frame has their pairs (a before b), all orders as one number."""
+    import pandas as pd
+
+    before: dict[int, list[int]] = {}
+    for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+        before.setdefault(b, []).append(a)
+    kept: dict[int, bool] = {}
+    for x in sorted({*before, *frame["a"].tolist()}):
+        kept[x] = not any(kept[a] for a in before.get(x, ()))
+    return pd.DataFrame({"k": frame["k"].iloc[0], "place": list(kept), "kept": list(kept.values())})
+
+
+def greedy_keep(rows: DataFrame, limit: int = 8, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """DED-01: rows with `kept`: in order of id, an item is kept iff no kept item of its class before it is within limit.
+
+    Of equal hashes only the first can be kept, so distinct hashes are decided, in order of their least id (null last). A
+    class with at most most_pairs near pairs is decided by one task, larger ones in rounds: an item all of whose earlier
+    neighbours are decided is decided. Every row stays: null classes are one class, null ids come after all others (of
+    equal places the least hash first, of equal rows each is a row and one is kept), rows without a hash are kept.
     """
     from pagemill.tables import discard, materialize
 
-    pairs = materialize(near_pairs(rows, limit, max(BANDS, limit + 1)).select("cls", "a", "b"))
-    state = materialize(rows.select("cls", "id").join(pairs.select("cls", F.col("b").alias("id")).distinct().withColumn("later", F.lit(True)), ["cls", "id"], "left").select("cls", "id", F.when(F.col("later").isNull(), True).alias("kept")))
-    while not state.filter("kept IS NULL").isEmpty():  # each round decides the least open id of every class at least
-        before = pairs.join(state.select("cls", F.col("id").alias("a"), "kept"), ["cls", "a"]).groupBy("cls", F.col("b").alias("id"))
-        seen = before.agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
-        old, state = state, materialize(state.join(seen, ["cls", "id"], "left").select("cls", "id", F.coalesce("kept", F.when(F.col("near_kept"), False).when(F.col("open") == 0, True)).alias("kept")))
-        discard(old)
-    return rows.join(state, ["cls", "id"])
+    own = materialize(rows.withColumn("_k", hamming.class_key()).withColumn("_row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("id").isNull(), "id", "_row")
+    firsts = materialize(own.filter("hash IS NOT NULL").groupBy(F.col("_k").alias("k"), F.col("hash").cast("long").alias("hash")).agg(F.min(order).alias("first")))
+    largest = firsts.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    near = hamming.near_hashes(firsts.select("k", "hash"), limit, hamming.plan(limit, largest))
+    ranked = firsts.select("k", "hash", F.struct(F.col("first.col1"), F.col("first.id"), "hash").alias("place"))
+    both = near.join(ranked.select("k", F.col("hash").alias("a"), F.col("place").alias("p")), ["k", "a"]).join(ranked.select("k", F.col("hash").alias("b"), F.col("place").alias("q")), ["k", "b"])
+    pairs = materialize(both.select("k", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+    large = materialize(pairs.groupBy("k").count().filter(F.col("count") > most_pairs).select("k"))
+    # small classes: places become numbers within the class, one task decides
+    few = pairs.join(large, "k", "left_anti")
+    places = few.select("k", F.explode(F.array("a", "b")).alias("place")).distinct()
+    places = materialize(places.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("place")).cast("long")))
+    numbered = few.join(places.select("k", F.col("place").alias("a"), F.col("n").alias("x")), ["k", "a"]).join(places.select("k", F.col("place").alias("b"), F.col("n").alias("y")), ["k", "b"])
+    done = numbered.select("k", F.col("x").alias("a"), F.col("y").alias("b")).groupBy("k").applyInPandas(_decided, "k string, place long, kept boolean")
+    decided = places.join(done.withColumnRenamed("place", "n"), ["k", "n"]).select("k", "place", "kept")
+    if not large.isEmpty():
+        rest = pairs.join(large, "k", "left_semi")
+        later = rest.select("k", F.col("b").alias("place")).distinct().withColumn("later", F.lit(True))
+        state = rest.select("k", F.explode(F.array("a", "b")).alias("place")).distinct().join(later, ["k", "place"], "left")
+        state = materialize(state.select("k", "place", F.when(F.col("later").isNull(), True).alias("kept")))
+        while not state.filter("kept IS NULL").isEmpty():  # each round decides the least open item of every class at least
+            before = rest.join(state.select("k", F.col("place").alias("a"), "kept"), ["k", "a"]).groupBy("k", F.col("b").alias("place"))
+            seen = before.agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
+            old, state = state, materialize(state.join(seen, ["k", "place"], "left").select("k", "place", F.coalesce("kept", F.when(F.col("near_kept"), False).when(F.col("open") == 0, True)).alias("kept")))
+            discard(old)
+        decided = decided.unionByName(state)
+    lost = decided.filter("NOT kept").select(F.col("k").alias("_k"), F.col("place.hash").alias("_h"), F.lit(True).alias("lost"))
+    first = firsts.select(F.col("k").alias("_k"), F.col("hash").alias("_h"), F.col("first._row").alias("first"))
+    out = own.withColumn("_h", F.col("hash").cast("long")).join(first, ["_k", "_h"], "left").join(lost, ["_k", "_h"], "left")
+    kept = F.col("_h").isNull() | ((F.col("first") == F.col("_row")) & F.col("lost").isNull())
+    return out.select(*rows.columns, kept.alias("kept"))
 
 
 def refresh_status(old: DataFrame, new: DataFrame) -> DataFrame:
