@@ -58,12 +58,6 @@ def of_kinds(language: Column, kind: Column, kinds: tuple[str, ...], wanted: str
     return F.coalesce((language == wanted) & kind.isin(*kinds), F.lit(False))
 
 
-def images_decodable(images: Column) -> Column:
-    """PRJ-10: every image starts like a PNG, JPEG, GIF or WebP file (the pixel check is a model stage)."""
-    head = lambda x: F.hex(F.substring(x, 1, 4))
-    return F.forall(images, lambda x: head(x).startswith("89504E47") | head(x).startswith("FFD8FF") | head(x).startswith("47494638") | head(x).startswith("52494646"))
-
-
 def union_checked(*frames: DataFrame, optional: tuple[str, ...] = ("split",)) -> DataFrame:
     """SET-01: frames with the first one's columns in any order; optional columns may be missing, others and other types not."""
     first = frames[0]
