@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.tables import materialize
+
 
 def order_key(seed, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
@@ -13,19 +15,20 @@ def order_key(seed, *keys: Column) -> Column:
 def exact_share(rows: DataFrame, key: str, share: float, seed, name: str = "chosen") -> DataFrame:
     """ORD-05, ORD-06, ORD-09: rows with a flag that holds for exactly round(share * n) of the distinct keys (halves to even).
 
-    The cut-off among the hashes comes from an approximate quantile bracket and a count, not from ranking all keys in one
-    task: keys below the bracket are chosen, and only those within it are ranked.
+    A null key is one of the keys (its hash is that of an empty text). The keys and their hashes are written once. The cut-off among
+    the hashes comes from a bracket and a count, not from ranking all keys in one task: keys below the bracket are chosen,
+    and only those within it are ranked.
     """
-    keys = rows.select(key).distinct().withColumn("h", order_key(seed, F.col(key)))
+    keys = materialize(rows.select(F.col(key).alias("_key")).distinct().withColumn("h", order_key(seed, F.col("_key"))).withColumn("at", F.conv(F.substring("h", 1, 8), 16, 10).cast("long")))
     n = keys.count()
     want = int(keys.sparkSession.range(1).select(F.bround(F.lit(float(share * n)), 0)).first()[0])
     lo, hi = _bracket(want, n)
-    at = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
-    below = keys.filter(at < lo)
-    middle = keys.filter((at >= lo) & (at < hi))
-    rank = F.row_number().over(Window.orderBy("h", key))
-    chosen = below.select(key).union(middle.withColumn("rn", rank).filter(F.col("rn") <= want - below.count()).select(key))
-    return rows.join(chosen.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    below = keys.filter(F.col("at") < lo)
+    middle = keys.filter((F.col("at") >= lo) & (F.col("at") < hi))
+    rank = F.row_number().over(Window.orderBy("h", "_key"))
+    chosen = below.select("_key").union(middle.withColumn("rn", rank).filter(F.col("rn") <= want - below.count()).select("_key")).withColumn(name, F.lit(True))
+    found = rows.join(chosen, rows[key].eqNullSafe(chosen["_key"]), "left")
+    return found.select(*[rows[c] for c in rows.columns], F.coalesce(chosen[name], F.lit(False)).alias(name))
 
 
 def _bracket(want: int, n: int) -> tuple[int, int]:

@@ -1,6 +1,6 @@
 """Stages that call a model, renderer or image tool (UDF-01 to UDF-34).
 
-A stage is a function of an iterator of pandas frames; run() maps it over partitions and gives every row a column error:
+A stage is a function of an iterator of Arrow batches; run() maps it over partitions and gives every row a column error:
 what fails for a row is told there and never ends the job. deterministic() is the stand-in for tests: its answers come
 from the md5 of the input. A caller brings real clients; they are made inside the task, once for each partition, and
 the number of partitions bounds the requests in flight.
@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import md5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagemill.functions.encoding import parse_answers, reindex
 from pagemill.functions.text import normalize_label
@@ -23,26 +24,39 @@ from pagemill.tables import materialize
 
 
 def run(rows: DataFrame, call: Callable[[dict], dict], schema: str, partitions: int = 0) -> DataFrame:
-    """UDF-01, UDF-34: rows with the columns of schema (from call, for a row as a dict) and error."""
-    names = StructType.fromDDL(schema).fieldNames()
-    kept = rows.columns
-
-    def stage(frames):
-        for frame in frames:
+    """UDF-01, UDF-34: rows with the columns of schema (from call, for a row as a dict) and error.
+
+    A row's values are plain Python ones: null is None in any column, arrays are lists, structs dicts, binary is bytes. A
+    result that doesn't fit its column is that row's error.
+    """
+    kept, wanted = rows.columns, StructType.fromDDL(schema)
+    full = StructType([*rows.schema.fields, *wanted.fields, StructField("error", StringType())])
+    types = to_arrow_schema(full)
+    names = wanted.fieldNames()
+
+    def fits(value, kind) -> bool:
+        try:
+            pa.array([value], kind)
+        except (pa.ArrowException, TypeError, ValueError, OverflowError):
+            return False
+        return True
+
+    def stage(batches):
+        for batch in batches:
             found, nothing = [], dict.fromkeys([*names, "error"])
-            for row in frame.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
-                    found.append(nothing | call(row))
+                    answer = nothing | call(row)
+                    if wrong := [n for n in names if answer[n] is not None and not fits(answer[n], types.field(n).type)]:
+                        raise TypeError(f"result of another type: {', '.join(wrong)}")
+                    found.append(answer)
                 except Exception as e:  # a row's failure is data here
                     found.append(nothing | {"error": f"{type(e).__name__}: {e}"})
-            # As plain objects: strings held by Arrow in several chunks can't be put into a batch.
-            extra = pd.DataFrame(found, columns=[*names, "error"], index=frame.index, dtype=object)
-            texts = {c: frame[c].astype(object) for c in frame.columns if isinstance(frame[c].dtype, pd.StringDtype)}
-            yield pd.concat([frame.assign(**texts), extra], axis=1)
+            more = [pa.array([f[n] for f in found], types.field(n).type) for n in [*names, "error"]]
+            yield pa.RecordBatch.from_arrays([c.cast(types.field(n).type) for n, c in zip(kept, batch.columns)] + more, schema=types)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {schema}, error string"
     rows = rows.repartition(partitions) if partitions else rows
-    return rows.select(*kept).mapInPandas(stage, ddl)
+    return rows.select(*kept).mapInArrow(stage, full)
 
 
 def deterministic(name: str) -> Callable[[dict], str]:

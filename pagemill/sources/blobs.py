@@ -13,9 +13,14 @@ from pyspark.sql import SparkSession
 
 
 class Storage(Protocol):
+    """UDF-35: what a store of blobs offers; a missing blob or meta file is a FileNotFoundError."""
+
     def add(self, name: str, content: bytes) -> str: ...
     def get(self, path: str) -> bytes: ...
     def remove(self, path: str) -> None: ...
+    def write_meta(self, name: str, content: bytes) -> None: ...
+    def read_meta(self, name: str) -> bytes: ...
+    def delete_meta(self, name: str) -> None: ...
 
 
 class BlobStore:

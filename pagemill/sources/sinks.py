@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.sources.files import exists
+from pagemill.tables import discard, materialize
 
 
 def write(df: DataFrame, path: str, rows_per_file: int = 0, mode: str = "overwrite") -> None:
@@ -17,14 +18,22 @@ def write(df: DataFrame, path: str, rows_per_file: int = 0, mode: str = "overwri
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> int:
-    """SNK-04: append rows whose key is not there yet; the number of new rows. Running it again writes nothing."""
+    """SNK-04: append the rows whose key is not there yet, one for each key; their number. Running it again writes nothing.
+
+    A null key is a key like any other: one row of it is written once. Of several rows of a key any one is. Only new rows are
+    written out and counted; of the target only the key is read.
+    """
     spark = df.sparkSession
+    new = df.dropDuplicates([key])
     if exists(spark, path):
-        df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-    df = df.dropDuplicates([key])
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    df.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+        known = spark.read.parquet(path).select(F.col(key).alias("_known"))
+        new = new.join(known, new[key].eqNullSafe(known["_known"]), "left_anti")
+    new = materialize(new)  # computed once: counted and appended
+    found = new.count()
+    if found or not exists(spark, path):
+        new.write.mode("append").parquet(path)
+    discard(new)
+    return found
 
 
 def merge_shards(spark, path: str, out: str, key: str) -> int:

@@ -26,7 +26,19 @@ def value(spark, column):
 )
 def test_canonical_values_are_exact(spark, raw, scale, sign, want):
     given = [F.lit(x).cast("string") for x in (raw, scale, sign, None)]
-    assert value(spark, numeric.canonical_value(*given, F.array().cast("array<string>"))) == want
+    for drop in (False, True):
+        rows = numeric.with_canonical_values(spark.range(1), *given, F.array().cast("array<string>"), drop=drop).collect()
+        assert [r["value"] for r in rows] == ([] if drop and want is None else [want])
+
+
+def test_canonical_values_with_units_and_one_evaluation(spark):
+    rows = [("1,234.50", "3", "-", None, ["iso4217:USD"], "USD -1234500"), ("1.234,5", None, None, "ixt:num-comma-decimal", ["xbrli:shares"], "1234.5 shares"), ("—", None, None, None, [], None), ("7", None, None, None, ["iso4217:EUR", "xbrli:shares"], "EUR 7 per share")]
+    df = spark.createDataFrame(rows, "raw string, scale string, sign string, fmt string, measures array<string>, want string")
+    out = numeric.with_canonical_values(df, *(F.col(c) for c in ("raw", "scale", "sign", "fmt", "measures")))
+    assert all(r["value"] == r["want"] for r in out.collect()) and out.columns == [*df.columns, "value"]
+    dropped = numeric.with_canonical_values(df, *(F.col(c) for c in ("raw", "scale", "sign", "fmt", "measures")), drop=True)
+    plan = dropped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(0") == 1 and "lambda" not in plan.replace("measures", "").split("Filter")[-1]
 
 
 def test_document_metrics_count_answers_without_index(spark):
@@ -143,10 +155,13 @@ def test_models_are_called_once(spark, tmp_path):
 
 def test_fetch_with_throttle_and_cache(spark, tmp_path):
     waited, now = [], [0.0]
-    wait = fetching.Throttle(0.5, lambda: now[0], lambda s: (waited.append(s), now.__setitem__(0, now[0] + s)))
+    wait = fetching.Slots(0.0, 1, 2, 0.5, lambda: now[0], lambda s: (waited.append(s), now.__setitem__(0, now[0] + s)))
     for _ in range(3):
         wait()
-    assert waited == [0.5, 0.5]
+    assert waited == [0.5, 1.0, 1.0]
+    now[0] = 9.9  # late: the next own slot, not all that were missed
+    wait()
+    assert now[0] == 10.5
     urls, cache = spark.createDataFrame([("a",), ("b",), ("a",), ("bad",)], "url string"), f"file://{tmp_path}/cache"
 
     def get(url):
