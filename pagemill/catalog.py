@@ -338,7 +338,7 @@ def _hashes(spark, d):
 p AS (SELECT a.cls, a.id AS a, b.id AS b, CAST(list_sum([CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS bigint) AS distance FROM s a JOIN s b ON a.cls = b.cls AND a.id < b.id)
 SELECT * FROM p WHERE distance <= 20""")
 def join12_near_pairs(spark, d):
-    return dedup.near_pairs(_hashes(spark, d), 20, 21)
+    return dedup.near_pairs(_hashes(spark, d), 20)
 
 
 @query("""WITH s AS (SELECT label AS cls, vec_id AS id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings),
@@ -505,4 +505,4 @@ def rel_star_join(spark, d):
     return rows.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-from pagemill import catalog_parts  # noqa: E402, F401  (adds its queries)
+from pagemill import catalog_index, catalog_parts  # noqa: E402, F401  (add their queries)

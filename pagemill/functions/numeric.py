@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = "  \t\n"
@@ -51,59 +51,65 @@ def currency_of(measures: Column) -> Column:
     return F.when(F.size(found) > 0, F.substring_index(F.get(found, F.lit(0)), ":", -1))
 
 
-def let(x: Column, body) -> Column:
-    """body(x) with x computed once, however often body uses it."""
-    return F.get(F.transform(F.array(x), body), F.lit(0))
+PLAIN, POWERED = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$", "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)[eE][+-]?[0-9]{1,4}$"
 
 
-def shifted(number: Column, places: Column) -> Column:
-    """A plain decimal number's text times a power of ten, exact for any number of digits, without zeros around it.
+def _bare(raw: Column, fmt: Column) -> Column:
+    """A number's text without blanks, signs of currency and percent, and separators of thousands."""
+    t = F.translate(F.coalesce(raw, F.lit("")), BLANKS, "")
+    t = F.when(F.coalesce(F.instr(fmt, "comma-decimal"), F.lit(0)) > 0, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
+    return F.ltrim(F.translate(t, "%", ""), F.lit("$"))
 
-    Moves the point in the text, so there is no type whose range could end the job. Signs are kept, zero has none.
-    """
-    digits = F.regexp_replace(number, "^[+-]", "")
-    split = F.split(digits, "\\.")
-    parts = F.struct(F.get(split, F.lit(0)).alias("whole"), F.coalesce(F.get(split, F.lit(1)), F.lit("")).alias("part"), F.repeat(F.lit("0"), F.abs(places)).alias("zeros"), places.alias("k"), number.startswith("-").alias("minus"))
 
-    def moved(p: Column) -> Column:
-        right, left = F.concat(p["part"], p["zeros"]), F.concat(p["zeros"], p["whole"])
-        whole = F.when(p["k"] > 0, F.concat(p["whole"], F.left(right, p["k"]))).when(p["k"] < 0, F.left(left, F.length(left) + p["k"])).otherwise(p["whole"])
-        part = F.when(p["k"] > 0, F.substr(right, p["k"] + 1)).when(p["k"] < 0, F.concat(F.right(left, -p["k"]), p["part"])).otherwise(p["part"])
-        return F.struct(F.ltrim(whole, F.lit("0")).alias("whole"), F.rtrim(part, F.lit("0")).alias("part"), p["minus"].alias("minus"))
+def _places(bare: Column, powered: Column, scale: Column) -> Column:
+    """By how many places the point moves: the scale and the number's own power of ten."""
+    given = F.when(F.coalesce(scale, F.lit("")) == "", F.lit(0)).otherwise(F.trim(scale).try_cast("int"))
+    power = F.coalesce(F.substring_index(F.lower(bare), "e", -1).try_cast("int"), F.lit(0))
+    return given + F.when(powered, power).otherwise(F.lit(0))
 
-    def said(p: Column) -> Column:
-        size = F.concat(F.when(p["whole"] == "", F.lit("0")).otherwise(p["whole"]), F.when(p["part"] == "", F.lit("")).otherwise(F.concat(F.lit("."), p["part"])))
-        return F.concat(F.when(p["minus"] & ((p["whole"] != "") | (p["part"] != "")), F.lit("-")).otherwise(F.lit("")), size)
 
-    return let(parts, lambda p: let(moved(p), said))
+def _moved(whole: Column, part: Column, zeros: Column, k: Column) -> tuple[Column, Column]:
+    """Digits before and after the point when it has moved by k places, without zeros around them."""
+    right, left = F.concat(part, zeros), F.concat(zeros, whole)
+    new_whole = F.when(k > 0, F.concat(whole, F.left(right, k))).when(k < 0, F.left(left, F.length(left) + k)).otherwise(whole)
+    new_part = F.when(k > 0, F.substr(right, k + 1)).when(k < 0, F.concat(F.right(left, -k), part)).otherwise(part)
+    return F.ltrim(new_whole, F.lit("0")), F.rtrim(new_part, F.lit("0"))
 
 
-def canonical_value(raw: Column, scale: Column, sign: Column, fmt: Column, measures: Column) -> Column:
-    """MTH-05: the full value with its unit, or null where the text is no number or the scale is none between -MOST_PLACES
-    and MOST_PLACES (a value's text is that long). Any number of digits is exact. A percent sign is dropped unscaled."""
-    t = F.translate(F.coalesce(raw, F.lit("")), BLANKS, "")
-    t = F.when(F.coalesce(F.instr(fmt, "comma-decimal"), F.lit(0)) > 0, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
-    t = F.ltrim(F.translate(t, "%", ""), F.lit("$"))
-    given = F.when(F.coalesce(scale, F.lit("")) == "", F.lit(0)).otherwise(F.trim(scale).try_cast("int"))
+def _said(whole: Column, part: Column, minus: Column) -> Column:
+    sign = F.when(minus & ((whole != "") | (part != "")), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.when(whole == "", F.lit("0")).otherwise(whole), F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)))
 
-    def value(x: Column) -> Column:
-        power = F.coalesce(F.substring_index(F.lower(x), "e", -1).try_cast("int"), F.lit(0))
-        powered = x.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)[eE][+-]?[0-9]{1,4}$")
-        number = F.when(powered, F.substring_index(F.lower(x), "e", 1)).otherwise(x)
-        parts = F.struct(number.alias("number"), (given + F.when(powered, power).otherwise(F.lit(0))).alias("places"))
-        return let(parts, scaled)
 
-    def scaled(p: Column) -> Column:
-        number = p["number"]
-        turned = F.when(sign == "-", F.when(number.startswith("-"), F.substr(number, F.lit(2))).otherwise(F.concat(F.lit("-"), F.ltrim(number, F.lit("+"))))).otherwise(number)
-        return F.when(number.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$") & (F.abs(p["places"]) <= MOST_PLACES), shifted(turned, p["places"]))
+def _with_unit(number: Column, measures: Column) -> Column:
+    currency, shares = currency_of(measures), F.array_contains(measures, "xbrli:shares")
+    after = F.when(shares, F.when(currency.isNotNull(), F.lit(" per share")).otherwise(F.lit(" shares"))).otherwise(F.lit(""))
+    return F.concat(F.coalesce(F.concat(currency, F.lit(" ")), F.lit("")), number, after)
 
-    def with_unit(num: Column) -> Column:
-        currency, shares = currency_of(measures), F.array_contains(measures, "xbrli:shares")
-        after = F.when(shares, F.when(currency.isNotNull(), F.lit(" per share")).otherwise(F.lit(" shares"))).otherwise(F.lit(""))
-        return F.when(num.isNotNull(), F.concat(F.coalesce(F.concat(currency, F.lit(" ")), F.lit("")), num, after))
 
-    return let(let(t, value), with_unit)
+def with_canonical_values(rows: DataFrame, raw: Column, scale: Column, sign: Column, fmt: Column, measures: Column, into: str = "value", drop: bool = False) -> DataFrame:
+    """MTH-05: rows with the full value and its unit, null where the text is no number or the scale is none between
+    -MOST_PLACES and MOST_PLACES (a value's text is that long); with drop such rows go.
+
+    Any number of digits is exact: the point is moved in the text, so there is no type whose range could end the job. Signs
+    are kept, zero has none. A percent sign is dropped unscaled. Each step is a plain column that is computed once: rows are
+    judged by the number's pattern and the places, before any text is built.
+    """
+    names = rows.columns
+    rows = rows.select("*", _bare(raw, fmt).alias("_bare"), scale.alias("_scale"), sign.alias("_sign"), measures.alias("_measures"))
+    rows = rows.withColumn("_powered", F.col("_bare").rlike(POWERED))
+    rows = rows.withColumn("_places", _places(F.col("_bare"), F.col("_powered"), F.col("_scale")))
+    rows = rows.withColumn("_number", F.when(F.col("_powered"), F.substring_index(F.lower("_bare"), "e", 1)).otherwise(F.col("_bare")))
+    good = (F.col("_powered") | F.col("_bare").rlike(PLAIN)) & (F.abs("_places") <= MOST_PLACES)
+    rows = rows.filter(good) if drop else rows.withColumn("_number", F.when(good, F.col("_number")))
+    negative = F.col("_number").startswith("-")
+    rows = rows.withColumn("_minus", F.when(F.col("_sign") == "-", ~negative).otherwise(negative))
+    rows = rows.withColumn("_digits", F.split(F.ltrim("_number", F.lit("+-")), "\\."))
+    rows = rows.select("*", F.get("_digits", F.lit(0)).alias("_whole"), F.coalesce(F.get("_digits", F.lit(1)), F.when(F.col("_number").isNotNull(), F.lit(""))).alias("_part"), F.repeat(F.lit("0"), F.least(F.abs("_places"), F.lit(MOST_PLACES))).alias("_zeros"))
+    whole, part = _moved(F.col("_whole"), F.col("_part"), F.col("_zeros"), F.col("_places"))
+    rows = rows.select("*", whole.alias("_w"), part.alias("_p"))
+    value = _with_unit(_said(F.col("_w"), F.col("_p"), F.col("_minus")), F.col("_measures"))
+    return rows.select(*names, value.alias(into))
 
 
 def magnitude(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.numeric import canonical_value
+from pagemill.functions.numeric import with_canonical_values
 from pagemill.functions.text import CATALOG_TYPES, humanize_qname
 
 
@@ -15,15 +15,17 @@ def resolve(facts: DataFrame, contexts: DataFrame, units: DataFrame) -> DataFram
     rows = facts.join(contexts.select(F.col("id").alias("context"), "period", "members"), "context", "left").join(units.select(F.col("id").alias("unit"), "measures"), "unit", "left")
     empty = F.array().cast("array<string>")
     rows = rows.withColumn("members", F.coalesce("members", empty)).withColumn("measures", F.coalesce("measures", empty))
-    value = canonical_value(F.col("raw_text"), F.col("scale"), F.col("sign"), F.col("format"), F.col("measures"))
-    return rows.withColumn("value", value).withColumn("concept", humanize_qname(F.col("name"))).filter("value IS NOT NULL")
+    rows = with_canonical_values(rows, *(F.col(c) for c in ("raw_text", "scale", "sign", "format", "measures")), drop=True)
+    return rows.withColumn("concept", humanize_qname(F.col("name")))
 
 
 def parse_inline_facts(pages: DataFrame, html: str = "html", key: str = "doc") -> DataFrame:
-    """ARR-12: facts of inline XBRL text: one row for each nonFraction element, with the text before its first child."""
+    """ARR-12: facts of inline XBRL text: one row for each nonFraction element with id and name, with the text before its
+    first child."""
     found = F.regexp_extract_all(html, F.lit(r"(?s)<ix:nonFraction\b[^>]*>[^<]*"), F.lit(0))
     rows = pages.select(key, F.posexplode(found).alias("pos", "element"))
     attribute = lambda name: F.nullif(F.regexp_extract("element", rf"\b{name}=[\"']([^\"']*)[\"']", 1), F.lit(""))
+    rows = rows.filter(attribute("id").isNotNull() & attribute("name").isNotNull())
     return rows.select(
         key, "pos", attribute("id").alias("fact_id"), attribute("name").alias("name"), attribute("contextRef").alias("context"), attribute("unitRef").alias("unit"),
         attribute("scale").alias("scale"), attribute("sign").alias("sign"), attribute("format").alias("format"), F.regexp_extract("element", "(?s)>([^<]*)$", 1).alias("raw_text"),

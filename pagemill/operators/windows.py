@@ -22,18 +22,24 @@ def serving_windows(docs: DataFrame, size: int = 3, stride: int = 1, doc: str =
 
 def document_windows(rows: DataFrame, budget: int = 3, stride: int = 2, cover_all: bool = False) -> DataFrame:
     """WIN-02: (doc, window, first, stop) over rows (doc, pos from 0, images): from every stride-th row as many rows as fit
-    the budget of images (one at least), until a window reaches the end. One pass over a document's sorted array of counts.
+    the budget of images (one at least), until a window reaches the end.
 
-    Rows may stay uncovered where a window is shorter than the stride; with cover_all, windows end at the next start at least.
+    A window stops at the last row with at most budget images between its start and it, which a range frame over the running
+    total finds, so a document's rows are never gathered in one value. Rows may stay uncovered where a window is shorter
+    than the stride; with cover_all, windows end at the next start at least.
     """
-    total = F.sum("images").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    docs = rows.withColumn("total", total).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"]).alias("c"))
-    docs = docs.withColumn("n", F.size("c"))
-    stop = f"greatest(s + {stride if cover_all else 1}, size(filter(c, t -> t <= coalesce(get(c, s - 1), 0) + {budget})))"
-    docs = docs.withColumn("stops", F.expr(f"transform(sequence(0, n - 1, {stride}), s -> least(n, {stop}))"))
-    out = docs.select("doc", "n", "stops", F.posexplode("stops").alias("window", "stop"))
-    out = out.filter("window = 0 OR stops[greatest(window - 1, 0)] < n")
-    return out.select("doc", "window", (F.col("window") * stride).alias("first"), "stop")
+    by_pos = Window.partitionBy("doc").orderBy("pos")
+    images = F.col("images").cast("long")
+    before = F.coalesce(F.sum(images).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    rows = rows.select("doc", "pos", "images", before.alias("before"))
+    whole = Window.partitionBy("doc")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("total", F.sum(images).over(whole))
+    reach = F.max("pos").over(Window.partitionBy("doc").orderBy("before").rangeBetween(0, budget))
+    stop = F.when(F.col("total") - F.col("before") <= budget, F.col("n")).otherwise(F.col("reach"))
+    rows = rows.withColumn("reach", reach).filter(F.col("pos") % stride == 0)
+    rows = rows.withColumn("stop", F.least(F.col("n"), F.greatest(F.col("pos") + (stride if cover_all else 1), stop)).cast("int"))
+    rows = rows.withColumn("earlier", F.lag("stop").over(by_pos)).filter("earlier IS NULL OR earlier < n")
+    return rows.select("doc", F.floor(F.col("pos") / stride).cast("int").alias("window"), F.col("pos").cast("int").alias("first"), "stop")
 
 
 def dense_pages(facts: DataFrame, more_than: int = 10) -> DataFrame:

@@ -28,9 +28,6 @@ def value(spark, column):
         (lambda: text.is_form(F.lit("petition_for_x")), True),
         (lambda: text.is_signature(F.lit("Signed_By")), True),
         (lambda: text.discover_fields(F.lit("<i data-field=\"a\"></i><i data-field='b[{{ loop.index }}]'></i><i data-field='a'>")), ["a", "b[]"]),
-        (lambda: numeric.canonical_value(F.lit("1,234.50"), F.lit("3"), F.lit("-"), F.lit(None).cast("string"), F.array(F.lit("iso4217:USD"))), "USD -1234500"),
-        (lambda: numeric.canonical_value(F.lit("1.234,5"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("ixt:num-comma-decimal"), F.array(F.lit("xbrli:shares"))), "1234.5 shares"),
-        (lambda: numeric.canonical_value(F.lit("—"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.array().cast("array<string>")), None),
         (lambda: numeric.to_thousandths(F.array(F.lit(0.0005), F.lit(0.0015))), [0, 2]),
         (lambda: numeric.iou(F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))), F.array(*map(F.lit, (0.0, 0.0, 0.5, 1.0)))), 0.5),
         (lambda: encoding.is_pdf(F.lit("\n %PDF-1").cast("binary")), True),
