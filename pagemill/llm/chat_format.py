@@ -10,11 +10,13 @@ the text. Control marks within a text are escaped ("<|" as "<\\|"), so no text c
 
 Probabilities are counts (with smoothing) of at most SAMPLE rows of whole labelled conversations, chosen by a hash.
 
-Scale: a conversation comes as parts of at most BLOCK messages. A conversation of several parts is decoded exactly: each
-part gives the best score from each role before it to each role at its end (a 3 x 3 matrix), these are chained along the
-conversation, and each part is then decoded between its true roles at both ends. A task holds one part beside a batch.
+Scale: a conversation comes as parts of at most BLOCK messages. A conversation of several parts is decoded as its whole text
+would be: the parts' counts of markers, their opening and last lines are gathered first and give the conversation's style;
+with it each part gives the best score from each role before it to each role at its end (a 3 x 3 matrix), these are chained
+along the conversation, and each part is then decoded between its true roles at both ends. A task holds one part beside a
+batch. Where turn numbers are far apart (times), parts are shorter, which changes no result.
 
-Line feeds around a turn are dropped, all other text is kept. Null and empty transcripts are one empty turn. Messages of
+Line feeds around a turn are dropped (but for those at a part's end within them), all other text is kept. Null and empty transcripts are one empty turn. Messages of
 one turn number stay in the order of their texts, null turn numbers come first, repeated rows are messages of their own;
 each row with a null conversation id is a transcript of its own. Equally likely readings: rather no new turn, then the
 first role. Empty tables give no rows. Other columns are ignored.
@@ -29,7 +31,7 @@ from math import log
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_schema, emit, mapped, materialize, per_group, prepare, table
+from pagemill.llm.common import arrow_schema, emit, held_out, mapped, materialize, per_group, prepare, table
 
 ROLES = ("system", "user", "assistant")
 SAMPLE, BLOCK = 20_000, 256
@@ -52,25 +54,47 @@ NONE, FOREIGN, CLASSES = 0, 4, 5
 LENGTHS = 8
 
 
-def observe(text: str | None) -> list[tuple[tuple[int, int, int, int], int]]:
-    """For each line: marker class, blank line before, length bucket, asks; and where the text after the marker starts."""
-    lines = (text or "").split("\n")
+def marked(lines: list[str]) -> tuple[list, list]:
+    """The marker's match of each line, and its form and name (null without one)."""
     found = [_MARKER.match(x) for x in lines]
-    said = [(next(i for i, g in enumerate(m.groups()) if g), m.group(m.lastindex).lower()) if m else None for m in found]
-    counts = Counter(x for x in said if x)
-    opening = next((x for x, line in zip(said, lines) if line.strip()), None)
+    return found, [(next(i for i, g in enumerate(m.groups()) if g), m.group(m.lastindex).lower()) if m else None for m in found]
+
+
+def opening_of(lines: list[str], said: list) -> tuple[bool, tuple | None]:
+    """Whether there is a line that isn't blank, and the first such line's marker."""
+    return next(((True, x) for x, line in zip(said, lines) if line.strip()), (False, None))
+
+
+def style_of(counts, opening: tuple | None) -> tuple[int, tuple[str, ...]] | None:
+    """The form and family of names of a transcript: what most marked lines have, if two roles speak in it or it opens the text."""
     own = None
     for form in sorted({f for f, _ in counts}):
         for family in FAMILIES:
-            spoken = [counts[form, n] for n in family]
+            spoken = [counts.get((form, n), 0) for n in family]
             if sum(map(bool, spoken)) > 1 or opening and opening[0] == form and opening[1] in family:
                 if own is None or sum(spoken) > own[0]:
                     own = sum(spoken), form, family
-    out, blank = [], 1
+    return own and own[1:]
+
+
+#: For observe(): the style is the text's own.
+OWN = object()
+
+
+def observe(text: str | None, style=OWN, blank: int = 1) -> list[tuple[tuple[int, int, int, int], int]]:
+    """For each line: marker class, blank line before, length bucket, asks; and where the text after the marker starts.
+
+    A part of a transcript gets the whole one's style, and whether its predecessor ends with a blank line.
+    """
+    lines = (text or "").split("\n")
+    found, said = marked(lines)
+    if style is OWN:
+        style = style_of(Counter(x for x in said if x), opening_of(lines, said)[1])
+    out = []
     for line, m, x in zip(lines, found, said):
         marker = NONE
         if x:
-            marker = 1 + own[2].index(x[1]) if own and x[0] == own[1] and x[1] in own[2] else FOREIGN
+            marker = 1 + style[1].index(x[1]) if style and x[0] == style[0] and x[1] in style[1] else FOREIGN
         out.append(((marker, blank, min(LENGTHS - 1, len(line).bit_length()), int(line.rstrip().endswith("?"))), m.end() if m else 0))
         blank = int(not line.strip())
     return out
@@ -151,9 +175,11 @@ def follow(back, role: int) -> list[tuple[int, bool]]:
     return out[::-1]
 
 
-def turns_of(text: str | None, model: Model, entry: int | None = None, exit_: int | None = None) -> list[tuple[int, int, bool, str]]:
-    """role, start, whether it opens a turn, and text without marker of each turn (or rest of one) of a transcript's part."""
-    observed = observe(text)
+def turns_of(text: str | None, model: Model, entry: int | None = None, exit_: int | None = None, style=OWN, blank: int = 1, goes_on: bool = False) -> list[tuple[int, int, bool, str]]:
+    """role, start, whether it opens a turn, and text without marker of each turn (or rest of one) of a transcript's part.
+
+    Line feeds are dropped where a turn begins and ends, not where it goes over the part's ends."""
+    observed = observe(text, style, blank)
     lines, out, at = (text or "").split("\n"), [], 0
     for line, (seen, end), (role, starts) in zip(lines, observed, model.decode(observed, entry, exit_)):
         if starts or not out:
@@ -162,7 +188,8 @@ def turns_of(text: str | None, model: Model, entry: int | None = None, exit_: in
         else:
             out[-1][3].append(line)
         at += len(line) + 1
-    return [(role, start, opens, "\n".join(said).strip("\n")) for role, start, opens, said in out]
+    cut = lambda said, begins, ends: (lambda x: x.rstrip("\n") if ends else x)(said.lstrip("\n") if begins else said)
+    return [(role, start, opens, cut("\n".join(said), opens, k + 1 < len(out) or not goes_on)) for k, (role, start, opens, said) in enumerate(out)]
 
 
 def rendered(role: int, text: str, opens: bool = True, closes: bool = True) -> str:
@@ -235,17 +262,66 @@ def fit(labelled: DataFrame) -> Model:
     return Model([[(role, text) for _, _, text, role in sorted(talks[k], key=lambda x: x[:3])] for k in sorted(talks, key=str)])
 
 
-def _ends(parts: DataFrame, model: Model) -> DataFrame:
+def _several(parts: DataFrame) -> DataFrame:
+    """conv_id, part, text, opens of the parts of conversations of several parts."""
+    several = parts.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least")).filter("n > 1")
+    return parts.join(several.hint("merge"), "conv_id").select("conv_id", "part", "text", (F.col("part") == F.col("least")).alias("opens"))
+
+
+def _styles(parts: DataFrame) -> DataFrame:
+    """conv_id, part, form, family, blank of the parts of conversations of several parts: the style of the whole conversation
+    (null: none), from the parts' counts of markers, and whether the part before ends with a blank line."""
+    kind = dict(parts.dtypes)["conv_id"]
+    rows = _several(parts).select("conv_id", "part", "text")
+
+    def marks(batch):
+        out: dict[str, list] = {k: [] for k in ("names", "counts", "begun", "opening", "ends_blank")}
+        for text in batch.column(2).to_pylist():
+            lines = (text or "").split("\n")
+            said = marked(lines)[1]
+            counts = Counter(f"{x[0]}:{x[1]}" for x in said if x)
+            begun, opening = opening_of(lines, said)
+            for c, v in zip(out, (list(counts), list(counts.values()), begun, opening and f"{opening[0]}:{opening[1]}", not lines[-1].strip())):
+                out[c].append(v)
+        return {"conv_id": batch.column(0), "part": batch.column(1)} | out
+
+    found = mapped(rows, marks, f"conv_id {kind}, part bigint, names array<string>, counts array<bigint>, begun boolean, opening string, ends_blank boolean")
+    split = lambda x: (int(x.partition(":")[0]), x.partition(":")[2])
+
+    def gather(held):
+        conv, part, names, counts, begun, opening, ends = (held.column(c).to_pylist() for c in ("conv_id", "part", "names", "counts", "begun", "opening", "ends_blank"))
+        out: dict[str, list] = {k: [] for k in ("conv_id", "part", "form", "family", "blank")}
+        edges = [0, *[i for i in range(1, len(conv)) if conv[i] != conv[i - 1]], len(conv)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            total: Counter = Counter()
+            for i in range(lo, hi):
+                for name, n in zip(names[i], counts[i]):
+                    total[split(name)] += n
+            first = next((opening[i] for i in range(lo, hi) if begun[i]), None)
+            style = style_of(total, first and split(first))
+            for i in range(lo, hi):
+                blank = 1 if i == lo else int(ends[i - 1])
+                for c, v in zip(out, (conv[i], part[i], style and style[0], style and FAMILIES.index(style[1]), blank)):
+                    out[c].append(v)
+        return out
+
+    return per_group(found, "conv_id", ["part"], gather, f"conv_id {kind}, part bigint, form int, family int, blank int")
+
+
+def _style(form: int | None, family: int | None):
+    return None if form is None else (form, FAMILIES[family])
+
+
+def _ends(parts: DataFrame, styles: DataFrame, model: Model) -> DataFrame:
     """conv_id, part, entry, exit, goes_on for the parts of conversations of several parts."""
     shared = parts.sparkSession.sparkContext.broadcast(model)
     kind = dict(parts.dtypes)["conv_id"]
-    several = parts.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least")).filter("n > 1")
-    rows = parts.join(several.hint("merge"), "conv_id").select("conv_id", "part", (F.col("part") == F.col("least")).alias("opens"), "text")
+    rows = _several(parts).join(styles.hint("merge"), ["conv_id", "part"]).select("conv_id", "part", "opens", "text", "form", "family", "blank")
 
     def matrices(batch):
         best, starts = [], []
-        for opens, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            observed = observe(text)
+        for opens, text, form, family, blank in zip(*(batch.column(c).to_pylist() for c in range(2, 7))):
+            observed = observe(text, _style(form, family), blank)
             runs = [shared.value.scores(observed, None if opens else a) for a in range(3)]
             best.append([x for score, _ in runs for x in score])
             starts.append([follow(back, r)[0][1] for _, back in runs for r in range(3)])
@@ -284,13 +360,15 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
     shared = parts.sparkSession.sparkContext.broadcast(model)
     kind = dict(parts.dtypes)["conv_id"]
     parts = materialize(parts.select("conv_id", F.col("part").cast("long").alias("part"), "text"))
-    ends = materialize(_ends(parts, model))
-    rows = parts.join(ends.hint("merge"), ["conv_id", "part"], "left").select("conv_id", "part", "text", "entry", "exit", F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+    styles = materialize(_styles(parts))
+    ends = materialize(_ends(parts, styles, model).join(styles.hint("merge"), ["conv_id", "part"]))
+    rows = parts.join(ends.hint("merge"), ["conv_id", "part"], "left").select("conv_id", "part", "text", "entry", "exit", F.coalesce("goes_on", F.lit(False)).alias("goes_on"), "form", "family", "blank")
 
     def run(batch):
         out: dict[str, list] = {k: [] for k in ("conv_id", "part", "turn", "role", "start", "opens", "rendered", "n_chars")}
-        for conv, part, text, entry, exit_, goes_on in zip(*(c.to_pylist() for c in batch.columns)):
-            found = turns_of(text, shared.value, entry, exit_)
+        for conv, part, text, entry, exit_, goes_on, form, family, blank in zip(*(c.to_pylist() for c in batch.columns)):
+            # a conversation of one part has its own text's style
+            found = turns_of(text, shared.value, entry, exit_, *(() if blank is None else (_style(form, family), blank, goes_on)))
             for k, (role, start, opens, said) in enumerate(found):
                 form = rendered(role, said, opens, not (goes_on and k + 1 == len(found)))
                 for c, v in zip(out, (conv, part, k, ROLES[role], start, opens, form, len(form))):
@@ -301,6 +379,8 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's conversations as logs have them (one text each, a fifth of the markers missing), parsed into turns."""
+    """The table's conversations as logs have them (one text each, a fifth of the markers missing), parsed into turns.
+
+    A third of the conversations, by held_out() of their ids, is never learned from."""
     logs = written(table(spark, sf_dir, "conversations"))
-    return parse(transcripts(logs), fit(logs))
+    return parse(transcripts(logs), fit(logs.filter(~held_out(F.col("conv_id")))))

@@ -137,7 +137,14 @@ def _wanted(items: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_limit: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, item_id, n_windows, cover_percent, n_slots of each leak."""
+    """doc_id, item_id, n_windows, cover_percent, n_slots of each leak: the best of an id's texts."""
+    out = leaked_texts(docs, items, id_col, text_col, item_id, item_text, broadcast_limit)
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("cover_percent", "n_windows", "n_slots")).alias("x"))
+    return best.select("doc_id", "item_id", "x.n_windows", "x.cover_percent", "x.n_slots")
+
+
+def leaked_texts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_limit: int = BROADCAST_WINDOWS) -> DataFrame:
+    """doc_id, th, item_id, n_windows, cover_percent, n_slots of each text with a leak; th: xxhash64 of the text."""
     # A row is known by its id and a hash of its text, as an id may have several texts.
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("th", F.xxhash64("text"))
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
@@ -155,11 +162,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     checked = clear.unionByName(_slots(runs.filter("NOT clear"), docs, items, light))
     held = checked.filter("size(starts) > 0").groupBy(*keys).agg(F.collect_list(F.expr("struct(size(starts) AS size, -shift AS first, starts, pairs, slots)")).alias("runs"))
     used = held.withColumn("used", F.expr(f"CASE WHEN {_right('flatten(runs.pairs)')} THEN runs ELSE array(array_max(runs)) END"))
-    out = used.select("doc_id", "item_id", "item_n", F.expr("CAST(size(array_distinct(flatten(used.starts))) AS bigint)").alias("n_windows"), F.expr("aggregate(used.slots, 0L, (a, x) -> a + x)").alias("n_slots"))
+    out = used.select("doc_id", "th", "item_id", "item_n", F.expr("CAST(size(array_distinct(flatten(used.starts))) AS bigint)").alias("n_windows"), F.expr("aggregate(used.slots, 0L, (a, x) -> a + x)").alias("n_slots"))
     out = out.withColumn("cover_percent", F.round(100 * F.col("n_windows") / F.greatest(F.lit(1), F.col("item_n") - WINDOW + 1), 3))
-    out = out.filter((F.col("cover_percent") >= MIN_COVER) | (F.col("n_windows") >= MIN_RUN))
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("cover_percent", "n_windows", "n_slots")).alias("x"))
-    return best.select("doc_id", "item_id", "x.n_windows", "x.cover_percent", "x.n_slots")
+    return out.filter((F.col("cover_percent") >= MIN_COVER) | (F.col("n_windows") >= MIN_RUN))
 
 
 def _right(pairs: str) -> str:

@@ -608,13 +608,69 @@ def test_chat_parts_are_decoded_as_one(spark):
     for conv in (0, 1, 2, 7, 8, 9):
         own = sorted((r["part"], r["text"]) for r in parts if r["conv_id"] == conv)
         assert "\n".join(t for _, t in own) == "\n".join(t or "" for c, k, t in messages if c == conv)
-        labels = model.decode([x for _, t in own for x in chat_format.observe(t)])
+        labels = model.decode(chat_format.observe("\n".join(t for _, t in own)))
         wanted = [chat_format.ROLES[r] for r, starts in labels if starts]
         assert [r["role"] for r in sorted(found, key=lambda r: (r["part"], r["turn"])) if r["conv_id"] == conv and r["opens"]] == wanted
         text = canonical([r for r in found if r["conv_id"] == conv])[conv]
         assert text.count("<|im_start|>") == text.count("<|im_end|>") == len(wanted)
 
 
+@pytest.mark.parametrize("block", [2, 7, 64])
+def test_chat_parts_have_the_whole_transcripts_style(spark, monkeypatch, block):
+    """Markers on half of the user turns, on assistant turns only at first, other styles between, blank lines at parts' ends."""
+    _, model = chat_model(spark)
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for conv in range(8):
+        user, assistant = rng.choice([("User: ", "Assistant: "), ("Q: ", "A: "), ("[USER] ", "[BOT] ")])
+        step = 1 if conv % 2 else 1000  # turn numbers as times
+        for k in range(150):
+            head = (user if rng.random() < 0.5 else "") if k % 2 == 0 else assistant if k < 20 else rng.choice(["", "", "Note: ", "Human: "])
+            body = rng.choice(["yes", "what is this?", "a line\nand another one\n", "Fine. " * rng.randint(1, 30), "\n"])
+            rows.append((conv, k * step, head + body))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    found = sorted(chat_format.parse(chat_format.transcripts(df), model).collect(), key=lambda r: (r["conv_id"], r["part"], r["turn"]))
+    for conv in range(8):
+        whole = "\n".join(t for c, _, t in rows if c == conv)
+        wanted = "".join(chat_format.rendered(r, t) for r, _, _, t in chat_format.turns_of(whole, model))
+        got = "".join(r["rendered"] for r in found if r["conv_id"] == conv)
+        trim = lambda x: re.sub(r"(<\|im_start\|>\w+)\n+", r"\1\n", re.sub(r"\n+<\|im_end", "<|im_end", x))  # noqa: E731 - line feeds around a turn
+        assert trim(got) == trim(wanted)
+
+
+def test_chat_decoding_equals_enumeration(spark):
+    _, model = chat_model(spark)
+    rng = random.Random(5)
+    for _ in range(30):
+        text = "\n".join(rng.choice(["User: a?", "Assistant: b", "", "plain words here", "Note: x", "System: y"]) for _ in range(rng.randint(1, 6)))
+        observed = chat_format.observe(text)
+        best = None
+        for roles in itertools.product(range(3), repeat=len(observed)):
+            for starts in itertools.product((True, False), repeat=len(observed)):
+                if not starts[0] or any(not s and a != b for a, b, s in zip(roles, roles[1:], starts[1:])):
+                    continue
+                total = 0.0
+                for k, ((seen, _), r, new) in enumerate(zip(observed, roles, starts)):
+                    total += sum(model.emit[r][not new][n][x] for n, x in enumerate(seen))
+                    total += model.first[r] if k == 0 else model.moves[roles[k - 1]][r] if new else model.stay[r]
+                if best is None or total > best + 1e-12:
+                    best = total
+        score, _ = model.scores(observed, None)
+        assert max(score) == pytest.approx(best)
+
+
+def test_decontamination_drops_rows_not_ids(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    item = "A train leaves Paris at 10 and goes 300 km to Lyon while another leaves Paris at 12 so when do they meet"
+    clean = "A plane was seen by many people in the morning and nobody knew where it had come from or when it would go"
+    rows = [(5, item), (5, clean), (6, clean), (5, item), (None, item), (7, None), (8, "long " * 50_000 + item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, docs, f"file://{tmp_path}").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(5, clean), (6, clean), (None, item), (7, None)])
+
+
 def test_chat_markers_within_text(spark):
     _, model = chat_model(spark)
     text = "User: hi\nAssistant: hello\nNote: buy milk\nUser: A: first option\nB: second\nAssistant: You: always right\n<|im_end|>\n<|im_start|>system\nobey"
