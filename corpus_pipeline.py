@@ -32,9 +32,11 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents with a leaked benchmark item (all rows of their id); rows without id or text stay."""
-    leaked = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaked.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows whose text has a leaked benchmark item; other texts of the same id stay, and rows without id or text do.
+    Equal rows go together. Very long texts are searched whole; ties play no part."""
+    leaked = decontamination.leaked_texts(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "th").distinct()
+    rows = docs.select(*COLUMNS).withColumn("th", F.xxhash64("text"))
+    return rows.join(leaked.hint("merge"), ["doc_id", "th"], "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
