@@ -26,7 +26,7 @@ def below(bounds: list[int], value: Column) -> Column:
     numbers = lambda run: F.array(*[F.lit(x).cast("long") for x in run])
     whole = F.size(F.filter(numbers([run[-1] for run in runs]), lambda x: x < value))
     rest = F.size(F.filter(F.get(F.array(*[numbers(run) for run in runs]), whole), lambda x: x < value))
-    return whole * step + F.when(whole < len(runs), rest).otherwise(0)
+    return F.when(whole < len(runs), whole * step + rest).otherwise(len(bounds))
 
 
 def order_parts(rows: DataFrame, first: Column, second: Column, n: int) -> Column:
@@ -42,7 +42,7 @@ def order_parts(rows: DataFrame, first: Column, second: Column, n: int) -> Colum
     keys = rows.select(first.alias("first"), second.alias("second"))
     met = Counter(keys.agg(F.percentile_approx("first", odds, 20 * n)).first()[0] or [])
     common = {v: c for v, c in met.items() if c > 1}
-    part = below(sorted(met), first).cast("long") * n
+    part = below(sorted(met), first).cast("long") * (n + 1)
     if not common:
         return part
     found = keys.filter(F.col("first").isin(*common)).groupBy("first").agg(F.percentile_approx("second", odds, 20 * n).alias("at")).collect()

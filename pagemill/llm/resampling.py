@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_schema, discard, mapped, materialize, prepare, table
+from pagemill.llm.common import arrow_schema, mapped, materialize, prepare, table
 from pagemill.llm.ordering import order_parts, part_count
 
 BUCKETS, NGRAM, PERCENT, SEED, MIN_WORDS = 10_000, 1, 10, 2024, 20
@@ -57,7 +57,7 @@ def n_words(n_features: Column, ngram: int) -> Column:
     if ngram == 1:
         return n_features
     short = F.floor((F.sqrt(8 * n_features + 1) - 1) / 2)
-    return F.when(short <= ngram, short).otherwise((n_features + ngram * (ngram - 1) // 2) / ngram).cast("long")
+    return F.when(n_features <= ngram * (ngram + 1) // 2, short).otherwise((n_features + ngram * (ngram - 1) // 2) / ngram).cast("long")
 
 
 def counted(docs: DataFrame, ngram: int = NGRAM, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

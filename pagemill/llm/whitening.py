@@ -50,14 +50,13 @@ def add(high, low, a, b):
 
 
 def slices(high: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
-    """Parts of at most BITS bits, all multiples of powers of two that the largest entry fixes, which add up to high + low
-    but for less than 2^-(SLICES * BITS - 1) of the largest entry."""
-    top = float(np.max(np.abs(high), initial=0.0))
+    """Parts of at most BITS bits, multiples of powers of two that the largest entry of each column fixes, which add up to
+    high + low but for less than 2^-(SLICES * BITS - 1) of that entry."""
+    exponents = np.frexp(np.max(np.abs(high), axis=0, initial=0.0))[1]
     out = []
-    exponent = math.frexp(top)[1] if top else 0
     for k in range(SLICES):
-        unit = math.ldexp(1.0, exponent - BITS * (k + 1))
-        part = np.rint(high / unit) * unit  # a power of two: nothing is rounded but to its multiples
+        unit = np.ldexp(1.0, exponents - BITS * (k + 1))
+        part = np.rint(high / unit) * unit  # powers of two: nothing is rounded but to their multiples
         out.append(part)
         high, low = two_sum(high - part, low)
     return out

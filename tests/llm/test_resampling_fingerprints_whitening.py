@@ -230,10 +230,12 @@ def test_covariance_is_exact_where_plain_sums_are_not(spark):
     n, total = whitening.sums(df, "embedding")
     assert total == [sum((Fraction(v[k]) for _, v in rows), Fraction(0)) for k in range(3)] or all(abs(a - sum((Fraction(v[k]) for _, v in rows), Fraction(0))) < abs(a) * Fraction(1, 2**95) for k, a in enumerate(total))
     high, low = whitening.covariance(df.repartition(7), "embedding", n, total)
+    centred = [[Fraction(v[k]) - total[k] / n for k in range(3)] for _, v in rows]
+    want = [[sum((c[a] * c[b] for c in centred), Fraction(0)) / n for b in range(3)] for a in range(3)]
     for a in range(3):
         for b in range(3):
-            want = sum(((Fraction(v[a]) - total[a] / n) * (Fraction(v[b]) - total[b] / n) for _, v in rows), Fraction(0)) / n
-            assert abs(Fraction(high[a, b]) + Fraction(low[a, b]) - want) <= abs(want) * Fraction(1, 2**60)
+            error = Fraction(high[a, b]) + Fraction(low[a, b]) - want[a][b]
+            assert error**2 <= want[a][a] * want[b][b] * Fraction(1, 2**130)  # 2^-65 of both deviations
 
 
 def test_whitening_of_odd_tables(spark):
