@@ -49,6 +49,16 @@ def add(high, low, a, b):
     return two_sum(s, e + (low + b))
 
 
+def added_up(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the rows as such a pair, by pairs of rows."""
+    high, low = x, np.zeros_like(x)
+    while len(high) > 1:
+        if len(high) % 2:
+            high, low = np.vstack([high, np.zeros_like(high[:1])]), np.vstack([low, np.zeros_like(low[:1])])
+        high, low = add(high[::2], low[::2], high[1::2], low[1::2])
+    return high[0], low[0]
+
+
 def slices(high: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
     """Parts of at most BITS bits, multiples of powers of two that the largest entry of each column fixes, which add up to
     high + low but for less than 2^-(SLICES * BITS - 1) of that entry."""
@@ -79,13 +89,13 @@ class Products:
 
 
 def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and x (array of long) of the rows that remain; all of one length."""
+    """vec_id and x (array of long) of the rows that remain; all of one length. Written once, as all passes read them."""
     rows = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     # a null vector or entry makes the condition null, NaN is greater than any number: all are left out
     rows = rows.filter(F.forall("v", lambda c: F.abs(c) <= LARGEST))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
-    width = sizes["d"] if sizes else 0
-    return rows.filter(F.size("v") == width).select("vec_id", F.transform("v", lambda c: F.floor(SCALE * c).cast("long") + SHIFT).alias("x"))
+    rows = materialize(rows.select("vec_id", F.transform("v", lambda c: F.floor(SCALE * c).cast("long") + SHIFT).alias("x")))
+    sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
+    return rows.filter(F.size("x") == (sizes["d"] if sizes else 0))
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -112,8 +122,7 @@ def sums(rows: DataFrame, column: str) -> tuple[int, list[Fraction]]:
                 if exact:
                     whole += x.sum(axis=0)
                 else:
-                    for row in x:
-                        high, low = add(high, low, row, 0.0)
+                    high, low = add(high, low, *added_up(x))
         if n:
             yield one(n, high, low, whole)
 
