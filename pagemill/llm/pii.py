@@ -25,6 +25,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
 from hashlib import sha256
 
 import numpy as np
@@ -162,8 +163,16 @@ def _alike(kind: str, a: str, b: str) -> bool:
     return kind in ("end", "mail") or sum(x != y for x, y in zip(a, b)) <= 1
 
 
-def _links(keys: list[tuple[str, list[str]]], observed: list[int]) -> list[tuple[int, int, int]]:
-    """Edges from each token to the nearest same token on the left and the nearest observed ones on either side, likewise similar ones."""
+#: Characters that a piece of a match (an area code, a group of a card's digits) needs to say something by itself.
+TELLING = 7
+
+
+def _links(keys: list[tuple[str, list[str]]], observed: list[int], pieces: list[bool]) -> list[tuple[int, int, int]]:
+    """Edges from each token to the nearest same token on the left and the nearest observed ones on either side, likewise similar ones.
+
+    A short piece of a match of several tokens is linked to a same token only where a neighbour is the same, too: 974 of a
+    number isn't room 974.
+    """
     found: set[tuple[int, int, int]] = set()
     for back in (False, True):
         last: dict[str, int] = {}
@@ -186,7 +195,24 @@ def _links(keys: list[tuple[str, list[str]]], observed: list[int]) -> list[tuple
                 last[key] = i
                 if observed[i]:
                     seen[key] = i
-    return sorted(found)
+    name = lambda i: keys[i][0] if 0 <= i < len(keys) else ""
+    together = lambda i, j: any(name(i + d) and name(i + d) == name(j + d) for d in (-1, 1))
+    alone = lambda i, j: (pieces[i] or pieces[j]) and len(keys[i][0]) < TELLING and not together(i, j)
+    return sorted((i, j, kind) for i, j, kind in found if kind != SAME or not alone(i, j))
+
+
+def _pieces(found: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[bool]:
+    """Which tokens lie in a span with other tokens."""
+    starts = [a for a, _ in found]
+    out = [False] * len(found)
+    for _, a, b in spans:
+        first = bisect_left(starts, a)
+        while first and found[first - 1][1] > a:
+            first -= 1
+        last = bisect_left(starts, b)
+        if last - first > 1:
+            out[first:last] = [True] * (last - first)
+    return out
 
 
 class Graph:
@@ -206,7 +232,7 @@ class Graph:
             observed += covered
             features += [_features(text, a, b) for a, b in found]
             edges += [(first + i, first + i + 1, CHAIN) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= GAP]
-            edges += [(first + i, first + j, kind) for i, j, kind in _links([_keys(text[a:b]) for a, b in found], covered)]
+            edges += [(first + i, first + j, kind) for i, j, kind in _links([_keys(text[a:b]) for a, b in found], covered, _pieces(found, base))]
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
         self.observed = np.array(observed, np.int64)
         self.x = np.array(features, np.int64).reshape(len(self.spans), -1) if self.spans else np.empty((0, 1), np.int64)

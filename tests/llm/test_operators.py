@@ -418,6 +418,12 @@ def test_pii_adds_linked_mentions():
         added = {text[a:b] for k, a, b in spans if (k, a, b) not in base}
         wanted, found, wrong = wanted + len(again), found + len(added & set(again)), wrong + len(added - set(again))
     assert found >= 0.9 * wanted and wrong <= 0.03 * wanted
+    # pieces of a number elsewhere: area codes, years, groups of a card's digits
+    for text in ("Call +1 (974) 555-3436. Room 974 is on floor 3.", "Call +1 (974) 555-3436 now, it has 974 pages and 555 pictures.", "Pay with 4539 1488 0343 6467 in 1488, or 0343 by post.", "Ring +44 2023 456 789 in 2023."):
+        (base,), (spans,) = pii.find([text], model)
+        assert spans == base and len(base) == 1, text
+    (base,), (spans,) = pii.find(["Call +1 (974) 555-3436. That is (974) 555-3436 at night."], model)
+    assert len(spans) == 2
 
 
 def test_pii_query_columns(spark):
