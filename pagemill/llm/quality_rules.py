@@ -30,7 +30,8 @@ BOILERPLATE = (
     "accept cookies", "uses cookies", "enable javascript", "lorem ipsum", "subscribe to our", "sign up for", "log in to",
     "copyright (c)", "copyright ©", "powered by", "click here", "read more",
 )
-END = ".!?…:;\"'”’»)]"
+#: Marks that end a sentence or a quotation: Latin ones, then those of Indian, Arabic and East Asian scripts.
+END = ".!?…:;\"'”’»)]" + "।॥" + "؟۔؛" + "。！？｡」』）…"
 PHRASES = "(?i)(?<!\\w)(?:" + "|".join(p.replace("(", "\\(").replace(")", "\\)") for p in BOILERPLATE) + ")"
 #: Up to so many different repeated windows at so many places are looked up one by one, more by a sort.
 FEW, FEW_PLACES = 16, 64

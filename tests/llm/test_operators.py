@@ -449,6 +449,16 @@ def test_fit_samples_are_bounded_whatever_the_ids(spark):
     assert len(chosen(df, "doc_id", F.lit(0.1), "text").collect()) < 60
 
 
+def test_quality_keeps_other_scripts(spark):
+    hindi = "यह एक लंबा वाक्य है जो नदी के बारे में कुछ {} बताता है।"
+    arabic = "هل تعرف هذه المدينة القديمة التي تقع قرب النهر الكبير رقم {}؟"
+    urdu = "یہ ایک لمبا جملہ ہے جو دریا کے بارے میں کچھ {} بتاتا ہے۔"
+    mixed = "这 是 一 个 关 于 河 流 的 长 句 子 {}。"
+    df = spark.createDataFrame([(k, "\n".join(t.format(i) for i in range(12))) for k, t in enumerate((hindi, arabic, urdu, mixed))], "doc_id long, text string")
+    found = quality_rules.quality(df).collect()
+    assert all(r["kept_chars"] == r["line_chars"] for r in found) and sum(r["kept"] for r in found) == 4 - sum(r["base_failed"] for r in found)
+
+
 def test_quality_equals_brute_force(spark):
     rng = random.Random(9)
     texts = ["\n".join(" ".join(rng.choice(["a", "b", "cc", "d.", "é#"]) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 12))) for _ in range(120)] + [LONG]
