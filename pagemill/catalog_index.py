@@ -9,10 +9,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagemill.catalog import query, snapshots
+from pagemill.functions import numeric as num
 from pagemill.functions import records
-from pagemill.operators import dedup, images, sampling
+from pagemill.functions import rewriting as rw
+from pagemill.functions import text as tx
+from pagemill.operators import dedup, facts, images, sampling, search
 from pagemill.operators.ranked_index import RankedIndex
-from pagemill.sources import blob_load
+from pagemill.plans import model_stages as stages
+from pagemill.sources import blob_load, files
 from pagemill.sources.files import table
 from pagemill.streaming import index_refresh
 from pagemill.tables import shared_dir
@@ -123,3 +127,64 @@ def stream_index_refresh(spark, d):
 def set04_other_parts(spark, d):
     large = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
     return sampling.without(table(spark, d, "part").select("p_partkey"), large, "p_partkey")
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 8")
+def prj15_frequent_sources(spark, d):
+    return search.frequent(table(spark, d, "documents").filter("source IS NOT NULL"), "source", 8)
+
+
+@query("""SELECT l_orderkey AS doc, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, v.variant FROM lineitem, (SELECT unnest(['clear', 'phone_photo']) AS variant, unnest([7, 3]) AS n_pages) v WHERE l_linenumber < v.n_pages""")
+def join11_reused_answers(spark, d):
+    """An order's lines are windows' answers; a clear variant of each order has seven pages, a photographed one three."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("last"))
+    kinds = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(n).alias("n_pages")) for v, n in (("clear", 7), ("phone_photo", 3))])
+    variants = rows.select("doc").distinct().select("doc", F.inline(kinds))
+    return stages.emit_variants(rows, variants).select("doc", "line", "part", "supp", "variant")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS cls, CASE p_partkey % 3 WHEN 0 THEN 'clear' WHEN 1 THEN 'phone_photo' END AS variant,
+CASE WHEN p_partkey % 3 < 2 THEN lpad(CAST(p_partkey % 10000 AS varchar), 4, '0') END AS number FROM part""")
+def str11_file_parts(spark, d):
+    kind = F.element_at(F.array(F.lit("clear"), F.lit("phone_photo"), F.lit("blurred")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    name = F.concat_ws("_", "p_brand", kind, F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"))
+    cls, variant, number = tx.file_parts(name)
+    return table(spark, d, "part").select("p_partkey", cls.alias("cls"), variant.alias("variant"), number.alias("number"))
+
+
+_HEAD, _BODY = "instr(lower(html), '</head>')", "instr(lower(html), '<body')"
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, '(?i)</head>', '', 'g') ELSE 'plain ' || page_id END AS html FROM pages)
+SELECT page_id, md5(CASE WHEN {_HEAD} > 0 THEN substr(html, 1, {_HEAD} - 1) || '<style>p{{}}</style>' || substr(html, {_HEAD}) WHEN {_BODY} > 0 THEN substr(html, 1, {_BODY} - 1) || '<style>p{{}}</style>' || substr(html, {_BODY}) ELSE '<style>p{{}}</style>' || html END) AS styled,
+md5(CASE WHEN regexp_matches(html, '(?i)<head\\b[^>]*>') THEN regexp_replace(html, '(?i)(<head\\b[^>]*>)', '\\1<base href="/x/">') ELSE '<base href="/x/">' || html END) AS based FROM p""")
+def str13_placed_elements(spark, d):
+    """Pages as they are, without the end of their head, and texts that are no pages."""
+    html = F.when(F.col("page_id") % 3 == 0, F.col("html")).when(F.col("page_id") % 3 == 1, F.regexp_replace("html", "(?i)</head>", "")).otherwise(F.concat(F.lit("plain "), "page_id"))
+    rows = table(spark, d, "pages").select("page_id", html.alias("html"))
+    return rows.select("page_id", F.md5(tx.inject_style(F.col("html"), F.lit("p{}"))).alias("styled"), F.md5(tx.inject_base(F.col("html"), F.lit("/x/"))).alias("based"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, regexp_replace(CAST(CAST(l_quantity * 100 AS bigint) // 100 AS varchar) || '.' || lpad(CAST(CAST(l_quantity * 100 AS bigint) % 100 AS varchar), 2, '0'), '\\.?0+$', '') AS plain,
+l_linenumber / 1000.0::DOUBLE AS x0 FROM lineitem""")
+def mth06_plain_numbers(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", num.format_number(F.col("l_quantity").cast("decimal(12,2)")).alias("plain"), num.from_thousandths(F.array("l_linenumber"))[0].alias("x0"))
+
+
+@query("""SELECT tag, n FROM (SELECT 'textarea' AS tag, count(*) AS n FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT 'input', count(*) FROM conversations WHERE turn % 3 = 0) WHERE n > 0""")
+def agg14_repair_counts(spark, d):
+    """Pages with unbound fields; how many were bound, by element."""
+    area = F.when(F.col("turn") % 2 == 0, F.lit("<textarea data-field='a'>x</textarea>")).otherwise(F.lit("<p>text</p>"))
+    box = F.when(F.col("turn") % 3 == 0, F.lit('<input type="text" data-field="b">')).otherwise(F.lit("<br>"))
+    pages = table(spark, d, "conversations").select(F.concat(area, "role", box).alias("html"))
+    return facts.repair_counts(pages.select(rw.repair_bindings_column(F.col("html")).alias("r")).select("r.counts"))
+
+
+@query("SELECT p_partkey, length(p_name) >= 12 AS pooled FROM part WHERE length(p_name) >= 12")
+def src16_template_pool(spark, d):
+    """Parts as templates with a field for each four letters of the name; brands are classes, some parts have no sidecar."""
+    fields = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length("p_name") / 4).cast("int"))), lambda i: F.concat(F.lit('<i data-field="f'), i.cast("string"), F.lit('"></i>'))), "")
+    parts = table(spark, d, "part")
+    templates = parts.select(F.col("p_brand").alias("class"), F.col("p_partkey").cast("string").alias("stem"), fields.alias("html"), "p_partkey")
+    pool, _ = files.template_pool(templates, templates.select("stem"), parts.select(F.col("p_brand").alias("class")), 3)
+    return pool.select("p_partkey", (F.size("fields") >= 3).alias("pooled"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -157,30 +158,67 @@ def repair_bindings(html: str) -> tuple[str, dict[str, int]]:
     return spliced(html, edits), counts
 
 
-def underlined_classes(html: str) -> set[str]:
+def _rules(style: str):
+    """Selectors and declared properties of each rule of a style sheet."""
+    for rule in style.split("}"):
+        selectors, found, body = rule.partition("{")
+        if found:
+            yield [x.strip() for x in selectors.split(",")], [x.partition(":")[0].strip().lower() for x in body.split(";")]
+
+
+def _single_class(selector: str) -> str | None:
+    """The class of a selector that is a class alone or a class of one kind of element."""
+    element, dot, name = selector.partition(".")
+    plain = lambda x, more: all(c.isalnum() or c in more for c in x)
+    return name if dot and name and plain(name, "-_") and plain(element, "") and element == element.lower() else None
+
+
+def underlined_classes(html: str, found: list[Tag] | None = None) -> set[str]:
     """STR-25: classes whose rule in a style element draws a bottom border; selectors of more than a class don't count."""
+    found = tags(html) if found is None else found
     out: set[str] = set()
-    for style in re.findall(r"(?is)<style[^>]*>(.*?)</style>", html):
-        for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", style):
-            if "border-bottom" in body:
-                out.update(m.group(1) for x in selectors.split(",") if (m := re.fullmatch(r"\s*[a-z0-9]*\.([\w-]+)\s*", x)))
+    for k, open_ in enumerate(found):
+        if open_.name == "style" and not open_.closes:
+            end = next((t.start for t in found[k + 1 :] if t.name == "style" and t.closes), open_.end)
+            for selectors, properties in _rules(html[open_.end : end]):
+                if any(x.startswith("border-bottom") for x in properties):
+                    out |= {c for x in selectors if (c := _single_class(x))}
     return out
 
 
-def _named_by(before: str) -> str:
-    """The nearest text between tags in the last 400 characters that can be a label, as a name; empty without one."""
-    for text in reversed(re.findall(r">([^<>]{1,60})<", before[-400:])):
-        text = re.sub(r"\{\{.*?\}\}|\{%.*?%\}|\(.*?\)", "", text)
-        words = re.findall(r"[A-Za-z0-9]+", text)
-        if 0 < len(words) <= 6 and re.search(r"[^\W\d_]", text):
-            return "_".join(words).lower()[:40].strip("_")
+def _without(text: str, opening: str, closing: str) -> str:
+    """text without what stands between two marks, the marks included."""
+    out, at = [], 0
+    while (start := text.find(opening, at)) >= 0 and (end := text.find(closing, start + len(opening))) >= 0:
+        out.append(text[at:start])
+        at = end + len(closing)
+    return "".join(out) + text[at:]
+
+
+def _label(text: str) -> str:
+    """A short text as a name: its words, at most six, in lower case; empty where it has no letter or too many words."""
+    for marks in (("{{", "}}"), ("{%", "%}"), ("(", ")")):
+        text = _without(text, *marks)
+    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text).split()
+    return "_".join(words).lower()[:40].strip("_") if 0 < len(words) <= 6 and any(c.isalpha() for c in text) else ""
+
+
+def _named_by(html: str, found: list[Tag], at: int) -> str:
+    """The name from the nearest text between two tags that end before a place, at most 400 characters back and 60 long."""
+    k = bisect_left(found, at, key=lambda t: t.start) - 1
+    while k > 0 and found[k - 1].end > at - 400:
+        text = html[found[k - 1].end : found[k].start]
+        if len(text) <= 60 and (name := _label(text)):
+            return name
+        k -= 1
     return ""
 
 
 def enrich_blanks(html: str) -> tuple[str, int]:
     """STR-17: empty underlined elements and inputs without a field or value get a field, bound to it, named by the nearest
     text before them; names are made unique by _2, _3, ..., without text they are field_1, field_2, ..."""
-    lined, found = underlined_classes(html), tags(html)
+    found = tags(html)
+    lined = underlined_classes(html, found)
     taken = {t.get("data-field") for t in found} - {None}
     places = []
     for open_, close in leaves(html, found):
@@ -192,7 +230,7 @@ def enrich_blanks(html: str) -> tuple[str, int]:
             places.append((tag, None))
     edits, unnamed = [], 0
     for tag, close in sorted(places, key=lambda x: x[0].start):
-        base = _named_by(html[: tag.start])
+        base = _named_by(html, found, tag.start)
         if not base:
             unnamed += 1
             base = f"field_{unnamed}"

@@ -94,3 +94,9 @@ def distinct_values(rows: DataFrame, column: str) -> DataFrame:
 def completeness(frame: DataFrame, wanted: list[str]) -> list[str]:
     """AGG-16: columns that are missing."""
     return [c for c in wanted if c not in frame.columns]
+
+
+def repair_counts(repaired: DataFrame, counts: str = "counts") -> DataFrame:
+    """AGG-14: bound elements of each kind over all pages, from the counts (JSON text) of the pages' repairs; most first."""
+    each = repaired.select(F.explode(F.from_json(counts, "map<string, bigint>")).alias("tag", "n"))
+    return each.groupBy("tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import asyncio
 import inspect
 import json
-import re
 import threading
 from collections import deque
 from collections.abc import Callable
@@ -26,28 +25,40 @@ def json_type(annotation: Any) -> dict:
     return out
 
 
+#: Fixed by custom: titles of the part of a docstring that describes arguments.
+ARGUMENTS = {"args", "arguments", "parameters"}
+
+
+def _depth(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
 def parse_docstring(text: str | None) -> tuple[str, dict[str, str]]:
-    """STR-24: the text before the first section, and descriptions of the arguments from the first section of them."""
-    sections: list[tuple[str, list[str]]] = [("", [])]
-    for line in inspect.cleandoc(text or "").split("\n"):
-        if re.fullmatch(r"[A-Za-z][A-Za-z ]*:\s*", line):
-            sections.append((line.strip()[:-1], []))
+    """STR-24: the text before the first title, and the descriptions of arguments from the first part that has them.
+
+    Read by indentation: a title is a line at the margin of words and a colon; below it, lines of the least depth open an
+    entry (a name, perhaps a type in brackets, a colon) and deeper ones go on with it.
+    """
+    lines = inspect.cleandoc(text or "").splitlines()
+    titles = [i for i, x in enumerate(lines) if x.endswith(":") and not _depth(x) and x[:-1].replace(" ", "").isalpha()]
+    summary = "\n".join(lines[: titles[0]] if titles else lines).strip()
+    start = next((i for i in titles if lines[i][:-1].strip().lower() in ARGUMENTS), None)
+    if start is None:
+        return summary, {}
+    body = [x for x in lines[start + 1 : next((i for i in titles if i > start), len(lines))] if x.strip()]
+    margin = min(map(_depth, body), default=0)
+    entries: dict[str, list[str]] = {}
+    own: list[str] = []
+    for line in body:
+        if _depth(line) == margin:
+            typed = line.find(")") + 1 if "(" in line.partition(":")[0] else 0  # a colon within the brackets is the type's
+            head, colon, rest = line[:typed] + line[typed:].partition(":")[0], *line[typed:].partition(":")[1:]
+            name = head.partition("(")[0].strip()
+            own = entries.setdefault(name, []) if colon and name.isidentifier() else []
+            own[:] = [rest.strip()]
         else:
-            sections[-1][1].append(line)
-    body = next((lines for title, lines in sections if title in ("Args", "Arguments", "Parameters")), [])
-    margin = min((len(x) - len(x.lstrip()) for x in body if x.strip()), default=0)
-    args: dict[str, str] = {}
-    name = None
-    for line in (x[margin:].rstrip() for x in body):
-        if line and not line[0].isspace():
-            m = re.match(r"(\w+)(?:\s*\([^)]*\))?\s*:\s*(.*)", line)
-            name = m.group(1) if m else None
-            if m:
-                args[name] = m.group(2).strip()
-        elif name and line:
-            args[name] = f"{args[name]} {line.strip()}".strip()
-    return "\n".join(sections[0][1]).strip(), args
-
+            own.append(line.strip())
+    return summary, {name: " ".join(x for x in said if x) for name, said in entries.items()}
 
 
 class Registry:
