@@ -58,9 +58,12 @@ def with_hash(rows: DataFrame, column: str = "image", into: str = "hash") -> Dat
     def stage(batches):
         for batch in batches:
             found = [fields(v.as_py()) for v in batch.column(column)]
-            whole = [x for x in found if x is not None]
-            hashes = iter(pixels.perceptual_hashes(np.stack(whole)).tolist() if whole else [])
-            column_of = pa.array([None if x is None else next(hashes) for x in found], pa.int64())
+            hashes: list[int | None] = [None] * len(found)
+            for shape in {x.shape for x in found if x is not None}:
+                at = [i for i, x in enumerate(found) if x is not None and x.shape == shape]
+                for i, digest in zip(at, pixels.perceptual_hashes(np.stack([found[i] for i in at])).tolist()):
+                    hashes[i] = digest
+            column_of = pa.array(hashes, pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column_of], schema=schema)
 
     return rows.mapInArrow(stage, full)

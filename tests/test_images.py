@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from pagemill import catalog
 from pagemill.functions import pixels
 from pagemill.functions.numeric import warp_box
 from pagemill.functions.rewriting import homography
@@ -157,3 +158,19 @@ def test_boxes_are_drawn_at_pixel_corners(spark):
                 if x0 <= x <= x1 and y0 <= y <= y1 and not (x0 + 2 <= x <= x1 - 2 and y0 + 2 <= y <= y1 - 2):
                     want[y, x] = images.PALETTE[colour]
     assert np.array_equal(found[0], want) and np.array_equal(found[1], clean)
+
+
+def test_hashes_of_pictures_with_equal_frequencies_equal_sql(spark, duck, tmp_path):
+    """Pictures of one colour, of stripes and symmetrical ones: frequencies that are equal but for rounding."""
+    rng = np.random.default_rng(5)
+    vectors = [[0.0] * 64, [0.1] * 64, [float("nan")] * 64, [-9.0] * 64, [0.2, -0.2] * 32, ([0.1] * 8 + [-0.1] * 8) * 4]
+    vectors += [np.tile(rng.normal(0, 0.1, 8), 8).tolist() for _ in range(4)] + [np.repeat(rng.normal(0, 0.1, 8), 8).tolist() for _ in range(4)]
+    vectors += [((a + a[::-1]) / 2).ravel().tolist() for a in rng.normal(0, 0.15, (8, 8, 8))]
+    rows = [(k, v, k % 3) for k, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("ded02_image_hash", "join12_image_pairs"):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
