@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 
 #: Words of queries that are broadcast.
 MOST_WORDS = 200_000
+#: Scores of documents by queries that a task sums up, on average.
+TASK_SCORES = 1_000_000
 
 
 def lexical_top(queries: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     """ORD-04: for each of queries (qid, text) the n documents (id, text) that share most distinct words; ties by id.
 
-    Few queries (up to MOST_WORDS words in all, counted first) are broadcast, so documents stay where they are and only rows of
-    common words move, summed in each task; more are met by an equi-join on words. Scores are summed before the ranks."""
+    Few queries (up to MOST_WORDS words in all, counted first) are broadcast, so texts stay where they are and only the ids
+    with the words that are asked for move; more are met by an equi-join on words. Documents are dealt by id to as many tasks
+    as their scores need, so a task's memory doesn't grow with the table, and each task ranks its own before the last rank.
+    Rows of one id count as one document, each word once."""
     words = lambda frame, key: frame.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).filter("w != ''")
-    asked = words(queries, "qid")
-    asked = F.broadcast(asked) if asked.limit(MOST_WORDS + 1).count() <= MOST_WORDS else asked
-    scores = words(docs, "id").join(asked, "w").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
+    asked = words(queries, "qid").distinct()
+    seen = words(docs, "id")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * queries.count() // TASK_SCORES))
+    if asked.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
+        seen = seen.join(F.broadcast(asked.select("w").distinct()), "w", "left_semi").repartition(tasks, "id").distinct()
+        met = seen.join(F.broadcast(asked), "w")
+    else:
+        met = seen.distinct().join(asked, "w").repartition(min(tasks, 20_000), "id")
+    scores = met.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= n)
 

@@ -74,3 +74,21 @@ def test_a_refresh_that_broke_off_is_not_seen(spark, tmp_path, made):
     assert got() == brute(docs, [(1, "the w1 w2")], 5)
     docs[0] = "w1 w2 " * 20
     assert index.refresh(frame(spark, docs))["changed"] == 1 and got() == brute(docs, [(1, "the w1 w2")], 5)
+
+
+def test_lexical_search_counts_repeated_ids_once_and_deals_by_size(spark, monkeypatch):
+    from pagemill.operators import search
+
+    docs = spark.createDataFrame([(i % 50, f"w{i % 7} w{i % 5} common") for i in range(200)], "id long, text string")
+    queries = spark.createDataFrame([(q, f"w{q} common") for q in range(7)], "qid long, text string")
+    words = {i: {"common", *(f"w{k % m}" for k in range(i, 200, 50) for m in (7, 5))} for i in range(50)}
+    want = set()
+    for q in range(7):
+        best = sorted(((-len(words[i] & {f"w{q}", "common"}), i) for i in words))[:5]
+        want |= {(q, i, -s, r + 1) for r, (s, i) in enumerate(best)}
+    for most in (search.MOST_WORDS, 3):  # broadcast queries, and a join
+        monkeypatch.setattr(search, "MOST_WORDS", most)
+        monkeypatch.setattr(search, "TASK_SCORES", 10)
+        got = search.lexical_top(queries, docs)
+        assert {tuple(r) for r in got.select("qid", "id", "score", "rank").collect()} == want
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and "hashpartitioning(id" in got._jdf.queryExecution().toString()
