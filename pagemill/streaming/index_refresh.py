@@ -30,23 +30,31 @@ class Refresh(StatefulProcessor):
         self.last = handle.getValueState("last", "hash string, ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.last.get() if self.last.exists() else None
-        before = known[0] if known else None
+        last = self.last.get()
+        last = None if last is None else (last[0], last[1])
+        known, before = last, last[0] if last else None
         # rows of a batch in order of time, of equal times by hash; older ones than the last known say nothing new
         found = sorted((r["ms"], r["hash"]) for r in rows if r["ms"] >= timerValues.getCurrentWatermarkInMs())
         for ms, digest in found:
             if known is None or ms >= known[1]:
                 known = (digest, ms)
         if known is not None and found:
-            self.last.update(known)
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(known[1] + self.gone_after_ms)
+            # each call goes to the engine and back; a file has one timer, that of the time in its state
+            if known != last:
+                self.last.update(known)
+            if last is None or known[1] != last[1]:
+                if last is not None:
+                    self.handle.deleteTimer(last[1] + self.gone_after_ms)
+                self.handle.registerTimer(known[1] + self.gone_after_ms)
             if before is None or before != known[0]:
                 yield Row(filename=key[0], hash=known[0], status="new" if before is None else "changed", ms=known[1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.last.get()
+        if known and expiredTimerInfo.getExpiryTimeInMs() < known[1] + self.gone_after_ms:
+            # a timer of an earlier run with a shorter time
+            self.handle.registerTimer(known[1] + self.gone_after_ms)
+            return
         self.last.clear()
         if known:
             yield Row(filename=key[0], hash=known[0], status="removed", ms=known[1])

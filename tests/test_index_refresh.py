@@ -92,3 +92,46 @@ def test_watermark_of_windowed_counts(spark, tmp_path):
     query.awaitTermination()
     found = {r["window"]["start"].hour: (r["n"], r["total"]) for r in spark.table("windowed").collect()}
     assert found[0] == (2, 3.0) and found[5] == (2, 5.0)
+
+
+def test_a_file_costs_few_calls_of_its_state():
+    """Each call of the state or a timer goes to the engine and back: three for a new file, four for one that is known."""
+
+    class Engine:
+        def __init__(self):
+            self.calls, self.value, self.timers = 0, None, set()
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name == "update":
+                    self.value = args[0]
+                elif name == "clear":
+                    self.value = None
+                elif name == "registerTimer":
+                    self.timers.add(args[0])
+                elif name == "deleteTimer":
+                    self.timers.discard(args[0])
+                return {"get": self.value, "exists": self.value is not None, "listTimers": list(self.timers)}.get(name)
+
+            return call
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 0
+
+        def getExpiryTimeInMs(self):  # noqa: N802
+            return self.ms
+
+    file, engine = index_refresh.Refresh(1000), Engine()
+    file.handle = file.last = engine
+    listed = lambda ms, digest: [r["status"] for r in file.handleInputRows(("a",), iter([{"ms": ms, "hash": digest}]), At(0))]
+    assert listed(5, "x") == ["new"] and engine.calls == 3 and engine.timers == {1005}
+    assert listed(9, "x") == [] and engine.calls == 7 and engine.timers == {1009}
+    assert listed(9, "x") == [] and engine.calls == 8 and engine.timers == {1009}
+    # a timer of a run with a shorter time doesn't remove the file
+    assert list(file.handleExpiredTimer(("a",), At(0), At(500))) == [] and engine.value == ("x", 9)
+    assert [r["status"] for r in file.handleExpiredTimer(("a",), At(0), At(1009))] == ["removed"] and engine.value is None
