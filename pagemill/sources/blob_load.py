@@ -18,6 +18,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 
+#: Partitions of the reader that a task reads.
+READ_TOGETHER = 64
+
+
 def blob_path(name: Column, content: Column) -> Column:
     """DED-03: the place of a blob: six digits of its md5, an underscore and its base name."""
     return F.concat(F.substring(F.md5(content), 1, 6), F.lit("_"), F.regexp_extract(name, "([^/]*)/*$", 1))
@@ -107,6 +111,11 @@ def load_blobs(rows: DataFrame, root: str) -> tuple[int, int]:
 
 
 def read_blobs(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all blobs of a store, read by the executors."""
-    found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{'[0-9a-f]' * 6}_*")
-    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content")
+    """(path, content) of all blobs of a store, read by the executors.
+
+    The folder is listed as one path: a path for each blob would be listed by a job of its own, whose tasks send it all back.
+    The reader puts only a few small files into a partition, so each task takes READ_TOGETHER of them one after the other.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{'[0-9a-f]' * 6}_*").load(root.rstrip("/"))
+    tasks = max(spark.sparkContext.defaultParallelism, found.rdd.getNumPartitions() // READ_TOGETHER)
+    return found.coalesce(tasks).select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content")

@@ -234,3 +234,18 @@ def test_a_cache_that_cannot_be_read_is_put_aside(spark, tmp_path):
     assert (tmp_path / "cache.unreadable-1" / "part-0.parquet").read_bytes() == b"this is no table"
     assert fetching.cached_stage(keys, "key", lambda rows: 1 / 0 if rows.count() else stage(rows), cache).count() == 2
     os.chmod(tmp_path / "cache", 0o755)
+
+
+def test_blobs_are_listed_as_one_path(spark, tmp_path):
+    """A listing by a path for each blob is a job of as many tasks; files of other names and in folders aren't blobs."""
+    root = f"file://{tmp_path}/store"
+    rows = spark.range(300).select(F.concat(F.lit("a/"), "id", F.lit(".txt")).alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    blob_load.load_blobs(rows, root)
+    (tmp_path / "store" / "notes.txt").write_text("x")
+    (tmp_path / "store" / "_tmp" / "abcdef_part").write_text("x")
+    tracker = spark.sparkContext.statusTracker()
+    known = set(tracker.getJobIdsForGroup())
+    back = blob_load.read_blobs(spark, root)
+    assert set(tracker.getJobIdsForGroup()) == known
+    found = {r["path"]: bytes(r["content"]) for r in back.collect()}
+    assert len(found) == 300 and sorted(int(c) for c in found.values()) == list(range(300))
