@@ -63,7 +63,8 @@ def canonical(text: Column) -> Column:
     numbers = F.regexp_replace(numbers, "(?<=\\d)[^\\s\\p{L}\\p{N}]+(?=\\d)", "")
     t = F.when(text.rlike("\\d"), numbers).otherwise(text)
     t = F.regexp_replace(t, " (?=\\p{Lu}\\p{Ll})(?<=[\\p{Ll},;] \\p{Lu}\\p{Ll}{1,60} )", JOIN)
-    t = F.regexp_replace(t, f" (?=\\p{{Lu}})(?<=[\\p{{Ll}},;] )(\\p{{Lu}}\\p{{Ll}}+(?:{JOIN}\\p{{Lu}}\\p{{Ll}}+)*)(?![\\p{{L}}\\p{{N}}])", f" {NAME}$1")
+    # Possessive: otherwise Java's expressions go one call deeper for each word of a name, and a long list of names ends the executor.
+    t = F.regexp_replace(t, f" (?=\\p{{Lu}})(?<=[\\p{{Ll}},;] )(\\p{{Lu}}\\p{{Ll}}++(?:{JOIN}\\p{{Lu}}\\p{{Ll}}++(?![\\p{{L}}\\p{{N}}]))*+)(?![\\p{{L}}\\p{{N}}])", f" {NAME}$1")
     return F.array_remove(F.split(F.lower(t), BETWEEN), "")
 
 

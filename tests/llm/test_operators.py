@@ -276,6 +276,16 @@ def test_leaks_equal_brute_force(spark):
         assert found == wanted and len(wanted) > 100
 
 
+def test_leaks_in_texts_with_very_long_lists_of_names(spark):
+    item = "who was the first person that walked over the old red bridge of the town"
+    names = " ".join(("Beta", "Alpha")[i % 2] for i in range(20_000))
+    docs = spark.createDataFrame([(1, f"these are {names} and then {item} again"), (2, f"these are {names}X and no more")], "doc_id long, text string")
+    found = decontamination.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["cover_percent"]) for r in found] == [(1, 7, 100.0)]
+    for r in docs.select("text", decontamination.canonical(F.col("text")).alias("v")).collect():
+        assert r["v"] == plain_canonical(r["text"]) and r["v"][2].count("\ue003") == 19_999
+
+
 def test_leaks_of_items_dense_in_values(spark):
     items = {
         1: "12 15 18 21 24 27 30 33 36 39 42 45",
