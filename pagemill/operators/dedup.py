@@ -13,21 +13,15 @@ def sign_hash(vector: Column) -> Column:
     return F.aggregate(F.slice(vector, 1, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
 
 
-def _hashes(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The distinct hashes (k, hash) of each class, and how many the largest class has."""
-    found = rows.filter("hash IS NOT NULL").select(hamming.class_key().alias("k"), F.col("hash").cast("long").alias("hash")).distinct()
-    return found, found.groupBy("k").count().agg(F.max("count")).first()[0] or 0
-
-
 def near_pairs(rows: DataFrame, limit: int = 8, bands: list[hamming.Band] | None = None) -> DataFrame:
     """JOIN-12: (cls, a, b, distance) with a < b of rows (cls, id, hash) within limit bits.
 
-    Distinct hashes are met by an index of bands, chosen for the limit and the size of the largest class; only then are
-    hashes replaced by the ids that have them. Classes that are null are one class; rows without id or hash have no pair,
+    Distinct hashes are met by an index of bands or block by block, chosen for the limit and the size of the largest class;
+    only then are hashes replaced by the ids that have them. Classes that are null are one class; rows without id or hash have no pair,
     and rows of one id none with each other.
     """
-    hashes, largest = _hashes(rows)
-    near = hamming.near_hashes(hashes, limit, bands or hamming.plan(limit, largest))
+    hashes = rows.filter("hash IS NOT NULL").select(hamming.class_key().alias("k"), F.col("hash").cast("long").alias("hash")).distinct()
+    near = hamming.near(hashes, limit, bands)
     same = hashes.select("k", F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).cast("long").alias("distance"))
     own = rows.filter("id IS NOT NULL AND hash IS NOT NULL").select(hamming.class_key().alias("k"), "cls", "id", F.col("hash").cast("long").alias("hash"))
     one = own.select("k", "cls", F.col("id").alias("i"), F.col("hash").alias("a"))
@@ -67,8 +61,7 @@ def greedy_keep(rows: DataFrame, limit: int = 8, most_pairs: int = MOST_PAIRS) -
     own = materialize(rows.withColumn("_k", hamming.class_key()).withColumn("_row", F.monotonically_increasing_id()))
     order = F.struct(F.col("id").isNull(), "id", "_row")
     firsts = materialize(own.filter("hash IS NOT NULL").groupBy(F.col("_k").alias("k"), F.col("hash").cast("long").alias("hash")).agg(F.min(order).alias("first")))
-    largest = firsts.groupBy("k").count().agg(F.max("count")).first()[0] or 0
-    near = hamming.near_hashes(firsts.select("k", "hash"), limit, hamming.plan(limit, largest))
+    near = hamming.near(firsts.select("k", "hash"), limit)
     ranked = firsts.select("k", "hash", F.struct(F.col("first.col1"), F.col("first.id"), "hash").alias("place"))
     both = near.join(ranked.select("k", F.col("hash").alias("a"), F.col("place").alias("p")), ["k", "a"]).join(ranked.select("k", F.col("hash").alias("b"), F.col("place").alias("q")), ["k", "b"])
     pairs = materialize(both.select("k", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))

@@ -49,6 +49,27 @@ def test_candidates_are_few(spark):
     assert hamming.met(few, hamming.bands_of(20, 5)).count() < 0.4 * 1500 * 1500
 
 
+@pytest.mark.parametrize("limit", [0, 8, 20, 64])
+def test_blocks_equal_brute_force(spark, limit):
+    hashes = sorted({(f"={c}", h) for c, _, h in rows_of(random.Random(limit), 250)} | {("=one", 5)})
+    df = spark.createDataFrame(hashes, "k string, hash long")
+    want = sorted((c, h, g, distance(h, g)) for c, h in hashes for d, g in hashes if c == d and h < g and distance(h, g) <= limit)
+    for block in (7, 50, hamming.BLOCK):
+        found = hamming.compared(df, df.groupBy("k").count(), limit, 3, block)
+        assert sorted(map(tuple, found.collect())) == want
+
+
+def test_far_limits_send_no_candidates(spark):
+    rng = random.Random(3)
+    n = 3000
+    hashes = spark.createDataFrame([("=x", rng.getrandbits(63)) for _ in range(n)], "k string, hash long")
+    # two fifths of all pairs were rows of a join; now a block is sent once for each block
+    plan = hamming.near(hashes, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "bits" not in plan
+    pairs = hamming.dealt(hashes, hashes.groupBy("k").count(), 4, 500).collect()
+    assert len(pairs) == 21 and sum(len(r["left"]) + len(r["right"] or ()) for r in pairs) == 6 * n
+
+
 def greedy(rows, limit):
     kept, out = {}, []
     for c, i, h in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0)):
