@@ -2,20 +2,25 @@
 
 The index is a folder of tables that grow by segments; a refresh writes one segment for what changed. `documents` has the
 documents of each segment (hash null: removed) with their terms, `postings` (term, id, tf), `counts` the change of each
-term's number of documents, `blocks` the greatest frequency and the least length of each term in each block of ids.
+term's number of documents, `blocks` the greatest frequency, the least length and the number of documents of each term in
+each block of ids. Texts are split and counted within their row, in one pass.
 A document's last segment counts, so older postings of a changed document are passed over by (id, segment).
 
 Scores are whole millionths: the sum over the query's distinct terms of floor(10^6 * idf * tf part), so they don't depend on
 the order of additions. Common terms (stop words) are not scored everywhere: with the n-th best score over the other terms
-as the mark to reach, they are looked up only for documents, and in blocks, that can reach it by the blocks' maxima. Results
-are the same as with all postings. Terms are runs of a-z and 0-9 in the lower-cased text; null texts have none; rows with a
+as the mark to reach, they are looked up only for documents, and in blocks, that can reach it by the blocks' maxima: a document
+has its common terms' scores once, as an array by the term's place, and each query adds up its own places. Results are the
+same as with all postings. Terms are runs of a-z and 0-9 in the lower-cased text; null texts have none; rows with a
 null id are not indexed, of repeated ids the one with the greatest text counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +30,9 @@ from pagemill.tables import materialize
 K1, B = 1.2, 0.75
 #: Blocks of ids; terms in more than this part of the documents are common.
 BLOCKS, COMMON = 256, 0.05
+#: Common terms that are looked up at once.
+PLACES = 2048
+_TERM = re.compile("[a-z0-9]+")
 DOCUMENTS = "id {0}, hash string, length long, terms array<struct<term:string,tf:long>>, segment int"
 
 
@@ -32,6 +40,40 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def _frequencies(texts: pa.Array) -> pa.Array:
+    ends, lengths, names, counts = [0], [], [], []
+    for text in texts.to_pylist():
+        found = _TERM.findall(text) if text else ()
+        tf = Counter(found)
+        names += tf.keys()
+        counts += tf.values()
+        ends.append(len(names))
+        lengths.append(len(found))
+    pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+    return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), lists], ["length", "terms"])
+
+
+def frequencies(lower: Column) -> Column:
+    """length and terms (term, tf) of a text in lower case, counted within its row."""
+    return F.arrow_udf(_frequencies, "length long, terms array<struct<term:string,tf:long>>")(lower)
+
+
+def _placed(width: int):
+    """Values (place, value) of a row as an array of so many places, null where there is none."""
+
+    def placed(rows: pa.Array) -> pa.Array:
+        ends = rows.offsets.to_numpy()
+        given = rows.values.slice(ends[0], ends[-1] - ends[0])
+        place, value = (given.field(i).to_numpy() for i in (0, 1))
+        out, empty = np.zeros((len(rows), width), np.int32), np.ones((len(rows), width), bool)
+        at = np.repeat(np.arange(len(rows)), np.diff(ends))
+        out[at, place], empty[at, place] = value, False
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * width, pa.int32()), pa.array(out.ravel(), mask=empty.ravel()))
+
+    return F.arrow_udf(placed, "array<int>")
+
+
 def block_of(id: Column) -> Column:
     return F.pmod(F.xxhash64(id), F.lit(BLOCKS)).cast("int")
 
@@ -65,6 +107,8 @@ class RankedIndex:
     def documents(self) -> DataFrame:
         """The documents as they are now: id, hash, length, terms, segment."""
         rows = self._table("documents", DOCUMENTS.format(self.id_type))
+        if len(self.segments()) < 2:  # a segment has an id once
+            return rows.filter("hash IS NOT NULL")
         last = Window.partitionBy("id").orderBy(F.col("segment").desc())
         return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1 AND hash IS NOT NULL").drop("_n")
 
@@ -75,30 +119,27 @@ class RankedIndex:
         """
         number = max(self.segments(), default=0) + 1
         now = docs.filter("id IS NOT NULL").groupBy("id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).withColumn("new_hash", F.md5("text"))
-        both = self.documents().select("id", "hash", F.col("terms").alias("old_terms")).join(now, "id", "full_outer")
+        both = self.documents().select("id", "hash", F.col("terms.term").alias("old_terms")).join(now, "id", "full_outer")
         status = F.when(F.col("hash").isNull(), "new").when(F.col("new_hash").isNull(), "removed").when(F.col("hash") == F.col("new_hash"), "kept").otherwise("changed")
-        both = both.withColumn("status", status)
-        counts = {r["status"]: r["count"] for r in both.groupBy("status").count().collect()}
+        both = both.select("id", status.alias("status"), "new_hash", "text", "old_terms")
+        # one pass over the texts: those that are kept give a row without terms, to be counted
+        fresh = both.withColumn("found", frequencies(F.when(F.col("status").isin("new", "changed"), F.lower("text"))))
+        touched = materialize(fresh.select("id", "status", F.col("new_hash").alias("hash"), "found.length", "found.terms", F.when(F.col("status") != "kept", F.col("old_terms")).alias("old_terms")))
+        counts = {r["status"]: r["count"] for r in touched.groupBy("status").count().collect()}
         result = {s: counts.get(s, 0) for s in ("new", "changed", "removed", "kept")}
         if not result["new"] + result["changed"] + result["removed"]:
             return result
-        words = F.when(F.col("new_hash").isNotNull(), terms(F.col("text")))
-        touched = materialize(both.filter("status <> 'kept'").select("id", F.col("new_hash").alias("hash"), words.alias("words"), "old_terms"))
-        # frequencies of a document within its row: its sorted words' runs
-        each = "transform(array_distinct(words), w -> struct(w AS term, CAST(size(filter(words, x -> x = w)) AS bigint) AS tf))"
-        short = touched.filter("words IS NULL OR size(words) <= 64").select("id", "hash", F.size("words").cast("long").alias("length"), F.expr(each).alias("terms"), "old_terms")
-        long = touched.filter("size(words) > 64")
-        tf = long.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-        long = long.select("id", "hash", F.size("words").cast("long").alias("length"), "old_terms").join(tf, "id").select("id", "hash", "length", "terms", "old_terms")
-        touched = materialize(short.unionByName(long))
-        postings = touched.select("id", "length", F.explode("terms").alias("t")).select(F.col("t.term").alias("term"), "id", F.col("t.tf").alias("tf"), "length")
+        touched = touched.filter("status <> 'kept'")
         folder = lambda name: f"{self.path}/{name}/segment={number}"
+        postings = touched.select("id", "length", F.explode("terms").alias("t")).select(F.col("t.term").alias("term"), "id", F.col("t.tf").alias("tf"), "length")
         postings.repartitionByRange(F.col("term"), F.col("id")).sortWithinPartitions("term", "id").write.mode("overwrite").parquet(folder("postings"))
-        gone = touched.filter("old_terms IS NOT NULL").select(F.explode("old_terms.term").alias("term"), F.lit(-1).cast("long").alias("n"))
-        change = postings.select("term", F.lit(1).cast("long").alias("n")).unionByName(gone).groupBy("term").agg(F.sum("n").alias("n"))
-        change.sortWithinPartitions("term").write.mode("overwrite").parquet(folder("counts"))
-        blocks = postings.groupBy("term", block_of(F.col("id")).alias("block")).agg(F.max("tf").alias("most"), F.min("length").alias("least"))
+        # read in the order of terms, a task has few terms' blocks
+        written = self.spark.read.schema(postings.schema).parquet(folder("postings"))
+        blocks = written.groupBy("term", block_of(F.col("id")).alias("block")).agg(F.max("tf").alias("most"), F.min("length").alias("least"), F.count(F.lit(1)).alias("n"))
         blocks.sortWithinPartitions("term").write.mode("overwrite").parquet(folder("blocks"))
+        gone = touched.filter("old_terms IS NOT NULL").select(F.explode("old_terms").alias("term"), F.lit(-1).cast("long").alias("n"))
+        change = self.spark.read.schema(blocks.schema).parquet(folder("blocks")).select("term", "n").unionByName(gone).groupBy("term").agg(F.sum("n").alias("n"))
+        change.sortWithinPartitions("term").write.mode("overwrite").parquet(folder("counts"))
         touched.select("id", "hash", "length", "terms").write.mode("overwrite").parquet(folder("documents"))
         return result
 
@@ -113,10 +154,13 @@ class RankedIndex:
         asked = materialize(asked.join(df, "term").select("qid", "term", idf.alias("idf"), (F.col("df") > common * total).alias("common")))
         mean = float(mean or 1.0) or 1.0
         postings = self._table("postings", "term string, id {}, tf long, length long, segment int".format(self.id_type))
-        alive = live.select("id", "segment")
+        # postings of documents that a later segment changed or removed
+        old = self._table("documents", DOCUMENTS.format(self.id_type)).select("id", "segment")
+        old = materialize(old.join(live.select("id", "segment"), ["id", "segment"], "left_anti")) if len(self.segments()) > 1 else None
+        current = lambda rows: rows if old is None else rows.join(old, ["id", "segment"], "left_anti")
         value = score(F.col("tf"), F.col("length"), F.col("idf"), mean)
         rare = asked.filter("NOT common").select("qid", "term", "idf")
-        part = postings.join(rare, "term").join(alive, ["id", "segment"], "left_semi").groupBy("qid", "id").agg(F.sum(value).alias("part"))
+        part = current(postings.join(rare, "term")).groupBy("qid", "id").agg(F.sum(value).alias("part"))
         part = materialize(part.withColumn("block", block_of(F.col("id"))))
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part"), "id"))
         mark = part.withColumn("place", place).filter(F.col("place") == n).select("qid", F.col("part").alias("mark"))
@@ -126,15 +170,21 @@ class RankedIndex:
         best = blocks.join(stops, "term").groupBy("qid", "term", "block").agg(F.max(score(F.col("most"), F.col("least"), F.col("idf"), mean)).alias("bound"))
         bound = best.groupBy("qid", "block").agg(F.sum("bound").alias("bound")).join(mark, "qid", "left")
         bound = materialize(bound.select("qid", "block", "bound", F.coalesce("mark", F.lit(0)).alias("mark"), (F.col("bound") >= F.coalesce("mark", F.lit(0))).alias("whole")))
-        # in blocks that can reach the mark by common terms alone every posting counts, elsewhere those of documents that can
-        marks = bound.select("qid", "block", "bound", "mark", "whole")
-        able = part.join(marks, ["qid", "block"], "left").filter("bound IS NULL OR part + bound >= mark")
-        some = able.filter("bound IS NOT NULL AND NOT whole").select("qid", "id").join(stops, "qid")
-        placed = postings.withColumn("block", block_of(F.col("id")))
-        whole = placed.join(bound.filter("whole").select("qid", "block").join(stops, "qid"), ["term", "block"]).join(alive, ["id", "segment"], "left_semi")
-        few = postings.join(some, ["term", "id"]).join(alive, ["id", "segment"], "left_semi")
-        columns = ["qid", "id", value.alias("part")]
-        every = able.select("qid", "id", "part").unionByName(whole.select(*columns)).unionByName(few.select(*columns))
+        # in blocks that can reach the mark by common terms alone every document is looked up, elsewhere those that can reach it
+        able = materialize(part.join(bound, ["qid", "block"], "left").filter("bound IS NULL OR part + bound >= mark").select("qid", "id", "part", F.expr("bound IS NOT NULL AND NOT whole").alias("open")))
+        whole = live.select("id", block_of(F.col("id")).alias("block")).join(bound.filter("whole").select("qid", "block"), "block")
+        pairs = able.filter("open").select("qid", "id").unionByName(whole.select("qid", "id"))
+        every = able.select("qid", "id", "part")
+        # A term gives a document the same for each query. Common terms are few: at most a document's mean number of terms by `common`.
+        words = [(r["term"], r["idf"]) for r in stops.select("term", "idf").distinct().orderBy("term").collect()]
+        for first in range(0, len(words), PLACES):
+            chosen = words[first : first + PLACES]
+            places = F.broadcast(self.spark.createDataFrame([(t, x, i) for i, (t, x) in enumerate(chosen)], "term string, idf double, place int"))
+            own = stops.select("qid", "term").join(places, "term").groupBy("qid").agg(F.collect_list("place").alias("places"))
+            given = current(postings.join(places, "term")).groupBy("id").agg(F.collect_list(F.struct("place", value.cast("int").alias("value"))).alias("given"))
+            given = given.select("id", _placed(len(chosen))(F.col("given")).alias("values"))
+            sums = F.expr("aggregate(places, CAST(NULL AS bigint), (a, p) -> CASE WHEN values[p] IS NULL THEN a ELSE coalesce(a, 0L) + values[p] END)")
+            every = every.unionByName(pairs.join(own, "qid").join(given, "id").select("qid", "id", sums.alias("part")).filter("part IS NOT NULL"))
         scores = every.groupBy("qid", "id").agg(F.sum("part").alias("score"))
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
         return scores.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= n)

@@ -92,3 +92,33 @@ def test_lexical_search_counts_repeated_ids_once_and_deals_by_size(spark, monkey
         got = search.lexical_top(queries, docs)
         assert {tuple(r) for r in got.select("qid", "id", "score", "rank").collect()} == want
         assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and "hashpartitioning(id" in got._jdf.queryExecution().toString()
+
+
+def test_frequencies_are_counted_within_the_row_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators.ranked_index import frequencies
+
+    texts = {1: None, 2: "", 3: "The THE of-the Ärger 7x7 K", 4: "w1 " * 5000 + "w2", 5: "..."}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(1).select("id", frequencies(F.lower("text")).alias("f"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r["id"]: (r["f"]["length"], {t["term"]: t["tf"] for t in r["f"]["terms"]}) for r in rows.collect()}
+    assert got == {1: (0, {}), 2: (0, {}), 3: (7, {"the": 3, "of": 1, "rger": 1, "7x7": 1, "k": 1}), 4: (5001, {"w1": 5000, "w2": 1}), 5: (0, {})}
+
+
+def test_common_terms_are_looked_up_some_at_a_time(spark, tmp_path, made, monkeypatch):
+    from pagemill.operators import ranked_index
+
+    rng, text, docs = made
+    index = RankedIndex(spark, f"file://{tmp_path}/index")
+    asked = [(k, text()[:80]) for k in range(12)] + [(21, "the w1 r7 of and")]
+    index.refresh(frame(spark, docs))
+    for i in rng.sample(range(400), 30):
+        docs[i] = text()
+    docs.pop(5)
+    index.refresh(frame(spark, docs))
+    queries = spark.createDataFrame(asked, "qid int, text string")
+    for places in (1, 2, ranked_index.PLACES):
+        monkeypatch.setattr(ranked_index, "PLACES", places)
+        got = sorted((r["qid"], r["id"], r["score"], r["rank"]) for r in index.search(queries).collect())
+        assert got == brute(docs, asked, 5)
