@@ -10,6 +10,7 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql.types import StructType
 
 #: Partitions of the reader that a task reads.
 READ_TOGETHER = 64
+#: Blobs of a batch that a task hands on: so many bytes (and the last blob's), so many rows.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 10_000
 
 
 def blob_path(name: Column, content: Column) -> Column:
@@ -110,6 +113,33 @@ def load_blobs(rows: DataFrame, root: str) -> tuple[int, int]:
     return int(blobs), int(added)
 
 
+def _contents(root: str, batches: Iterator) -> Iterator:
+    """Batches of (path, content) for batches of paths; as they are, also where a name ends in .gz."""
+    import pyarrow as pa
+
+    fs, base = _open(root)
+    names, contents, held = [], [], 0
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            with fs.open_input_stream(posixpath.join(base, name), compression=None) as f:
+                contents.append(f.read())
+            names.append(name)
+            held += len(contents[-1])
+            if held >= BATCH_BYTES or len(names) >= BATCH_ROWS:
+                yield pa.record_batch({"path": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+                names, contents, held = [], [], 0
+    if names:
+        yield pa.record_batch({"path": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+
+
+def get_blobs(paths: DataFrame, root: str) -> DataFrame:
+    """(path, content) for each row of paths (path), so of a blob as often as it is asked for; a missing one is an error.
+
+    The tasks that hold the paths read them, a batch of at most BATCH_BYTES and one blob at a time; nothing is listed.
+    """
+    return paths.select("path").mapInArrow(partial(_contents, root.rstrip("/")), "path string, content binary")
+
+
 def read_blobs(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all blobs of a store, read by the executors.
 

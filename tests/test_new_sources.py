@@ -3,9 +3,12 @@ import os
 import time
 import zlib
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import catalog
 from pagemill.functions import pdf, records
 from pagemill.plans import fetching, model_stages
 from pagemill.sources import blob_load, filings, sinks
@@ -249,3 +252,30 @@ def test_blobs_are_listed_as_one_path(spark, tmp_path):
     assert set(tracker.getJobIdsForGroup()) == known
     found = {r["path"]: bytes(r["content"]) for r in back.collect()}
     assert len(found) == 300 and sorted(int(c) for c in found.values()) == list(range(300))
+
+
+def test_loaded_blobs_have_a_row_for_each_row_as_the_sql(spark, tmp_path):
+    """Repeated rows are one blob each, but every row is read back; so are empty texts and those without a key."""
+    rows = [(i, f"text {i}") for i in range(20)] + [(3, "text 3"), (3, "other"), (7, "text 7"), (30, ""), (30, ""), (31, ""), (None, "no key"), (None, ""), (32, None), (-7, "ä😀\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        wanted = con.sql(catalog.oracle_sql()["ded07_loaded_blobs"]).fetchall()
+    found = [tuple(r) for r in catalog.queries()["ded07_loaded_blobs"](spark, str(tmp_path)).collect()]
+    assert len(found) == 29 and sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_blobs_by_their_paths(spark, tmp_path, monkeypatch):
+    """As often as asked for, as they are (also with an extension that means packed), in batches of bounded size."""
+    root = f"file://{tmp_path}/store/"
+    rows = spark.createDataFrame([("x/a.gz", b"no gzip"), ("x/b.txt", b""), ("c", b"\0\xff" * 5000)], "name string, content binary")
+    blob_load.load_blobs(rows, root)
+    paths = rows.union(rows).select(blob_load.blob_path(F.col("name"), F.col("content")).alias("path"))
+    back = [(r["path"][7:], bytes(r["content"])) for r in blob_load.get_blobs(paths, root).collect()]
+    assert sorted(back) == sorted(2 * [("a.gz", b"no gzip"), ("b.txt", b""), ("c", b"\0\xff" * 5000)])
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        blob_load.get_blobs(spark.createDataFrame([("abcdef_none",)], "path string"), root).collect()
+    monkeypatch.setattr(blob_load, "BATCH_BYTES", 10_000)
+    names = [r["path"] for r in paths.distinct().collect()]
+    batches = list(blob_load._contents(root.rstrip("/"), [pa.record_batch({"path": pa.array(sorted(names) * 3)})]))
+    assert sum(b.num_rows for b in batches) == 9 and len(batches) >= 3
