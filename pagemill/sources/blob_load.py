@@ -6,12 +6,15 @@ blob is there whole or not at all, and tasks that run again or twice change noth
 
 from __future__ import annotations
 
+import os
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 from hashlib import md5
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 
-#: Partitions of the reader that a task reads.
+#: Partitions of Spark's reader that a task reads.
 READ_TOGETHER = 64
 #: Blobs of a batch that a task hands on: so many bytes (and the last blob's), so many rows.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 10_000
@@ -132,6 +135,21 @@ def _contents(root: str, batches: Iterator) -> Iterator:
         yield pa.record_batch({"path": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
 
 
+def _names(root: str, batches: Iterator) -> Iterator:
+    """Batches of the names of a store's blobs; a local folder is never held whole."""
+    import pyarrow as pa
+    from pyarrow import fs as kinds
+
+    for _ in batches:
+        fs, base = _open(root)
+        if isinstance(fs, kinds.LocalFileSystem):
+            found = (x.name for x in os.scandir(base) if x.is_file())
+        else:
+            found = (x.base_name for x in fs.get_file_info(kinds.FileSelector(base)) if x.is_file)
+        for names in batched(filter(re.compile("[0-9a-f]{6}_").match, found), BATCH_ROWS):
+            yield pa.record_batch({"path": pa.array(names, pa.string())})
+
+
 def get_blobs(paths: DataFrame, root: str) -> DataFrame:
     """(path, content) for each row of paths (path), so of a blob as often as it is asked for; a missing one is an error.
 
@@ -141,11 +159,30 @@ def get_blobs(paths: DataFrame, root: str) -> DataFrame:
 
 
 def read_blobs(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all blobs of a store, read by the executors.
+    """(path, content) of all blobs of a store, each once, empty ones, too; listed and read by the executors.
+
+    One task lists the folder and sends the names on, batch by batch, to those that read. Only where pyarrow doesn't know the
+    file system, Spark's reader does it; the driver lists the folder then.
+    """
+    try:
+        _open(root.rstrip("/"))
+    except (ValueError, OSError):
+        return _read_by_spark(spark, root.rstrip("/"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = spark.range(0, 1, 1, 1).mapInArrow(partial(_names, root.rstrip("/")), "path string")
+    return get_blobs(names.repartition(tasks, "path"), root)
+
+
+def _read_by_spark(spark: SparkSession, root: str) -> DataFrame:
+    """The folder is listed as one path: a path for each blob would be listed by a job of its own, whose tasks send it all back.
 
-    The folder is listed as one path: a path for each blob would be listed by a job of its own, whose tasks send it all back.
-    The reader puts only a few small files into a partition, so each task takes READ_TOGETHER of them one after the other.
+    The reader puts only a few small files into a partition, so each task takes READ_TOGETHER of them one after the other. It
+    leaves out empty files, which all have one md5.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{'[0-9a-f]' * 6}_*").load(root.rstrip("/"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{'[0-9a-f]' * 6}_*").load(root)
     tasks = max(spark.sparkContext.defaultParallelism, found.rdd.getNumPartitions() // READ_TOGETHER)
-    return found.coalesce(tasks).select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content")
+    found = found.coalesce(tasks).select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content")
+    empty = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{md5(b'').hexdigest()[:6]}_*")
+    listed = empty.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(empty) or []
+    names = [(x.getPath().getName(),) for x in listed if x.isFile() and x.getLen() == 0]
+    return found.unionByName(spark.createDataFrame(names, "path string").withColumn("content", F.lit(b"")))

@@ -15,6 +15,8 @@ from pagemill.sources import blob_load, filings, sinks
 from pagemill.sources.blobs import BlobStore
 from pagemill.operators import sampling
 
+from .conftest import SF
+
 
 # filings
 
@@ -279,3 +281,28 @@ def test_blobs_by_their_paths(spark, tmp_path, monkeypatch):
     names = [r["path"] for r in paths.distinct().collect()]
     batches = list(blob_load._contents(root.rstrip("/"), [pa.record_batch({"path": pa.array(sorted(names) * 3)})]))
     assert sum(b.num_rows for b in batches) == 9 and len(batches) >= 3
+
+
+def test_the_driver_holds_no_names_of_blobs(spark, tmp_path):
+    """Names are listed by a task; the driver's plan knows files of the table only, however many blobs there are."""
+    root = f"file://{tmp_path}/store"
+    rows = spark.range(300).select(F.concat(F.lit("a/"), "id", F.lit(".txt")).alias("name"), F.when(F.col("id") > 9, F.col("id").cast("string")).otherwise("").cast("binary").alias("content"))
+    blob_load.load_blobs(rows, root)
+    back = blob_load.read_blobs(spark, root)
+    assert back.inputFiles() == [] and back.count() == 300 and back.filter("length(content) = 0").count() == 10
+    found = catalog.queries()["ded07_loaded_blobs"](spark, SF)
+    assert {x.rpartition("/")[2] for x in found.inputFiles()} == {"documents.parquet"}
+
+
+def test_stores_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/store"
+    rows = spark.range(30).select(F.concat(F.lit("a/"), "id").alias("name"), F.when(F.col("id") > 9, F.col("id").cast("string")).otherwise("").cast("binary").alias("content"))
+    blob_load.load_blobs(rows, root)
+    wanted = sorted((r["path"], bytes(r["content"])) for r in blob_load.read_blobs(spark, root).collect())
+
+    def unknown(root):
+        raise ValueError("a scheme that pyarrow doesn't know")
+
+    monkeypatch.setattr(blob_load, "_open", unknown)
+    found = sorted((r["path"], bytes(r["content"])) for r in blob_load.read_blobs(spark, root).collect())
+    assert len(found) == 30 and found == wanted
